@@ -1,0 +1,88 @@
+"""Secrets: base patterns, and multipart credentials linked by an interval join. DataFrame functions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import stash
+from .spans import SPAN, count, digest, found
+
+KINDS = ("assign", "access", "hex")
+#: The added kinds: a bare secret, and an endpoint, reported only beside their complements.
+WEAK = ("secret", "endpoint")
+ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+SECRET = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
+ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+|mongodb|redis|postgres)://[A-Za-z0-9._:@/-]+|(?<![A-Za-z0-9.-])(?:s3|sts|iam|ec2|dynamodb)[A-Za-z0-9.-]*\.amazonaws\.com"
+
+
+def base_spans(text: Column) -> Column:
+    """The base spans by start, then kind as listed."""
+    key = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
+    spans = F.concat(F.filter(found(text, ASSIGN, "assign", "(?i)passw|secret|token|api_?key"), lambda x: F.length(key(x)) >= 8), found(text, ACCESS, "access", "AKIA"), found(text, HEX, "hex", HEX))
+    return ordered(spans)
+
+
+def ordered(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS + WEAK))
+    keyed = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.array_position(names, x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m")))
+    return F.when(F.size(spans) < 2, spans).otherwise(F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))).cast(SPAN))
+
+
+def weak_spans(text: Column) -> Column:
+    """Candidates that alone say little: 40 characters of base 64 with upper and lower case and digits, and endpoints."""
+    mixed = lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]") & x["m"].rlike("[0-9]")
+    return F.concat(F.filter(found(text, SECRET, "secret", "[A-Za-z0-9+/]{40}"), mixed), found(text, ENDPOINT, "endpoint", "://|amazonaws"))
+
+
+def linked(parts: DataFrame, reach: int) -> DataFrame:
+    """(row, kind, s, e) of the weak parts whose complement lies within reach code points in the same text.
+
+    parts: (row, role, kind, s, e); role is id, secret or endpoint. A secret needs an id, an endpoint needs an id or
+    a secret that has one. Parts meet by (row, scope), a scope being reach code points long; a weak part is sent to
+    the scopes that its reach touches, so ranges are compared inside scopes, never over a whole text. A strong part's
+    neighbours in its scope are all nearer than reach, so of each scope the first and the last strong part decide.
+    """
+    scope = lambda c: F.floor(c / reach)
+
+    def near(weak: DataFrame, strong: DataFrame) -> DataFrame:
+        ends = strong.groupBy("row", scope(F.col("s")).alias("scope")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+        sent = weak.withColumn("scope", F.explode(F.sequence(scope(F.col("s") - reach), scope(F.col("e") + reach))))
+        hit = (F.col("first") <= F.col("e") + reach) & (F.col("last") >= F.col("s") - reach)
+        return sent.join(ends, ["row", "scope"]).where(hit).select("row", "role", "kind", "s", "e").distinct()
+
+    ids = parts.where("role = 'id'")
+    secrets = near(parts.where("role = 'secret'"), ids)
+    endpoints = near(parts.where("role = 'endpoint'"), ids.unionByName(secrets))
+    return secrets.unionByName(endpoints).select("row", "kind", "s", "e")
+
+
+def detect(docs: DataFrame, text: str = "text", reach: int = 400) -> DataFrame:
+    """docs' other columns with base and spans, arrays of (kind, s, e, m) in code points, end exclusive; m is empty for added ones.
+
+    Rows are known by a hash of all their columns, so repeated rows share their spans and none multiplies. Null and
+    empty texts have no spans; an empty table gives an empty result; columns that clash with a result are replaced.
+    Texts are read once: what was found goes to the shared folder, and only rows with weak parts enter the joins.
+    """
+    keep = [c for c in docs.columns if c not in (text, "base", "spans")]
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    row = F.concat_ws("-", F.xxhash64(whole), F.xxhash64(F.lit(1), whole), F.length(whole))
+    seen = stash(docs.select(*[F.col(f"`{c}`") for c in keep], row.alias("__row"), base_spans(whole).alias("base"), weak_spans(whole).alias("__weak")))
+    some = seen.where(F.size("__weak") > 0)
+    part = lambda roles, spans: F.transform(spans, lambda x: F.struct(roles(x).alias("role"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    strong = part(lambda _: F.lit("id"), F.filter("base", lambda x: x["kind"] == "access"))
+    weak = part(lambda x: x["kind"], F.col("__weak"))
+    parts = some.groupBy("__row").agg(F.first("base").alias("base"), F.first("__weak").alias("__weak")).select(F.col("__row").alias("row"), F.explode(F.concat(strong, weak)).alias("x")).select("row", "x.*")
+    added = linked(parts, reach).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("__added"))
+    added = stash(added)
+    more = F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,s:int,e:int>>")), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))
+    free = F.filter(more, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return seen.join(added, seen["__row"] == added["row"], "left").select(*[F.col(f"`{c}`") for c in keep], "base", ordered(F.concat("base", free)).alias("spans"))
+
+
+def report(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, numbers of base spans by kind, their digest, and all spans as one string."""
+    out = detect(docs.select("doc_id", text), text)
+    return out.select("doc_id", *[count(F.col("base"), k).alias(f"n_{k}") for k in KINDS], F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
