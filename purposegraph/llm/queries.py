@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, secrets, token_count
+from . import packing, pii, quality, secret_scan, token_count
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(documents(spark, sf_dir))
+    return secret_scan.report(documents(spark, sf_dir))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
