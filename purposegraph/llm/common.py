@@ -43,14 +43,15 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: for file scans the files' bytes. Only used to choose numbers of partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(size, 1 << 50)
-
-
 def parts_for(df: DataFrame, bytes_each: int) -> int:
-    return max(1, -(-input_bytes(df) // bytes_each))
+    """How many parts of about bytes_each the input makes, by Catalyst's size estimate (for file scans the files' bytes).
+
+    Where Spark has no estimate, the session's number of shuffle partitions. Sizes tasks only; results don't depend on it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // bytes_each))
 
 
 def let(value: Column, body) -> Column:

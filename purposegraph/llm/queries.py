@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, minhash, packing, pii, quality, secret_scan, token_count
+from . import bpe_codec, embedding_dedup, line_dedup, minhash, packing, pii, quality, secret_scan, token_count
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, digest=True)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -52,7 +56,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_pii, op5_quality_rules, op6_secret_scan, op7_packing, op8_embedding_dedup, op10_minhash_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_pii, op4_bpe_codec, op5_quality_rules, op6_secret_scan, op7_packing, op8_embedding_dedup, op10_minhash_dedup)
 }
 ORACLES: dict[str, str] = {
     "op8_embedding_dedup": """
