@@ -179,3 +179,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     linked = seen.select("doc_id", "n_shingles", "cls").join(roots, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, unchanged. Settings as for near_duplicates."""
+    gone = stash(near_duplicates(docs, text, **settings).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -141,21 +141,40 @@ def fit(patterns: list[tuple[Votes, int]], rules=RULES, prior: float = 0.85, rou
     return model
 
 
+def _votes(stats: DataFrame, rules=RULES) -> DataFrame:
+    return stats.select("*", *[r.vote().alias(f"vote_{r.name}") for r in rules])
+
+
+def learn(stats: DataFrame, rules=RULES) -> Model:
+    """The model fitted on all rows of statistics; only their counts by vote pattern, at most 3 ** len(rules), come to the driver."""
+    names = [f"vote_{r.name}" for r in rules]
+    counted = _votes(stats, rules).groupBy(*names).agg(F.count("*").alias("n")).collect()
+    return fit(sorted(((tuple(r[n] for n in names), r["n"]) for r in counted), key=str), rules)
+
+
+def verdict(stats: DataFrame, model: Model, threshold: float = 0.5, rules=RULES) -> DataFrame:
+    """stats with the votes, p_good (posterior quality probability), base_failed and kept."""
+    against = F.lit(0.0)
+    for r, (if_good, if_bad, if_none) in zip(rules, model.odds(), strict=True):
+        vote = F.col(f"vote_{r.name}")
+        against = against + F.when(vote, if_good).when(~vote, if_bad).otherwise(if_none)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return _votes(stats, rules).withColumn("p_good", 1 / (1 + against)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+
+
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules=RULES) -> DataFrame:
     """docs' other columns with the statistics, the votes, p_good (posterior quality probability), base_failed and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not base_failed
-    and p_good >= threshold. The statistics are computed once and written to the shared folder; votes are
-    pre-aggregated to counts by vote pattern, at most 3 ** len(rules) rows, and only those come to the driver.
-    Null and empty texts fail the base. An empty table gives an empty result.
+    and p_good >= threshold. The statistics are computed once and written to the shared folder. Null and empty
+    texts fail the base. An empty table gives an empty result.
     """
     stats = stash(statistics(docs, text))
-    votes = [r.vote().alias(f"vote_{r.name}") for r in rules]
-    voted = stats.select("*", *votes)
-    names = [f"vote_{r.name}" for r in rules]
-    patterns = [(tuple(r[n] for n in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    against = F.lit(0.0)
-    for n, (if_good, if_bad, if_none) in zip(names, fit(sorted(patterns, key=str), rules).odds(), strict=True):
-        against = against + F.when(F.col(n), if_good).when(~F.col(n), if_bad).otherwise(if_none)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.withColumn("p_good", 1 / (1 + against)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+    return verdict(stats, learn(stats, rules), threshold, rules)
+
+
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules=RULES) -> DataFrame:
+    """The rows of docs that judge keeps, unchanged. The statistics are computed twice rather than texts shuffled to their verdicts."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"))
+    model = learn(stash(statistics(rows.select("text"))), rules)
+    return verdict(statistics(rows), model, threshold, rules).where("kept").select("__row.*")

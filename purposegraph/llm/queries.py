@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, line_dedup, minhash, packing, pii, quality, secret_scan, token_count
+from . import bpe_codec, embedding_dedup, line_dedup, minhash, packing, pii, pitman_yor, quality, secret_scan, token_count
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,17 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_pii, op4_bpe_codec, op5_quality_rules, op6_secret_scan, op7_packing, op8_embedding_dedup, op10_minhash_dedup)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_token_counts, op3_pii, op4_bpe_codec, op5_quality_rules, op6_secret_scan, op7_packing, op8_embedding_dedup, op9_lm_scores, op10_minhash_dedup)
 }
 ORACLES: dict[str, str] = {
     "op8_embedding_dedup": """
