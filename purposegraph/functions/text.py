@@ -10,6 +10,14 @@ from .vocab import MAX_LEN
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>]+"
 
 
+def let(value: Column, body) -> Column:
+    """Binds an expression to a lambda variable: computed once per row, also where body uses it inside further lambdas.
+
+    Without it the optimizer may put a column's expression into a lambda, to be computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """White-space separated words; none for empty or null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")

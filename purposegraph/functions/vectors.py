@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def softmax(a: Column) -> Column:
-    exps = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(exps, lambda x: x / total(exps))
+    exps = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(exps, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def arg_max(a: Column) -> Column:
@@ -26,8 +28,7 @@ def norm(a: Column, p: int = 2) -> Column:
 
 def normalised(a: Column, p: int = 2) -> Column:
     """a over its norm; a zero vector stays."""
-    n = norm(a, p)
-    return F.transform(a, lambda x: F.when(n == 0, x).otherwise(x / n))
+    return let(norm(a, p), lambda n: F.transform(a, lambda x: F.when(n == 0, x).otherwise(x / n)))
 
 
 def combined(a: Column, b: Column, f) -> Column:

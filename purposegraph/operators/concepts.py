@@ -22,13 +22,15 @@ def seeded(words: Column, ners: Column) -> Column:
     """Words with a seed entity type as __TYPE__k, k numbering the distinct words of the type by first appearance; person pronouns count as PERSON."""
     person = F.array(*map(F.lit, PERSON_PRONOUNS))
     kind = F.zip_with(words, ners, lambda w, n: F.when(n.isin(*SEED_NERS), n).when(F.array_contains(person, w), F.lit("PERSON")))
-    pairs = F.arrays_zip(words.alias("w"), kind.alias("k"))
 
-    def number(k: Column, w: Column) -> Column:
-        of_kind = F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["w"])
-        return (F.array_position(F.array_distinct(of_kind), w) - 1).cast("string")
+    def named(pairs: Column) -> Column:
+        def number(k: Column, w: Column) -> Column:
+            of_kind = F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["w"])
+            return (F.array_position(F.array_distinct(of_kind), w) - 1).cast("string")
 
-    return F.transform(pairs, lambda p: F.when(p["k"].isNull(), p["w"]).otherwise(F.concat(F.lit("__"), p["k"], F.lit("__"), number(p["k"], p["w"]))))
+        return F.transform(pairs, lambda p: F.when(p["k"].isNull(), p["w"]).otherwise(F.concat(F.lit("__"), p["k"], F.lit("__"), number(p["k"], p["w"]))))
+
+    return tx.let(F.arrays_zip(words.alias("w"), kind.alias("k")), named)
 
 
 def seeded_words(words: list[str], ners: list[str]) -> list[str]:

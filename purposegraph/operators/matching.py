@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.vocab import CLAUSE_SEPARATOR_TAGS, CLAUSE_SEPARATOR_TOKENS, FORBIDDEN_END_POS_TAGS, MUST_POS_TAGS
 
 Edge = tuple[int, str, int]
@@ -162,18 +163,22 @@ def must_ok(mapping, edges, tags=None) -> bool:
 
 
 def prefix_holds(mapping: Column, k: int) -> Column:
-    s = F.slice(F.array_sort(mapping), 1, k)
-    return F.forall(F.transform(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) == 1)), lambda b: b)
+    def neighbours(s: Column) -> Column:
+        return F.forall(F.transform(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) == 1)), lambda b: b)
+
+    return let(F.slice(F.array_sort(mapping), 1, k), neighbours)
 
 
 def separators(tokens: Column, tags: Column) -> Column:
     """Places of clause separators."""
-    return F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*CLAUSE_SEPARATOR_TOKENS) | F.get(tags, i).isin(*CLAUSE_SEPARATOR_TAGS), i)), lambda i: i.isNotNull())
+    places = let(tags, lambda g: F.transform(tokens, lambda t, i: F.when(t.isin(*CLAUSE_SEPARATOR_TOKENS) | F.get(g, i).isin(*CLAUSE_SEPARATOR_TAGS), i)))
+    return F.filter(places, lambda i: i.isNotNull())
 
 
 def within_clause(mapping: Column, places: Column) -> Column:
     """No separator lies at, or between, places of a match of two or more."""
-    return (F.size(mapping) < 2) | ~F.exists(places, lambda s: (F.array_min(mapping) <= s) & (s <= F.array_max(mapping)))
+    ends = F.struct(F.array_min(mapping).alias("lo"), F.array_max(mapping).alias("hi"))
+    return (F.size(mapping) < 2) | let(ends, lambda m: ~F.exists(places, lambda s: (m["lo"] <= s) & (s <= m["hi"])))
 
 
 def ends_well(labels: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import taxonomy
+from . import generation, parsing, scoring, taxonomy
 
-MODULES = (taxonomy,)
+MODULES = (taxonomy, generation, parsing, scoring)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

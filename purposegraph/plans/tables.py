@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,3 +31,79 @@ TWO_LEVEL_SQL = (
     "taxonomy AS (SELECT p_type AS concept, p_name AS instance, count(*) AS freq FROM part GROUP BY p_type, p_name "
     "UNION ALL SELECT p_brand, p_type, count(*) FROM part GROUP BY p_brand, p_type)"
 )
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pairs of parts ordered together, the smaller key first."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    other = line.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("item_b"))
+    return line.join(other, (F.col("l_orderkey") == F.col("o")) & (F.col("l_partkey") < F.col("item_b"))).select(F.col("l_partkey").alias("item_a"), "item_b").distinct()
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), F.col("p_name").alias("title"), F.col("p_type").alias("top_cate"))
+
+
+PAIRS_SQL = "pairs AS (SELECT DISTINCT a.l_partkey AS item_a, b.l_partkey AS item_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
+WITH_ITEMS_SQL = (
+    PAIRS_SQL + ", full_pairs AS (SELECT item_a, item_b, a.p_name AS title_a, a.p_type AS top_cate_a, b.p_name AS title_b, b.p_type AS top_cate_b "
+    "FROM pairs JOIN part a ON a.p_partkey = item_a JOIN part b ON b.p_partkey = item_b)"
+)
+#: Words of a sentence stand for its tokens; tags follow from suffixes, edges join neighbours and determiners.
+TAG_RULES = (("%ing", "VBG"), ("%ed", "VBD"), ("%ly", "RB"), ("%able", "JJ"), ("%es", "NNS"))
+TAG_WORDS = (("the", "DT"), ("a", "DT"), ("of", "IN"), ("in", "IN"), ("to", "TO"), ("and", "CC"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sid, tokens, pos_tags, dependencies) of all documents: lower-case runs of letters in stretches between stops."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"[.!?\n]+")).alias("part", "s"))
+    rows = pieces.select(F.concat_ws(":", "doc_id", "part").alias("sid"), F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0)).alias("tokens")).where(F.size("tokens") > 1)
+
+    def tag(t):
+        out = F.lit("NN")
+        for suffix, name in reversed(TAG_RULES):
+            out = F.when(t.like(suffix), name).otherwise(out)
+        for word, name in reversed(TAG_WORDS):
+            out = F.when(t == word, name).otherwise(out)
+        return out
+
+    edge = lambda g, r, d: F.struct(g.cast("int").alias("gov"), r.alias("rel"), d.cast("int").alias("dep"))
+
+    def parse(tokens):
+        def linked(tags):
+            near = F.sequence(F.lit(1), F.size(tags) - 1)
+            chain = F.transform(near, lambda i: F.when(F.get(tags, i - 1) == "DT", edge(i, F.lit("det"), i - 1)).otherwise(edge(i - 1, F.lit("next"), i)))
+            return F.struct(tokens.alias("tokens"), tags.alias("pos_tags"), chain.alias("dependencies"))
+
+        return let(F.transform(tokens, tag), linked)
+
+    return rows.select("sid", let(F.col("tokens"), parse).alias("x")).select("sid", "x.*")
+
+
+_CASES = " ".join(f"WHEN t = '{w}' THEN '{n}'" for w, n in TAG_WORDS) + " " + " ".join(f"WHEN t LIKE '{s}' THEN '{n}'" for s, n in TAG_RULES)
+SENTENCES_SQL = rf"""
+    pieces AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(lower(text), '[.!?\n]+'), 1) - 1 AS part FROM documents),
+    sentences AS (SELECT doc_id || ':' || part AS sid, regexp_extract_all(s, '[a-z]+') AS tokens FROM pieces WHERE len(regexp_extract_all(s, '[a-z]+')) > 1),
+    nodes AS (SELECT sid, t, CASE {_CASES} ELSE 'NN' END AS label, i - 1 AS v FROM (SELECT sid, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM sentences)),
+    edges AS (SELECT b.sid, CASE WHEN a.label = 'DT' THEN b.v ELSE a.v END AS u, CASE WHEN a.label = 'DT' THEN 'det' ELSE 'next' END AS label, CASE WHEN a.label = 'DT' THEN a.v ELSE b.v END AS v
+        FROM nodes a JOIN nodes b ON a.sid = b.sid AND b.v = a.v + 1)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as scored assertions."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select("doc_id", F.when(F.col("quality") == 1, "v").otherwise("i").alias("label"), (F.col("n_chars") % 1000 / 1000.0).alias("score"))
+
+
+SCORED_SQL = "scored AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'v' ELSE 'i' END AS label, n_chars % 1000 / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, item, rating, split): a customer's mean quantity of a part."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
+    return rows.groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("rating"), F.min(F.col("o_orderkey") % 10).cast("int").alias("split"))
+
+
+RATINGS_SQL = "ratings AS (SELECT o_custkey AS \"user\", l_partkey AS item, avg(l_quantity) AS rating, CAST(min(o_orderkey % 10) AS INT) AS split FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
