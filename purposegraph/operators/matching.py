@@ -45,12 +45,12 @@ def _bundles(edges) -> dict[tuple[int, int], set[str]]:
     return out
 
 
-def matches(labels, edges, pattern: Pattern, limit: int | None = None) -> list[tuple[int, ...]]:
+def matches(labels, edges, pattern: Pattern, limit: int | None = None, fixed: dict[int, int] | None = None) -> list[tuple[int, ...]]:
     """All injective mappings of the pattern's vertices into the graph that keep its edges (further edges may be there).
 
     A mapping gives the graph vertex of each pattern vertex; symmetric images come separately. A vertex needs at least
     the pattern vertex's number of incoming edges; the labels of parallel pattern edges must all be among the graph's,
-    whose own labels count up to their colon.
+    whose own labels count up to their colon. fixed: graph vertices that some pattern vertices must take.
     """
     there = _bundles((u, label.split(":")[0], v) for u, label, v in edges)
     wanted = _bundles(pattern.edges)
@@ -63,6 +63,9 @@ def matches(labels, edges, pattern: Pattern, limit: int | None = None) -> list[t
         order.append(max(rest, key=lambda p: (len(touching[p] & set(order)), len(touching[p]), -p)))
     fits = [[g for g, label in enumerate(labels) if into[g] >= need[p] and _label_fits(want, label)] for p, want in enumerate(pattern.labels)]
 
+    for p, g in (fixed or {}).items():
+        fits[p] = [g] if g in fits[p] else []
+
     def edge_fits(p: int, q: int, place: dict[int, int]) -> bool:
         got = there.get((place[p], place[q]))
         return got is not None and (wanted[p, q] <= got or WILD in wanted[p, q])
@@ -228,6 +231,12 @@ def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None
     return ready.select(F.col("sid").cast("string"), "pos_tags", "dependencies").mapInArrow(run, "sid string, pattern_id int, mapping array<int>")
 
 
+def shown(pattern: Pattern) -> str:
+    """A pattern as text, for people."""
+    arcs = ", ".join(f"{pattern.labels[u]}{u} -{label}-> {pattern.labels[v]}{v}" for u, label, v in pattern.edges)
+    return f"[{' '.join(pattern.labels)}] {arcs} x{pattern.freq}"
+
+
 def count(sentences: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """(pattern_id, matches, sentences)."""
     return find(sentences, patterns).groupBy("pattern_id").agg(F.count("*").alias("matches"), F.countDistinct("sid").alias("sentences"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..functions.vocab import PERSON_PRONOUNS
 from ..operators import concepts, features, recommend, scoring
-from .tables import RATINGS_SQL, SCORED_SQL, part_taxonomy, ratings, scored, sentences, table
+from .tables import RATINGS_SQL, SCORED_SQL, SENTENCES_SQL, part_taxonomy, ratings, scored, sentences, table
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -129,10 +130,29 @@ def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.triples(_edges(spark, sf_dir)).groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("head").alias("heads"), F.countDistinct("tail").alias("tails"))
 
 
+def conceptualized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    words, o = F.array(F.lit("buy"), "p_name"), F.array(F.lit("O"), F.lit("O"))
+    tags = F.array(F.lit("VB"), F.lit("NN"))
+    events = part.select(F.col("p_partkey").cast("string").alias("eid"), F.transform(words, F.lower).alias("words"), o.alias("ners"), tags.alias("pos_tags"), F.transform(words, F.lower).alias("phrases"), o.alias("phrase_ners"), tags.alias("phrase_tags"))
+    lower = part_taxonomy(spark, sf_dir).withColumn("instance", F.lower("instance"))
+    return _rounded(concepts.conceptualize(events, lower, 2), "score")
+
+
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = features.text_vectors(table(spark, sf_dir, "part"), "p_name", 16)
+    return vec.select("key", F.size("features").alias("size"), F.round(vx.norm(F.col("features")), 6).alias("norm"))
+
+
+def trained_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triples = table(spark, sf_dir, "nation").select(F.lit("all").alias("g"), F.col("n_nationkey").alias("h"), F.lit(0).alias("r"), (F.col("n_regionkey") + 25).alias("t"))
+    return features.train_translation(triples, 30, 1, "g", size=8, steps=50).select("kind", "idx", F.size("vector").alias("size"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
+        conceptualized, text_features, trained_translation, threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
         softmax_scores, transe_margin, rating_vocab, rating_encoded, rating_features_default, rmse_nonzero, best_test_at_min_valid, mean_std, kg_threshold_filter, kg_triples,
     )
 }
@@ -161,12 +181,23 @@ ORACLES = {
         SELECT target, threshold, round(p, 6) AS precision, round(r, 6) AS recall FROM k WHERE n = 1""",
     "score_mse": f"WITH {SCORED_SQL} SELECT round(avg(pow(score - (label = 'v')::INT, 2)), 6) AS mse FROM scored",
     "concept_scores": f"WITH {_PAIRS} SELECT cid, concept, round(sum(score * 2.0), 6) AS score, count(*) AS instances FROM (SELECT DISTINCT * FROM pairs) GROUP BY cid, concept",
+    "conceptualized": """
+        WITH t AS (SELECT p_type AS concept, lower(p_name) AS instance, count(*) AS freq FROM part GROUP BY 1, 2),
+        s AS (SELECT instance, replace(concept, ' ', '-') AS concept, freq / sum(freq) OVER (PARTITION BY instance) AS score FROM t),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY score DESC, concept) AS r FROM s) WHERE r <= 2)
+        SELECT CAST(p_partkey AS VARCHAR) AS eid, 'buy ' || concept AS concept, sha1('buy ' || concept) AS cid, round(score, 6) AS score FROM part JOIN b ON instance = lower(p_name)""",
     "concept_mode_pattern": f"WITH {_PAIRS}, c AS (SELECT cid, pattern, count(*) AS n FROM pairs GROUP BY cid, pattern) SELECT cid, pattern FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY n DESC, pattern) AS r FROM c) WHERE r = 1",
     "concept_pair_ids": f"WITH {_PAIRS} SELECT DISTINCT sha1(cid || '$' || eid) AS pid, cid, eid FROM pairs",
     "word_concepts": """
         WITH t AS (SELECT p_type AS concept, p_name AS instance, count(*) AS freq FROM part GROUP BY 1, 2),
         s AS (SELECT instance, replace(concept, ' ', '-') AS concept, freq / sum(freq) OVER (PARTITION BY instance) AS score FROM t)
         SELECT instance, concept, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY score DESC, concept) AS r FROM s) WHERE r <= 2""",
+    "seed_rule_index": f"""
+        WITH {SENTENCES_SQL},
+        k AS (SELECT sid, v, t, CASE WHEN t LIKE 'th%' THEN 'CITY' WHEN t LIKE 'an%' THEN 'DATE' WHEN t IN ({", ".join(f"'{w}'" for w in PERSON_PRONOUNS)}) THEN 'PERSON' END AS kind FROM nodes),
+        f AS (SELECT sid, kind, t, min(v) AS first_at FROM k WHERE kind IS NOT NULL GROUP BY sid, kind, t),
+        r AS (SELECT sid, kind, t, row_number() OVER (PARTITION BY sid, kind ORDER BY first_at) - 1 AS n FROM f)
+        SELECT sid, md5(string_agg(CASE WHEN kind IS NULL THEN t ELSE '__' || kind || '__' || n END, ' ' ORDER BY v)) AS seeded FROM k LEFT JOIN r USING (sid, kind, t) GROUP BY sid""",
     "item_text_mean": "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i",
     "softmax_scores": f"""
         WITH {_E}
