@@ -75,7 +75,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
     parts = parts_of(docs)
     table = stored(split_blocks(docs, path, pattern, parts, text), parts)
     ids = exchanged(table.where("payload is null").select("block", "part", "blob"), encode_words(path, pattern), parts)
-    blocks = answered(table.where("payload is not null").select("block", "payload"), ids)
+    blocks = answered(table.where("payload is not null").select("block", "payload"), parts, ids)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
 
     def run(batches):
