@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import Cache, coded
 from .common import LOWER, components, slices, stash
@@ -125,6 +126,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def sharing_rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members (rep, root, n) of different roots that can reach percent and share a rare shingle.
+
+    With shingles in a joint order, by their number of members and then by hash, two sets that reach percent share one
+    of the first n - ceil(percent / 100 * n) + 1 of both. Shingles of one member come first and need no rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            size = [len(x.as_buffer()) // 8 for x in batch.column(4)]
+            at = np.repeat(np.arange(batch.num_rows), size)
+            flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]) if size else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(at)) for i in range(4)], pa.array(flat)], names=["rep", "root", "n", "own", "shingle"])
+
+    # a doc_id that came with several texts has several sets, each of its own
+    mine = (F.col("rep") == F.col("r")) & (F.length("set") == 8 * F.col("n"))
+    full = members.join(sets.withColumnRenamed("rep", "r"), mine).select("rep", "root", "n", F.xxhash64("set").alias("own"), "set")
+    tokens = stash(full.mapInArrow(run, "rep long, root long, n long, own long, shingle long"))
+    known = stash(tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    own = Window.partitionBy("rep", "own")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle"))
+    early = stash(tokens.join(known, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("shingle", "rep", "root", "n"))
+    x, y = early.alias("x"), early.alias("y")
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -135,9 +163,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     Equal sets are one class, represented by its smallest doc_id, so copies cost nothing further. In each bucket of
     a band every member is compared with the bucket's smallest member rather than with all others; a bucket whose
     members then lie in one component needs no more. What is left of other buckets gets another such round without
-    the members already compared with all, and after that its pairs across components, within the size ratio that a
-    link allows. So no possible link between components is left unchecked, and a large group of near copies costs a
-    few comparisons a member.
+    the members already compared with all. Then its pairs across components are compared, but for those that can't
+    reach percent: too different in size, or without a common shingle among the rarest of both (sharing_rare, exact),
+    so that documents which share a frequent passage make no pairs. No possible link between components is left
+    unchecked, and a large group of near copies costs a few comparisons a member.
 
     Null texts and texts without words have no shingles and link with nothing. Rows with the same doc_id are one
     vertex. Rows without doc_id link with nothing, have no component and are kept.
@@ -169,9 +198,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
         rooted = stash(left.join(labels, left["rep"] == labels["v"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
         split = stash(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("pivot")).where("lo < hi").select("key", "pivot"))
         left = stash(rooted.join(split, "key").where("rep <> pivot").select("key", "rep", "n", "root"))
-    one, two = left.alias("x"), left.alias("y")
-    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    rest = one.join(two, F.col("x.key") == F.col("y.key")).where(apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    rest = sharing_rare(stash(left.select("rep", "root", "n").distinct()), sets, percent)
     rest = stash(rest.join(tried, ["a", "b"], "left_anti"))
     edges = edges.unionByName(verified(rest, sets, percent))
     labels = components(edges)
