@@ -51,9 +51,13 @@ def length_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.cumulative(mining.length_histogram(sentences(spark, sf_dir)))
 
 
-def mining_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _thresholds(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
     rows = [(r["length"], r["n"]) for r in mining.length_histogram(sentences(spark, sf_dir)).collect()]  # one row for each length
-    return spark.createDataFrame(mining.thresholds(rows, 2), "vertices int, least long, most long")
+    return mining.thresholds(rows, len(TEMPLATE))
+
+
+def mining_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_thresholds(spark, sf_dir), "vertices int, least long, most long")
 
 
 def meta_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def meta_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = mining.frequent(mining.graphs(sentences(spark, sf_dir)), 2, 10, 1 << 40)
+    shown = mining.frequent_sizes(mining.graphs(sentences(spark, sf_dir)), _thresholds(spark, sf_dir))
     edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["u"], e["label"], e["v"])), ",")
     return shown.select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "freq")
 

@@ -1,8 +1,10 @@
 import hashlib
+import itertools
 import json
 import random
 from itertools import permutations
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from purposegraph.functions import vectors as vx
 from purposegraph.functions import vocab
 from purposegraph.operators import concepts, extraction, features, generation, matching, mining, parsing, recommend, scoring, taxonomy
 from purposegraph.operators.matching import Pattern
+from purposegraph.plans.tables import SENTENCES_SQL, sentences
 from purposegraph.sources import files
 
 SENTENCE = {
@@ -185,3 +188,41 @@ def test_cached_table_and_stream(spark, tmp_path):
     q = stages.annotated(stages.json_stream(spark, str(tmp_path / "s"), files.RAW)).writeStream.format("memory").queryName("parsed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("parsed").count() == 1
+
+
+def test_frequent_subgraphs_of_whole_graphs(spark, sf):
+    draw = random.Random(7)
+    rows = [(tuple(draw.choices("XY", k=n)), tuple({(i, draw.choice("ab"), i + 1) if draw.random() < 0.7 else (i + 1, "c", i) for i in range(n - 1)}), draw.randint(1, 3)) for n in draw.choices(range(2, 30), k=25)]
+    rows += [(("X", "Y", "X", "Y"), ((0, "a", 1), (1, "b", 2), (2, "a", 0), (0, "a", 3), (3, "b", 0)), 2), (("X", "Y", "X", "X"), ((0, "a", 1), (0, "a", 2), (0, "b", 3), (3, "a", 3)), 1), (("X",) * 20, tuple((k, "a", k + 1) for k in range(14, 18)), 4)]
+    graphs = spark.createDataFrame([(list(x), [tuple(e) for e in sorted(es)], w) for x, es, w in rows], "labels array<string>, edges array<struct<u:int,label:string,v:int>>, weight long")
+    bounds = [(3, 4, 30), (4, 2, 25), (5, 3, 99)]
+    want = {}
+    for labels, edges, weight in rows:
+        real = [e for e in edges if e[0] != e[2]]
+        for k, _, _ in bounds:
+            forms = set()
+            for m in (k - 1, k):
+                # every choice of edges where graphs are small; runs of neighbours where they are chains
+                choices = itertools.combinations(real, m) if len(real) < 6 else [[e for e in real if i <= min(e[0], e[2]) < i + m] for i in range(len(labels))]
+                for g in choices:
+                    span = sorted({x for u, _, v in g for x in (u, v)})
+                    reach = set(span[:1])
+                    for _ in span:
+                        reach |= {x for u, _, v in g if u in reach or v in reach for x in (u, v)}
+                    if len(span) == k and len(g) == m and len(reach) == k:
+                        at = {x: i for i, x in enumerate(span)}
+                        forms.add(mining.canonical(tuple(labels[x] for x in span), tuple(sorted((at[u], e, at[v]) for u, e, v in g))))
+            for f in forms:
+                want[f] = want.get(f, 0) + weight
+    limits = {k: (least, most) for k, least, most in bounds}
+    want = {f: n for f, n in want.items() if limits[len(f[0])][0] <= n <= limits[len(f[0])][1]}
+    got = {(tuple(r["labels"]), tuple((e["u"], e["label"], e["v"]) for e in r["edges"])): r["freq"] for r in mining.frequent_sizes(graphs, bounds).collect()}
+    assert got == want and any(len(f[0]) == 5 for f in want)
+
+
+def test_frequent_edges_equal_sql(spark, sf):
+    sql = f"WITH {SENTENCES_SQL} SELECT a.label AS g, e.label AS e, b.label AS d, count(DISTINCT e.sid) AS n FROM edges e JOIN nodes a ON a.sid = e.sid AND a.v = e.u JOIN nodes b ON b.sid = e.sid AND b.v = e.v GROUP BY 1, 2, 3 HAVING n >= 10"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = mining.frequent(mining.graphs(sentences(spark, sf)), 2, 10, 1 << 40).collect()
+    assert {(r["labels"][r["edges"][0]["u"]], r["edges"][0]["label"], r["labels"][r["edges"][0]["v"]], r["freq"]) for r in got if len(r["edges"]) == 1} == set(db.execute(sql).fetchall())
