@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them, common blocks go from the later one."""
+"""Line dedup by pairwise alignment: shared runs of lines find overlapping documents, patience diff aligns them, common blocks go from the later one."""
 
 from __future__ import annotations
 
@@ -99,6 +99,45 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, th binary, lines array<long>, words array<int>")
 
 
+def runs(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """Ranges [from, to) of lines: the shortest with min_words words from each line on, and up to each line; no empty lines at their ends.
+
+    Whatever stretch of lines has so many words is made of the runs within it, but for empty lines at its ends. No line
+    is in more than 2 * min_words runs, save the empty ones inside, so all runs together are linear in the text.
+    """
+    filled = [i for i, n in enumerate(words) if n]
+    out = set()
+    for order, sign in ((filled, 1), (filled[::-1], -1)):
+        total = end = 0
+        for k, i in enumerate(order):
+            while end < len(order) and total < min_words:
+                total += words[order[end]]
+                end += 1
+            if total < min_words:
+                break
+            last = order[end - 1]
+            out.add((i, last + 1) if sign > 0 else (last, i + 1))
+            total -= words[i]
+    return out
+
+
+def runs_of(texts: DataFrame, min_words: int) -> DataFrame:
+    """(th, first, run): 64-bit hashes of the runs of every text, once each."""
+
+    def run(batches):
+        for batch in batches:
+            th, first, hashes = [], [], []
+            for t, f, lines, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                packed = np.array(lines, np.int64)
+                found = {xxhash.xxh3_64_intdigest(packed[lo:hi].tobytes()) - (1 << 63) for lo, hi in runs(words, min_words)}
+                th.extend([t] * len(found))
+                first.extend([f] * len(found))
+                hashes.extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(th, pa.binary()), pa.array(first, pa.int64()), pa.array(hashes, pa.int64())], names=["th", "first", "run"])
+
+    return texts.select("th", "first", "lines", "words").mapInArrow(run, "th binary, first long, run long")
+
+
 def aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     """(th, cut): for pairs (th, lines, words, other lines) the places in lines that common blocks of at least min_words words cover."""
 
@@ -116,20 +155,20 @@ def aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     return pairs.mapInArrow(run, "th binary, cut array<int>")
 
 
-def cuts(docs: DataFrame, text: str = "text", min_line_words: int = 8, min_block_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def cuts(docs: DataFrame, text: str = "text", min_block_words: int = 20) -> tuple[DataFrame, DataFrame]:
     """(texts, cut places): (th, first, n_words) of every distinct text, and (th, cut) of those that lose lines to earlier texts.
 
-    A line of at least min_line_words words is rare enough to show an overlap. Each text is paired with the first
-    holder of each such line, not with all holders: whatever the line's frequency, pairs grow with occurrences.
-    Equal texts are one, known by its smallest doc_id, which is also the order of texts.
+    Neighbouring lines that reach min_block_words words show an overlap, whatever the length of each. Each text is paired
+    with the first holder of each such run, not with all holders: a common block is made of runs, and each of them is in
+    its first holder, so nothing is lost, and pairs grow with occurrences whatever the run's frequency. Equal texts are one,
+    known by its smallest doc_id, which is also the order of texts.
     """
     late = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     rows = stash(lines_of(docs, text))
     texts = stash(rows.groupBy("th").agg(F.min(late).alias("first"), F.min(F.struct("lines", "words")).alias("x")).select("th", "first", "x.*"))
-    at = texts.select("th", "first", F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("x")).where(F.col("x.words") >= min_line_words).select("th", "first", F.col("x.lines").alias("line"))
-    at = stash(at)
-    holders = stash(at.groupBy("line").agg(F.min(F.struct("first", "th")).alias("h"), F.count("*").alias("n")).where("n > 1").select("line", F.col("h.th").alias("other")))
-    pairs = stash(at.join(holders, "line").where("th <> other").select("th", "other").distinct())
+    at = stash(runs_of(texts, min_block_words))
+    holders = stash(at.groupBy("run").agg(F.min(F.struct("first", "th")).alias("h"), F.count("*").alias("n")).where("n > 1").select("run", F.col("h.th").alias("other")))
+    pairs = stash(at.join(holders, "run").where("th <> other").select("th", "other").distinct())
     mine = texts.select("th", "lines", "words")
     other = texts.select(F.col("th").alias("other"), F.col("lines").alias("others"))
     both = pairs.join(mine, "th").join(other, "other").select("th", "lines", "words", "others")
@@ -139,16 +178,16 @@ def cuts(docs: DataFrame, text: str = "text", min_line_words: int = 8, min_block
     return stash(texts.select("th", "first", n_words.alias("n_words"))), stash(places)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_line_words: int = 8, min_block_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_block_words: int = 20) -> DataFrame:
     """docs with text freed from lines that an earlier document has too, and n_lines and n_removed.
 
-    Two documents that share a line of at least min_line_words words are aligned by patience diff (lines compared
-    without outer white space); blocks of neighbouring common lines with at least min_block_words words in all are
-    deleted from the later one, by doc_id. A later copy of a whole text of so many words loses all its lines. Shorter
+    A document is aligned by patience diff with the first holder of each of its runs of neighbouring lines that reach
+    min_block_words words (lines compared without outer white space); blocks of neighbouring common lines with at
+    least so many words in all are deleted from the later one, by doc_id. A later copy of a whole text of so many words loses all its lines. Shorter
     blocks stay, so clean documents are untouched. Null stays null (no lines removed); rows without doc_id come
     last; rows equal in doc_id and text are treated alike. Columns that clash with a result are replaced.
     """
-    texts, places = cuts(docs, text, min_line_words, min_block_words)
+    texts, places = cuts(docs, text, min_block_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
     body = F.col(f"`{text}`").cast("string")
     digest = docs.select(*[F.col(f"`{c}`") for c in keep], body.alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__late"))

@@ -157,6 +157,37 @@ def test_line_dedup(spark, sf):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def every_cut(rows, least=20):
+    """Cut places by the whole rule: stretches of lines of at least so many words, without empty ends, that any earlier text holds."""
+    seen, out = [], {}
+    for i, t in rows:
+        mine = [x.strip() for x in t.split("\n")]
+        size = [len(x.split()) for x in mine]
+        cut = set()
+        for other in seen:
+            for p in range(len(mine)):
+                for q in range(len(other)):
+                    n = 0
+                    while p + n < len(mine) and q + n < len(other) and mine[p + n] == other[q + n]:
+                        n += 1
+                    while n and not size[p + n - 1]:
+                        n -= 1
+                    if n and size[p] and sum(size[p : p + n]) >= least:
+                        cut |= set(range(p, p + n))
+        seen.append(mine)
+        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut)
+    return out
+
+
+def test_line_dedup_of_passages_whose_lines_have_other_first_holders(spark):
+    line = lambda k: " ".join(f"p{k}_{j}" for j in range(12))
+    passage = "\n".join(map(line, range(5)))
+    rows = [(k, f"a{k}\n{line(k)}\nz{k}") for k in range(5)] + [(5, f"b\n{passage}\nbb"), (6, f"c\n{passage}\ncc")]
+    rows += [(7, f"d\n{line(1)}\n{line(2)}\nx y\ne"), (8, f"f\n{line(1)}\n{line(2)}\nx y\ng")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == every_cut(rows) and got[6] == "c\ncc" and got[8] == "f\ng"
+
+
 def test_language_model(spark, sf, monkeypatch):
     monkeypatch.setattr(blocks, "PART_BYTES", 100_000)
     odd = [(9000, None), (9001, ""), (None, "null id"), (9002, "THE the tHe"), (9002, "dup")]
