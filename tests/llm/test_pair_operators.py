@@ -188,6 +188,13 @@ def test_line_dedup_of_passages_whose_lines_have_other_first_holders(spark):
     assert got == every_cut(rows) and got[6] == "c\ncc" and got[8] == "f\ng"
 
 
+def test_line_dedup_of_passages_of_short_lines(spark):
+    verse = "\n".join(" ".join(f"v{k}_{j}" for j in range(6)) for k in range(10))
+    rows = [(0, f"one\n{verse}\ntwo"), (1, f"three\n\n{verse}\nfour"), (2, "five\nv0_0 v0_1 v0_2 v0_3 v0_4 v0_5\nsix")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == every_cut(rows) and got[1] == "three\n\nfour" and got[2] == rows[2][1]
+
+
 def test_language_model(spark, sf, monkeypatch):
     monkeypatch.setattr(blocks, "PART_BYTES", 100_000)
     odd = [(9000, None), (9001, ""), (None, "null id"), (9002, "THE the tHe"), (9002, "dup")]
