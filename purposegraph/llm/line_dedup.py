@@ -138,18 +138,37 @@ def runs_of(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.select("th", "first", "lines", "words").mapInArrow(run, "th binary, first long, run long")
 
 
+def common(mine: list[int], words: list[int], other: list[int], min_words: int) -> list[int]:
+    """The places in mine, in order, that stretches of at least min_words words cover that other has too, wherever they stand there.
+
+    Patience diff finds what rises in both without repeats. Runs of mine that it leaves (moved passages, and those without a
+    line that occurs once) are looked up among other's runs.
+    """
+    cut: set[int] = set()
+    for _, j, n in patience(other, mine):
+        if sum(words[j : j + n]) >= min_words:
+            cut.update(range(j, j + n))
+    theirs = set(other)
+    shared = np.concatenate([[0], np.cumsum([x in theirs for x in mine])]) if mine else np.zeros(1)
+    done = np.concatenate([[0], np.cumsum([i in cut for i in range(len(mine))])]) if mine else shared
+    left = [(lo, hi) for lo, hi in runs(words, min_words) if shared[hi] - shared[lo] == hi - lo > done[hi] - done[lo]]
+    if left:
+        known = dict(zip(mine, words, strict=True))
+        a, b = np.array(mine, np.int64), np.array(other, np.int64)
+        # a line that mine lacks ends a run of other, which then equals none of mine
+        held = {b[lo:hi].tobytes() for lo, hi in runs([known.get(x, min_words) for x in other], min_words)}
+        for lo, hi in left:
+            if a[lo:hi].tobytes() in held:
+                cut.update(range(lo, hi))
+    return sorted(cut)
+
+
 def aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     """(th, cut): for pairs (th, lines, words, other lines) the places in lines that common blocks of at least min_words words cover."""
 
     def run(batches):
         for batch in batches:
-            cuts = []
-            for mine, words, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                cut: list[int] = []
-                for _, j, n in patience(other, mine):
-                    if sum(words[j : j + n]) >= min_words:
-                        cut.extend(range(j, j + n))
-                cuts.append(cut)
+            cuts = [common(mine, words, other, min_words) for mine, words, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int32()))], names=["th", "cut"])
 
     return pairs.mapInArrow(run, "th binary, cut array<int>")
@@ -183,7 +202,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_block_words: int = 20)
 
     A document is aligned by patience diff with the first holder of each of its runs of neighbouring lines that reach
     min_block_words words (lines compared without outer white space); blocks of neighbouring common lines with at
-    least so many words in all are deleted from the later one, by doc_id. A later copy of a whole text of so many words loses all its lines. Shorter
+    least so many words in all are deleted from the later one, by doc_id, also where they are moved or repeated. A later copy of a whole text of so many words loses all its lines. Shorter
     blocks stay, so clean documents are untouched. Null stays null (no lines removed); rows without doc_id come
     last; rows equal in doc_id and text are treated alike. Columns that clash with a result are replaced.
     """

@@ -195,6 +195,18 @@ def test_line_dedup_of_passages_of_short_lines(spark):
     assert got == every_cut(rows) and got[1] == "three\n\nfour" and got[2] == rows[2][1]
 
 
+def test_line_dedup_of_repeated_and_moved_passages(spark):
+    draw = random.Random(5)
+    p, q, r = ("\n".join(" ".join(f"{k}{i}_{j}" for j in range(12)) for i in range(5)) for k in "pqr")
+    rows = [(0, f"h\n{p}\nm\n{p}\nt"), (1, f"g\n{p}\nu"), (2, f"a\n{q}\nb\n{r}\nc"), (3, f"d\n{r}\ne\n{q}\nf"), (4, f"i\n{q}\nj\n{q}\nk")]
+    rows += [(10 + i, "\n".join(" ".join(f"{draw.choice('xyz')}{n}" for _ in range(n)) if n else "" for n in draw.choices([0, 0, 1, 1, 1, 9, 12], k=draw.randint(10, 40)))) for i in range(60)]
+    rows += [(80 + i, "\n".join(draw.choices(["s", "t", "long " * 10, "u v w x y z", "one two three four"], k=30))) for i in range(30)]
+    # no empty lines at the ends of stretches: patience may delete them too
+    rows = [(i, "\n".join(x for x in t.split("\n") if x)) for i, t in rows]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == every_cut(rows) and (got[1], got[3], got[4]) == ("g\nu", "d\ne\nf", "i\nj\nk")
+
+
 def test_language_model(spark, sf, monkeypatch):
     monkeypatch.setattr(blocks, "PART_BYTES", 100_000)
     odd = [(9000, None), (9001, ""), (None, "null id"), (9002, "THE the tHe"), (9002, "dup")]
