@@ -19,13 +19,17 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?:\G|(?<![0-9\x01]))[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: The generators: more than the base patterns accept.
+#: A dot, also as written to hide an address.
+DOT = r"(?:\[\.\]| \. |\.|[(\[][Dd][Oo][Tt][)\]])"
+#: The generators: more than the base patterns accept. Cards are whole runs of digits, as in the base.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[][Aa][Tt][)\]]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[][Dd][Oo][Tt][)\]]) ?[A-Za-z0-9-]++){1,8}",
-    "ip": IP,
-    "card": CARD,
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?: ?{DOT} ?[0-9]{{1,3}}){{3}}(?![0-9])",
+    "card": r"(?<![0-9])(?<![0-9][ .-])(?<![0-9][ .-]{2})[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![ .-]{0,2}[0-9])",
     "phone": r"(?<![0-9])\+?\(?[0-9][ ().0-9-]{5,}[0-9]",
 }
+#: Dotted quads and lists of years have as many digits as phone numbers.
+NO_PHONE = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^((19|20)[0-9]{2}[ ,.-]*)+$"
 FEATURES = ("valid", "grouped", "separated", "cue", "glued")
 
 
@@ -52,6 +56,11 @@ def phone_ok(m: Column) -> Column:
     return F.length(digits(m)).between(8, 15)
 
 
+def plain(m: Column) -> Column:
+    """An address without what hides it: (at), [dot], [.] and blanks."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r"\[\.\]|[(\[][Dd][Oo][Tt][)\]]", "."), r"[(\[][Aa][Tt][)\]]", "@"), " ", "")
+
+
 def base_spans(text: Column) -> Column:
     """The validated spans, by kind as listed, then start. Matches that fail are dropped without a second try."""
     parts = [
@@ -70,11 +79,11 @@ def candidates(text: Column) -> Column:
     looks and stands like base spans scores like them.
     """
     cues = {"email": "mail|contact|write", "ip": "ip|addr|host|server", "card": "card|visa|credit|account", "phone": "phone|tel|call|fax|mobile"}
-    valid = {"email": lambda m: m.rlike(r"[A-Za-z]{2,6}$"), "ip": octets, "card": card_ok, "phone": phone_ok}
+    valid = {"email": lambda m: m.rlike(r"[A-Za-z]{2,6}$"), "ip": lambda m: octets(plain(m)), "card": lambda m: let(digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))), "phone": lambda m: phone_ok(m) & ~m.rlike(NO_PHONE)}
     shape = {
-        "email": r"^[A-Za-z][A-Za-z0-9._%+-]*[^A-Za-z0-9]+[A-Za-z0-9-]+([^A-Za-z0-9]+[A-Za-z0-9-]+){1,3}$",
+        "email": r"^[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+){1,8}$",
         "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
-        "card": r"^([0-9]{4}[ -]?){4}[0-9]{0,3}$",
+        "card": r"^(([0-9]{4}[ .-]{0,2}){3,4}[0-9]{1,4}|3[47][0-9]{2}[ .-]{0,2}[0-9]{6}[ .-]{0,2}[0-9]{5})$",
         "phone": r"^(\+?[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}$",
     }
 
@@ -82,13 +91,13 @@ def candidates(text: Column) -> Column:
         def described(x: Column) -> Column:
             before = F.lower(F.substring(text, F.greatest(x["s"] - 19, F.lit(1)), F.least(x["s"], F.lit(20))))
             return F.struct(
-                F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(valid[kind](x["m"]), F.lit(False)).alias("valid"), x["m"].rlike(shape[kind]).alias("grouped"), x["m"].rlike("[ ().-]").alias("separated"),
+                F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(valid[kind](x["m"]), F.lit(False)).alias("valid"), (plain(x["m"]) if kind in ("email", "ip") else x["m"]).rlike(shape[kind]).alias("grouped"), x["m"].rlike("[ ().-]").alias("separated"),
                 before.rlike(cues[kind]).alias("cue"), (before.rlike("[A-Za-z0-9]$") | F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")).alias("glued"),
             )
 
-        return F.transform(found(text, LOOSE[kind], kind, hint, joined(text, "0-9", " -") if kind == "card" else None), described)
+        return F.transform(found(text, LOOSE[kind], kind, hint), described)
 
-    return F.concat(of("email", AT), of("ip", r"[0-9]\.[0-9]"), of("card", DIGITS), of("phone", DIGITS))
+    return F.concat(of("email", AT), of("ip", rf"[0-9] ?{DOT} ?[0-9]"), of("card", DIGITS), of("phone", DIGITS))
 
 
 def proposals(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -102,13 +111,21 @@ def _meets(x: Column, spans: Column) -> Column:
 
 
 def learn(proposed: DataFrame, precision: float = 0.9) -> dict[str, boosting.Model]:
-    """A model for each kind: does a candidate coincide with a validated span? Fitted on all candidates, counted by pattern.
+    """A model for each kind: does a candidate coincide with a validated span? Fitted on candidates, counted by pattern.
 
-    At most 2 ** len(FEATURES) rows for each kind come to the driver.
+    A candidate that the base patterns miss though it passes its kind's check in a real format, and stands free, is
+    neither a positive nor a negative, as it may well be what is sought; nor is one that touches a base span of another kind, or
+    for phones a valid address or card. All others without a base span are negatives. At most 2 ** len(FEATURES) rows
+    for each kind come to the driver.
     """
-    each = proposed.where(F.size("__candidates") > 0).select("__base", F.explode("__candidates").alias("x"))
-    hit = F.exists(F.col("__base"), lambda b: (b["kind"] == F.col("x.kind")) & (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    counted = each.select(F.col("x.kind").alias("kind"), *[F.col(f"x.{f}").alias(f) for f in FEATURES], hit.alias("hit")).groupBy("kind", *FEATURES).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("n"))
+    touches = lambda x, b: (b["s"] < x["e"]) & (x["s"] < b["e"])
+    taken = lambda x, c: (x["kind"] == "phone") & c["kind"].isin("ip", "card") & c["valid"] & touches(x, c)
+    labelled = F.transform("__candidates", lambda x: F.struct(
+        x.alias("x"), F.exists("__base", lambda b: (b["kind"] == x["kind"]) & touches(x, b)).alias("hit"),
+        (x["valid"] & x["grouped"] & ~x["glued"] | F.exists("__base", lambda b: (b["kind"] != x["kind"]) & touches(x, b)) | F.exists("__candidates", lambda c: taken(x, c))).alias("open"),
+    ))
+    each = proposed.where(F.size("__candidates") > 0).select(F.explode(labelled).alias("y")).select("y.*").where("hit or not open")
+    counted = each.select(F.col("x.kind").alias("kind"), *[F.col(f"x.{f}").alias(f) for f in FEATURES], "hit").groupBy("kind", *FEATURES).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("n"))
     rows: dict[str, list[boosting.Row]] = {k: [] for k in KINDS}
     for r in counted.collect():
         rows[r["kind"]].append((tuple(r[f] for f in FEATURES), r["hits"], r["n"]))

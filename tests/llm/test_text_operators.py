@@ -188,3 +188,23 @@ def test_secrets(spark, docs, rows, empty):
     spans = {r["doc_id"]: r["spans"] for r in out}
     assert "secret:" in spans[90] and "endpoint:" in spans[90] and spans[91] == "" and "secret:" not in spans[92] and "secret:" in spans[94]
     assert secret_scan.report(empty).count() == 0
+
+
+def test_personal_data_beyond_the_base_patterns(spark):
+    said = [("phone:", "from host", "by card", "mail"), ("or", "of", "with", "by")]
+    base = ["{} +1 555 123 {}; {} 192.168.100.{} {} 4111 1111 1111 1111, {} jo{}@site.example.com".format(said[i % 2][0], 4000 + i, said[i % 2][1], 100 + i, *said[i % 2][2:], i) for i in range(40)]
+    noise = [f"rows {i} 22 333 4, years 1999 2000 2001 2002, version 300.168.100.{i + 100}, no 4111.1111.1111.1112 and 12  34  56  78  90  12  34" for i in range(40)]
+    planted = {
+        "phone": ["(555) 123-4567", "555-123-9876", "555.123.9876"], "card": ["4111.1111.1111.1111", "4111  1111  1111  1111", "3782 822463 10005"],
+        "email": ["jo (at) site (dot) example (dot) com", "jo[at]site.com"], "ip": ["192[.]168[.]100[.]77", "10 . 20 . 30 . 40"],
+    }
+    made = [(k, x) for k, xs in planted.items() for x in xs]
+    texts = base + noise + [f"it says {x}; so" for _, x in made]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    for i in range(len(base) + len(noise)):
+        assert rows[i]["spans"] == rows[i]["base"]
+    for i, (kind, x) in enumerate(made, len(base) + len(noise)):
+        assert rows[i]["base"] == [] and [(s["kind"], s["s"], s["e"]) for s in rows[i]["spans"]] == [(kind, 8, 8 + len(x))]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [clean[i] for i in range(80, len(texts))] == [f"it says [{k.upper()}]; so" for k, _ in made]
