@@ -54,6 +54,14 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return max(1, -(-size // bytes_each))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Binds an expression to a lambda variable, so that it is computed once per row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Cache, coded
-from .common import LOWER, components, slices, stash
+from .common import LOWER, components, slices, spare, stash
 
 #: Shingles are spread over so many places, which two permutations of them order.
 PLACES = 1 << 20
@@ -126,11 +126,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def sharing_rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of members (rep, root, n) of different roots that can reach percent and share a rare shingle.
+def rooted(rows: DataFrame, column: str, steps: list[DataFrame]) -> DataFrame:
+    """rows with column replaced by its root, step by step; steps have (v, root)."""
+    for step in steps:
+        new = step.select(F.col("v").alias("__v"), F.col("root").alias("__r"))
+        rows = rows.join(new, F.col(column) == F.col("__v"), "left").withColumn(column, F.coalesce("__r", column)).drop("__v", "__r")
+    return rows
+
 
-    With shingles in a joint order, by their number of members and then by hash, two sets that reach percent share one
-    of the first n - ceil(percent / 100 * n) + 1 of both. Shingles of one member come first and need no rows.
+def sharing_rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members (rep, root, n) of different roots that can reach percent by the place of a shared shingle in both. Exact.
+
+    With shingles in a joint order, by their number of members and then by hash, no common shingle of a pair stands before
+    its first one, so the sets share at most what is left of each from there on. A set of n shingles of which r are left from
+    a shingle on can thus reach percent only with sets of at most (100 + percent) / percent * r - n (its cap). A passage that
+    any number of sets share stands behind what is each one's own, so its shingles leave too little. Before the join each entry is held
+    against the smallest set, and the largest cap, that its shingle has under another root; both are sums by (shingle, root).
+    Shingles of one member come first and need no rows.
     """
 
     def run(batches):
@@ -146,10 +158,18 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     tokens = stash(full.mapInArrow(run, "rep long, root long, n long, own long, shingle long"))
     known = stash(tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("rep", "own")
-    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle"))
-    early = stash(tokens.join(known, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("shingle", "rep", "root", "n"))
-    x, y = early.alias("x"), early.alias("y")
-    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    rest = F.count("*").over(own) - F.row_number().over(own.orderBy("df", "shingle")) + 1
+    cap = F.floor((100 + percent) * F.col("rest") / percent) - F.col("n")
+    entries = tokens.join(known, "shingle").withColumn("rest", rest).withColumn("cap", cap).where(100 * F.col("cap") >= percent * F.col("n"))
+    early = stash(entries.select("shingle", "rep", "root", "n", "cap"))
+    by_root = stash(early.groupBy("shingle", "root").agg(F.min("n").alias("lo"), F.max("cap").alias("hi")))
+    ends = by_root.groupBy("shingle").agg(F.min(F.struct("lo", "root")).alias("lo1"), F.max(F.struct("hi", "root")).alias("hi1"), F.count("*").alias("roots")).where("roots > 1")
+    other = by_root.join(ends, "shingle").groupBy("shingle", "lo1", "hi1").agg(F.min(F.when(F.col("root") != F.col("lo1.root"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("root") != F.col("hi1.root"), F.col("hi"))).alias("hi2"))
+    smallest = F.when(F.col("root") != F.col("lo1.root"), F.col("lo1.lo")).otherwise(F.col("lo2"))
+    widest = F.when(F.col("root") != F.col("hi1.root"), F.col("hi1.hi")).otherwise(F.col("hi2"))
+    able = stash(early.join(other, "shingle").where((smallest <= F.col("cap")) & (widest >= F.col("n"))).select("shingle", "rep", "root", "n", "cap"))
+    x, y = able.alias("x"), able.alias("y")
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap"))
     return x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -164,9 +184,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     a band every member is compared with the bucket's smallest member rather than with all others; a bucket whose
     members then lie in one component needs no more. What is left of other buckets gets another such round without
     the members already compared with all. Then its pairs across components are compared, but for those that can't
-    reach percent: too different in size, or without a common shingle among the rarest of both (sharing_rare, exact),
-    so that documents which share a frequent passage make no pairs. No possible link between components is left
-    unchecked, and a large group of near copies costs a few comparisons a member.
+    reach percent by their sizes and the places of their shared shingles (sharing_rare, exact), so that documents which
+    share a frequent passage make no pairs. No possible link between components is left unchecked, and a large group
+    of near copies costs a few comparisons a member. Each round works on the components of the last one.
 
     Null texts and texts without words have no shingles and link with nothing. Rows with the same doc_id are one
     vertex. Rows without doc_id link with nothing, have no component and are kept.
@@ -180,35 +200,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     wanted = members.select("rep").distinct()
     sets = stash(sets_of(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), text, width).distinct())
 
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("rep") != F.col("pivot"))
-    # several classes under one doc_id are one vertex already
-    same_id = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    edges, left, tried = same_id, members, None
-    labels = None
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("pivot_root"))
+    left, tried, steps = members.select("key", "rep", "n", F.col("rep").alias("root")), None, []
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """(v, r): the new root of every root that the links among pairs (a, b) move, roots by the steps so far."""
+        links = stash(verified(pairs, sets, percent))
+        return components(rooted(rooted(links, "a", steps), "b", steps))
+
     for _ in range(rounds):
-        left = left.select("key", "rep", "n")
-        pivots = stash(left.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m")))
-        compared = left.join(pivots, "key")
-        pairs = compared.where(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pivots = stash(left.groupBy("key").agg(F.min(F.struct("rep", "n", "root")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root")))
+        pairs = left.join(pivots, "key").where(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = stash(edges.unionByName(verified(pairs, sets, percent)))
-        labels = components(edges)
+        steps.append(merged(pairs))
+        left = stash(rooted(left, "root", steps[-1:]))
         # a bucket is settled when all its members lie in one component
-        rooted = stash(left.join(labels, left["rep"] == labels["v"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
-        split = stash(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("pivot")).where("lo < hi").select("key", "pivot"))
-        left = stash(rooted.join(split, "key").where("rep <> pivot").select("key", "rep", "n", "root"))
+        split = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("pivot")).where("lo < hi").select("key", "pivot")
+        left = stash(left.join(split, "key").where("rep <> pivot").select("key", "rep", "n", "root"))
     rest = sharing_rare(stash(left.select("rep", "root", "n").distinct()), sets, percent)
-    rest = stash(rest.join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(rest, sets, percent))
-    labels = components(edges)
-    roots = stash(classes.join(labels, classes["rep"] == labels["v"], "left").select(F.col("cls").alias("c"), F.coalesce("root", "rep").alias("root")))
+    steps.append(merged(stash(rest.join(tried, ["a", "b"], "left_anti"))))
+    roots = stash(rooted(classes.select(F.col("cls").alias("c"), F.col("rep").alias("root")), "root", steps))
     linked = seen.select("doc_id", "n_shingles", "cls").join(roots, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, unchanged. Settings as for near_duplicates."""
-    gone = stash(near_duplicates(docs, text, **settings).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs whose doc_id is the smallest of its component, unchanged. Settings and nulls as for near_duplicates."""
+    name = spare(docs, "gone")
+    gone = stash(near_duplicates(docs.select("doc_id", F.col(f"`{text}`").alias("text")), **settings).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

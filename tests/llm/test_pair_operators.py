@@ -275,3 +275,21 @@ def test_pipeline(spark, sf):
     assert after["personal_data"].where(F.col("text").rlike(r"[a-z0-9]@[a-z0-9]+\.[a-z]")).count() == 0
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_minhash_of_texts_that_share_one_passage(spark):
+    draw = random.Random(8)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for i in range(150):
+        own = [f"u{i}_{k}" for k in range(draw.choice((5, 14, 18, 22, 26, 30, 40, 60)))]
+        texts.append((i, " ".join(passage + own if i % 2 else own + passage)))
+    texts += [(200 + i, " ".join(f"q{k}" if draw.random() > 0.012 else f"v{i}_{k}" for k in range(150))) for i in range(80)]
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in texts)}
+    links = {(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and 100 * len(x & y) >= 75 * len(x | y)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    members = spark.createDataFrame([(i, i, len(x)) for i, x in sets.items()], "rep long, root long, n long")
+    able = {tuple(r) for r in minhash.sharing_rare(members, minhash.sets_of(docs, "text", 5), 75).collect()}
+    assert links <= able and len(able) < 1.2 * len(links) < len(sets) * (len(sets) - 1) / 2
+    root = roots(sets, links)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, rounds=1).collect()} == set(root.items())
