@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
-from .spans import SPAN, count, digest, found
+from .common import as_row, from_row, let, named, others, stash
+from .spans import SPAN, count, digest, found, none
 
 KINDS = ("assign", "access", "hex")
-#: The added kinds: a bare secret, and an endpoint, reported only beside their complements.
-WEAK = ("secret", "endpoint")
+#: The added kinds: an identifier, a bare secret, and an endpoint, reported only beside their complements.
+WEAK = ("ident", "secret", "endpoint")
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-SECRET = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+|mongodb|redis|postgres)://[A-Za-z0-9._:@/-]+|(?<![A-Za-z0-9.-])(?:s3|sts|iam|ec2|dynamodb)[A-Za-z0-9.-]*\.amazonaws\.com"
+#: A name for a user, client or key, and its value.
+IDENT_NAME = r"(?i:\b(?:user(?:_?name|_?id)?|login|account(?:_?id|_?name)?|client_?id|tenant_?id|app_?id|(?:aws_?)?access_?key_?id)\b)[\"']?\x20*[:=]\x20*[\"']?"
+IDENT = IDENT_NAME + r"[A-Za-z0-9._@+-]*[A-Za-z0-9]"
+SECRET = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?:https?|s3|ftp|sftp|ssh|amqps?|jdbc:[a-z]+|mysql|mongodb(?:\+srv)?|rediss?|postgres(?:ql)?)://[A-Za-z0-9._:@/-]+|(?<![A-Za-z0-9.-])(?:s3|sts|iam|ec2|dynamodb)[A-Za-z0-9.-]*\.amazonaws\.com"
 
 
 def base_spans(text: Column) -> Column:
@@ -31,55 +34,71 @@ def ordered(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))).cast(SPAN))
 
 
-def weak_spans(text: Column) -> Column:
-    """Candidates that alone say little: 40 characters of base 64 with upper and lower case and digits, and endpoints."""
+def weak_spans(text: Column, base: Column) -> Column:
+    """Candidates that alone say little and touch neither a base span nor one of an earlier kind: values of names for users
+    and clients; 20 and more characters of base 64 with upper and lower case and digits; endpoints."""
     mixed = lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]") & x["m"].rlike("[0-9]")
-    return F.concat(F.filter(found(text, SECRET, "secret", "[A-Za-z0-9+/]{40}"), mixed), found(text, ENDPOINT, "endpoint", "://|amazonaws"))
+    free = lambda spans, taken: F.filter(spans, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    more = lambda spans: lambda taken: F.concat(taken, free(spans, taken))
+    found_ = base
+    for spans in (found(text, IDENT, "ident", IDENT_NAME), F.filter(found(text, SECRET, "secret", "[A-Za-z0-9+/_-]{20}"), mixed), found(text, ENDPOINT, "endpoint", "://|amazonaws")):
+        found_ = let(found_, more(spans))
+    return F.filter(found_, lambda x: x["kind"].isin(*WEAK))
+
+
+#: What role a span has in a credential, and the roles one of which each weak kind needs beside it.
+ROLE = {"access": "id", "ident": "id", "assign": "secret", "hex": "secret", "secret": "secret", "endpoint": "endpoint"}
+NEEDS = {"ident": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
 
 
 def linked(parts: DataFrame, reach: int) -> DataFrame:
     """(row, kind, s, e) of the weak parts whose complement lies within reach code points in the same text.
 
-    parts: (row, role, kind, s, e); role is id, secret or endpoint. A secret needs an id, an endpoint needs an id or
-    a secret that has one. Parts meet by (row, scope), a scope being reach code points long; a weak part is sent to
-    the scopes that its reach touches, so ranges are compared inside scopes, never over a whole text. A strong part's
-    neighbours in its scope are all nearer than reach, so of each scope the first and the last strong part decide.
+    parts: (row, kind, s, e), end exclusive. A bare secret needs an identifier, of either kind; an identifier needs a secret,
+    found by its pattern or bare; an endpoint needs a secret or an identifier that is a base span or reported itself. Parts
+    meet by (row, scope), a scope being reach code points long: a part is sent to the scopes that it touches, a weak
+    one to those that its reach touches, so ranges are compared inside scopes, never over a whole text. A weak part's
+    range, twice as long as a scope, holds at least one end of each scope that it touches, so of the complements in a
+    scope, cut to it, the smallest start and the largest end decide.
     """
     scope = lambda c: F.floor(c / reach)
 
-    def near(weak: DataFrame, strong: DataFrame) -> DataFrame:
-        ends = strong.groupBy("row", scope(F.col("s")).alias("scope")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    def near(weak: DataFrame, other: DataFrame) -> DataFrame:
+        cut = other.select("row", "s", "e", F.explode(F.sequence(scope(F.col("s")), scope(F.col("e")))).alias("scope"))
+        ends = cut.groupBy("row", "scope").agg(F.min(F.greatest("s", F.col("scope") * reach)).alias("first"), F.max(F.least("e", (F.col("scope") + 1) * reach)).alias("last"))
         sent = weak.withColumn("scope", F.explode(F.sequence(scope(F.col("s") - reach), scope(F.col("e") + reach))))
         hit = (F.col("first") <= F.col("e") + reach) & (F.col("last") >= F.col("s") - reach)
-        return sent.join(ends, ["row", "scope"]).where(hit).select("row", "role", "kind", "s", "e").distinct()
+        return sent.join(ends, ["row", "scope"]).where(hit).select("row", "kind", "s", "e").distinct()
+
+    def of(role: str, table: DataFrame = parts) -> DataFrame:
+        return table.where(F.col("kind").isin(*[k for k, r in ROLE.items() if r == role]))
 
-    ids = parts.where("role = 'id'")
-    secrets = near(parts.where("role = 'secret'"), ids)
-    endpoints = near(parts.where("role = 'endpoint'"), ids.unionByName(secrets))
-    return secrets.unionByName(endpoints).select("row", "kind", "s", "e")
+    out = None
+    for kind in ("ident", "secret"):
+        hits = near(parts.where(F.col("kind") == kind), of(NEEDS[kind][0]))
+        out = hits if out is None else out.unionByName(hits)
+    out = stash(out)
+    sure = parts.where(F.col("kind").isin(*KINDS)).select("row", "kind", "s", "e").unionByName(out)
+    return out.unionByName(near(parts.where("kind = 'endpoint'"), sure))
 
 
 def detect(docs: DataFrame, text: str = "text", reach: int = 400) -> DataFrame:
     """docs' other columns with base and spans, arrays of (kind, s, e, m) in code points, end exclusive; m is empty for added ones.
 
-    Rows are known by a hash of all their columns, so repeated rows share their spans and none multiplies. Null and
-    empty texts have no spans; an empty table gives an empty result; columns that clash with a result are replaced.
-    Texts are read once: what was found goes to the shared folder, and only rows with weak parts enter the joins.
+    Rows are known by a hash of their texts, so repeated texts share their spans and none multiplies. Null and empty texts
+    have no spans; an empty table gives an empty result; columns that clash with a result are replaced. Texts are
+    read once: what was found goes to the shared folder, and only texts with weak parts enter the joins. A text's
+    spans, never more than its length allows, are together in one row.
     """
-    keep = [c for c in docs.columns if c not in (text, "base", "spans")]
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    row = F.concat_ws("-", F.xxhash64(whole), F.xxhash64(F.lit(1), whole), F.length(whole))
-    seen = stash(docs.select(*[F.col(f"`{c}`") for c in keep], row.alias("__row"), base_spans(whole).alias("base"), weak_spans(whole).alias("__weak")))
-    some = seen.where(F.size("__weak") > 0)
-    part = lambda roles, spans: F.transform(spans, lambda x: F.struct(roles(x).alias("role"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    strong = part(lambda _: F.lit("id"), F.filter("base", lambda x: x["kind"] == "access"))
-    weak = part(lambda x: x["kind"], F.col("__weak"))
-    parts = some.groupBy("__row").agg(F.first("base").alias("base"), F.first("__weak").alias("__weak")).select(F.col("__row").alias("row"), F.explode(F.concat(strong, weak)).alias("x")).select("row", "x.*")
-    added = linked(parts, reach).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("__added"))
-    added = stash(added)
-    more = F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,s:int,e:int>>")), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))
-    free = F.filter(more, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return seen.join(added, seen["__row"] == added["row"], "left").select(*[F.col(f"`{c}`") for c in keep], "base", ordered(F.concat("base", free)).alias("spans"))
+    keep = others(docs, text, "base", "spans")
+    whole = F.coalesce(named(text).cast("string"), F.lit(""))
+    key = F.concat_ws("-", F.xxhash64(whole), F.xxhash64(F.lit(1), whole), F.length(whole))
+    both = let(base_spans(whole), lambda b: F.struct(b.alias("base"), weak_spans(whole, b).alias("weak")))
+    seen = stash(docs.select(as_row(keep).alias("row"), key.alias("key"), both.alias("x")).select("row", "key", "x.*"))
+    some = seen.where(F.size("weak") > 0).groupBy("key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
+    parts = stash(some.select(F.col("key").alias("row"), F.explode(F.concat("base", "weak")).alias("x")).select("row", "x.kind", "x.s", "x.e"))
+    added = stash(linked(parts, reach).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("kind", "s", "e", F.lit("").alias("m"))).alias("added")))
+    return seen.join(added, seen["key"] == added["of"], "left").select(*from_row(keep), "base", ordered(F.concat("base", F.coalesce("added", none()).cast(SPAN))).alias("spans"))
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
