@@ -7,15 +7,14 @@ order of the requests. A word of any frequency is one entry for each block, so n
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_dir
+from . import common
+from .common import new_path, parts_for
 
 #: Text of one block, in characters.
 BLOCK_CHARS = 6 << 20
@@ -99,11 +98,12 @@ def collected(batches, doc_column: int = 0, text_column: int = 1):
 
 
 def stored(blocks: DataFrame, buckets: int) -> DataFrame:
-    """blocks as a table in the shared folder, bucketed by block, so that joins by block don't move it again."""
+    """blocks as a table in the shared folder, bucketed by block, so that joins by block don't move it again. sweep() drops it."""
     spark = blocks.sparkSession
-    name = f"purposegraph_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/purposegraph-{spark.sparkContext.applicationId}/{name}"
+    path = new_path(spark)
+    name = f"purposegraph_{path.rpartition('/')[2]}"
     blocks.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    common._made.insert(len(common._made) - 1, ("table", name))
     return spark.table(name)
 
 

@@ -57,12 +57,13 @@ def _best(rows: list[tuple[tuple[bool, ...], float, float]], n: int, ridge: floa
     return best
 
 
-def fit(rows: list[Row], n_features: int, rounds: int = 30, rate: float = 0.3, ridge: float = 1.0, precision: float = 0.9) -> Model:
+def fit(rows: list[Row], n_features: int, rounds: int = 30, rate: float = 0.3, ridge: float = 1.0, precision: float = 0.9, held: list[Row] | None = None) -> Model:
     """Boosted trees of depth two on logistic loss, and a threshold calibrated to the wanted precision.
 
-    rows: feature patterns with positives and all of them, at most 2 ** n_features whatever the corpus. The
-    threshold is the lowest score down to which every pattern's positives are at least `precision` of its rows;
-    without such a score, or without rows, nothing passes it.
+    rows: feature patterns with positives and all of them, at most 2 ** n_features whatever the corpus. held: the same
+    of texts that the trees aren't fitted on. The threshold is the lowest score down to which every pattern's positives
+    are at least `precision` of its held rows (of its own ones where no held row has it); without such a score, or
+    without rows, nothing passes it.
     """
     rows = sorted(rows)
     n, positives = sum(r[2] for r in rows), sum(r[1] for r in rows)
@@ -83,7 +84,8 @@ def fit(rows: list[Row], n_features: int, rounds: int = 30, rate: float = 0.3, r
         trees.append(tree)
         odds = {x: v + tree.value(x) for x, v in odds.items()}
     model, threshold = Model(base, tuple(trees), 2.0), 2.0
-    for score, pos, count in sorted(((model.score(x), pos, count) for x, pos, count in rows), reverse=True):
+    known = {x: (pos, count) for x, pos, count in rows} | {x: (pos, count) for x, pos, count in held or []}
+    for score, pos, count in sorted(((model.score(x), *n) for x, n in known.items()), reverse=True):
         if pos < precision * count:
             break
         threshold = score

@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,35 +16,57 @@ WORD = r"[^ \t-\r]+"
 SLICE_BYTES = 4 << 20
 
 
+#: What stash() and blocks.stored() have written, in order: paths and names of catalog tables.
+_made: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: the session's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder every executor shares: the session's spark.checkpoint.dir. One of our own only where that is unset and the
+    executors are threads of this process; elsewhere each would write to its own disk, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/purposegraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _made.append(("path", path))
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/purposegraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many tables have been stashed so far, for sweep()."""
+    return len(_made)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes this application's stashed tables; call when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/purposegraph-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables stashed from mark `since` on; call when no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for kind, name in _made[since:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    del _made[since:]
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """How many parts of about bytes_each the input makes, by Catalyst's size estimate (for file scans the files' bytes).
 
-    Where Spark has no estimate, the session's number of shuffle partitions. Sizes tasks only; results don't depend on it.
+    Where Spark has no estimate, the session's number of shuffle partitions. Sizes tasks only.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 50:
@@ -62,6 +82,26 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever is in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """df's columns but for those that results replace."""
+    taken = {c.lower() for c in made}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def as_row(columns: list[str]) -> Column:
+    """The columns as one struct, out of the way of whatever else a table is to hold."""
+    return F.struct(*[named(c) for c in columns]) if columns else F.struct(F.lit(True).alias("none"))
+
+
+def from_row(columns: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def let(value: Column, body) -> Column:
     """Binds an expression to a lambda variable, so that it is computed once per row however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -79,19 +119,6 @@ def slices(texts: list, limit: int = SLICE_BYTES):
         yield lo, len(texts)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """A batch's texts; null counts as empty."""
-    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def ragged(parts: list, dtype) -> pa.Array:
-    """List array from numpy arrays."""
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    flat = np.concatenate(parts) if parts else np.empty(0, dtype)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(dtype)))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): for every vertex of an undirected edge list, the smallest vertex of its component.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import as_row, from_row, named, others, stash
 
 
 def _unique(lines: list[int], lo: int, hi: int) -> dict[int, int]:
@@ -95,7 +95,7 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
             words = [[len(x.split()) for x in s] for s in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(th, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "th", "lines", "words"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long"), named(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, th binary, lines array<long>, words array<int>")
 
 
@@ -207,33 +207,33 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_block_words: int = 20)
     last; rows equal in doc_id and text are treated alike. Columns that clash with a result are replaced.
     """
     texts, places = cuts(docs, text, min_block_words)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
-    body = F.col(f"`{text}`").cast("string")
-    digest = docs.select(*[F.col(f"`{c}`") for c in keep], body.alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__late"))
-    table = stash(texts.join(places, "th", "left").select(F.col("th").alias("__key"), F.col("first").alias("__first"), F.col("n_words").alias("__words"), F.col("cut").alias("__cut")))
-    tagged = with_hash(digest)
-    joined = tagged.join(table, F.col("__th") == F.col("__key"), "left")
-    copy = (F.col("__late") > F.col("__first")) & (F.col("__words") >= min_block_words)
-    lines = F.split(F.col("__text"), "\n", -1)
+    keep = others(docs, "n_lines", "n_removed", text)
+    rows = docs.select(as_row(keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("late"), named(text).cast("string").alias("text"))
+    table = stash(texts.join(places, "th", "left").select(F.col("th").alias("key"), "first", F.col("n_words").alias("words"), "cut"))
+    tagged = with_hash(rows)
+    joined = tagged.join(table, F.col("th") == F.col("key"), "left")
+    copy = (F.col("late") > F.col("first")) & (F.col("words") >= min_block_words)
+    lines = F.split(F.col("text"), "\n", -1)
     n = F.size(lines)
-    gone = F.coalesce(F.size("__cut"), F.lit(0))
+    gone = F.coalesce(F.size("cut"), F.lit(0))
     # a cut list is sorted; lines between cuts are sliced out, so long texts take linear time
-    edges = F.concat(F.array(F.lit(-1)), F.col("__cut"), F.array(n))
-    left = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__cut") + 1), lambda i: F.slice(F.col("__lines"), F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1)))
-    out = joined.withColumn("__lines", lines)
-    new = F.when(F.col("__text").isNull(), None).when(copy, F.lit("")).when(gone == 0, F.col("__text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(n).cast("long")
-    removed = F.when(F.col("__text").isNull(), 0).when(copy, n).otherwise(gone).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in keep], new.alias(text), n_lines.alias("n_lines"), removed.alias("n_removed")).select(*[F.col(f"`{c}`") for c in docs.columns if c in (*keep, text)], "n_lines", "n_removed")
+    edges = F.concat(F.array(F.lit(-1)), F.col("cut"), F.array(n))
+    left = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cut") + 1), lambda i: F.slice(F.col("lines"), F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1)))
+    new = F.when(F.col("text").isNull(), None).when(copy, F.lit("")).when(gone == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    removed = F.when(F.col("text").isNull(), 0).when(copy, n).otherwise(gone).cast("long")
+    made = joined.withColumn("lines", lines).select("row", new.alias("new"), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    out = dict(zip(keep, from_row(keep), strict=True)) | {text: F.col("new").alias(text)}
+    return made.select(*[out[c] for c in docs.columns if c in out], "n_lines", "n_removed")
 
 
 def with_hash(rows: DataFrame) -> DataFrame:
-    """rows with __th, the hash of lines_of, in one batch-wise map."""
+    """rows with th, the hash of lines_of, in one batch-wise map."""
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index("text")
             th = [xxhash.xxh3_128_digest(t.as_buffer()) if t.is_valid else xxhash.xxh3_128_digest(b"") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(th, pa.binary())], names=[*batch.schema.names, "__th"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(th, pa.binary())], names=[*batch.schema.names, "th"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__th", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("th", T.BinaryType())]))

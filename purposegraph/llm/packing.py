@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import Cache, Merges, WordLevel, coded, gathered
-from .common import slices, stash
+from .common import as_row, from_row, named, others, slices, stash
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))[: 5 + ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=schema.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), named(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class Lengths:
@@ -158,9 +158,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     Every piece gets its rank among those of its length from counts by (length, salt), so that a length that a
     third of all pieces have is dealt over many tasks; ties go by doc_id, piece and checksum, and rows equal in
     all of them are interchangeable. Only the histogram of lengths (capacity rows at most) is collected. The
-    plan's slots are joined by length and rank. Empty input gives an empty result.
+    plan's slots are joined by length and rank. Empty input gives an empty result; columns that clash with a result are
+    replaced; pieces with a null length are no pieces and go.
     """
-    kept = stash(pieces)
+    keep = others(pieces, "sequence_id", "offset")
+    kept = stash(pieces.select("doc_id", "piece", "length", "ids_crc32", as_row(keep).alias("row")).where("length is not null"))
     counts = {r[0]: r[1] for r in kept.groupBy("length").count().collect()}
     slots = plan(counts, capacity)
     salts = max(1, int(sum(counts.values()) ** 0.5))
@@ -178,5 +180,5 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         ranked.join(table, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
         .withColumn("sequence_id", F.col("__sequence") + F.floor(at / F.col("__k")))
         .withColumn("offset", F.col("__offset") + F.pmod(at, F.col("__k")) * F.col("length"))
-        .select(*[F.col(f"`{c}`") for c in kept.columns], "sequence_id", "offset")
+        .select(*from_row(keep), "sequence_id", "offset")
     )

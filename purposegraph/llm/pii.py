@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import let, stash
+from .common import as_row, from_row, let, named, others, stash
 from .spans import SPAN, count, digest, found, hidden, joined, none
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,10 +100,10 @@ def candidates(text: Column) -> Column:
     return F.concat(of("email", AT), of("ip", rf"[0-9] ?{DOT} ?[0-9]"), of("card", DIGITS), of("phone", DIGITS))
 
 
-def proposals(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns keep, `__base` and `__candidates` of every whole text (null: empty); a map without shuffle."""
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], base_spans(whole).alias("__base"), candidates(whole).alias("__candidates"))
+def proposals(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """row (docs' columns keep), base, candidates and fold (by the text's hash, 0 or 1) of every whole text (null: empty); a map without shuffle."""
+    whole = F.coalesce(named(text).cast("string"), F.lit(""))
+    return docs.select(as_row(keep).alias("row"), base_spans(whole).alias("base"), candidates(whole).alias("candidates"), F.pmod(F.xxhash64(whole), F.lit(2)).alias("fold"))
 
 
 def _meets(x: Column, spans: Column) -> Column:
@@ -115,21 +115,22 @@ def learn(proposed: DataFrame, precision: float = 0.9) -> dict[str, boosting.Mod
 
     A candidate that the base patterns miss though it passes its kind's check in a real format, and stands free, is
     neither a positive nor a negative, as it may well be what is sought; nor is one that touches a base span of another kind, or
-    for phones a valid address or card. All others without a base span are negatives. At most 2 ** len(FEATURES) rows
-    for each kind come to the driver.
+    for phones a valid address or card. All others without a base span are negatives. The trees are fitted on one half of
+    the texts and the threshold is calibrated on the other. At most 2 ** (len(FEATURES) + 1) rows for each kind come to
+    the driver.
     """
     touches = lambda x, b: (b["s"] < x["e"]) & (x["s"] < b["e"])
     taken = lambda x, c: (x["kind"] == "phone") & c["kind"].isin("ip", "card") & c["valid"] & touches(x, c)
-    labelled = F.transform("__candidates", lambda x: F.struct(
-        x.alias("x"), F.exists("__base", lambda b: (b["kind"] == x["kind"]) & touches(x, b)).alias("hit"),
-        (x["valid"] & x["grouped"] & ~x["glued"] | F.exists("__base", lambda b: (b["kind"] != x["kind"]) & touches(x, b)) | F.exists("__candidates", lambda c: taken(x, c))).alias("open"),
+    labelled = F.transform("candidates", lambda x: F.struct(
+        x.alias("x"), F.exists("base", lambda b: (b["kind"] == x["kind"]) & touches(x, b)).alias("hit"),
+        (x["valid"] & x["grouped"] & ~x["glued"] | F.exists("base", lambda b: (b["kind"] != x["kind"]) & touches(x, b)) | F.exists("candidates", lambda c: taken(x, c))).alias("open"),
     ))
-    each = proposed.where(F.size("__candidates") > 0).select(F.explode(labelled).alias("y")).select("y.*").where("hit or not open")
-    counted = each.select(F.col("x.kind").alias("kind"), *[F.col(f"x.{f}").alias(f) for f in FEATURES], "hit").groupBy("kind", *FEATURES).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("n"))
-    rows: dict[str, list[boosting.Row]] = {k: [] for k in KINDS}
+    each = proposed.where(F.size("candidates") > 0).select("fold", F.explode(labelled).alias("y")).select("fold", "y.*").where("hit or not open")
+    counted = each.select(F.col("x.kind").alias("kind"), *[F.col(f"x.{f}").alias(f) for f in FEATURES], "hit", "fold").groupBy("kind", "fold", *FEATURES).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("n"))
+    rows: dict[str, tuple[list[boosting.Row], list[boosting.Row]]] = {k: ([], []) for k in KINDS}
     for r in counted.collect():
-        rows[r["kind"]].append((tuple(r[f] for f in FEATURES), r["hits"], r["n"]))
-    return {k: boosting.fit(v, len(FEATURES), precision=precision) for k, v in rows.items()}
+        rows[r["kind"]][r["fold"]].append((tuple(r[f] for f in FEATURES), r["hits"], r["n"]))
+    return {k: boosting.fit(own, len(FEATURES), precision=precision, held=held) for k, (own, held) in rows.items()}
 
 
 def chosen(base: Column, candidate: Column, models: dict[str, boosting.Model]) -> Column:
@@ -160,21 +161,24 @@ def detect(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataF
     are chosen. Null and empty texts have none, repeated rows are treated alike, an empty table gives an empty
     result, and columns that clash with a result are replaced.
     """
-    keep = tuple(c for c in docs.columns if c not in (text, "base", "spans"))
+    keep = others(docs, text, "base", "spans")
     proposed = stash(proposals(docs, text, keep))
     models = learn(proposed, precision)
-    return proposed.select(*[F.col(f"`{c}`") for c in keep], F.col("__base").alias("base"), chosen(F.col("__base"), F.col("__candidates"), models).alias("spans"))
+    return proposed.select(*from_row(keep), "base", chosen(F.col("base"), F.col("candidates"), models).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets, as [EMAIL]; null stays null.
+    """docs with each span in text replaced by its kind in brackets, as [EMAIL]; null stays null, whatever the other columns are called.
 
-    Where spans overlap, the earlier one hides both. A map over the texts, after a first pass that fits the models.
+    Where spans overlap, the earlier one hides both. Each text is searched once: what was proposed is written beside the
+    row to the shared folder, the models are fitted on it, and the texts are redacted from there.
     """
-    models = learn(stash(proposals(docs, text)), precision)
-    whole = F.col(f"`{text}`").cast("string")
-    spans = let(base_spans(whole), lambda b: let(candidates(whole), lambda c: chosen(b, c, models)))
-    return docs.withColumn("__spans", F.when(whole.isNull(), none()).otherwise(spans)).withColumn(text, F.when(whole.isNotNull(), hidden(whole, F.col("__spans")))).drop("__spans")
+    proposed = stash(proposals(docs, text, docs.columns))
+    models = learn(proposed, precision)
+    whole = F.col("row").getField(text).cast("string")
+    spans = F.when(whole.isNull(), none()).otherwise(chosen(F.col("base"), F.col("candidates"), models))
+    out = proposed.select("row", whole.alias("whole"), spans.alias("spans")).select("row", F.when(F.col("whole").isNotNull(), hidden(F.col("whole"), F.col("spans"))).alias("new"))
+    return out.select(*[F.col("new").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, stash
+from .common import WORD, as_row, from_row, let, named, others, stash
 
 SYMBOLS = "#*$%&|<>"
 
@@ -44,6 +44,10 @@ RULES = (
 FAULT = (0.02, 0.93, 0.05)
 
 
+#: What statistics() adds.
+STATISTICS = ("n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", "n_upper")
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' other columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides.
 
@@ -51,7 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     hashes are sorted with their places, places next to an equal hash are sorted again, and the union of [place,
     place + 2] is measured, so a text of n words costs n log n. Columns of docs that clash with a result are replaced.
     """
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(named(text).cast("string"), F.lit(""))
 
     def length_without(pattern: str) -> Column:
         return F.length(F.regexp_replace(whole, pattern, "")).cast("long")
@@ -79,15 +83,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def per_lines(lines: Column) -> Column:
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    made = {
-        "__w": let(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), per_words),
-        "__l": let(F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^ \t-\r]")), per_lines),
-        "n_symbols": length_without(r"[^#*$%&|<>]+"),
-        "n_upper": length_without(r"[^A-Z]+"),
-    }
-    names = {*made, "n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines", text}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*keep, *[c.alias(n) for n, c in made.items()]).select(*keep, "__w.*", "__l.*", *[n for n in made if n[0] != "_"])
+    keep = others(docs, *STATISTICS, text)
+    made = F.struct(
+        let(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), per_words).alias("w"), let(F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^ \t-\r]")), per_lines).alias("l"),
+        length_without(r"[^#*$%&|<>]+").alias("n_symbols"), length_without(r"[^A-Z]+").alias("n_upper"),
+    )
+    return docs.select(as_row(keep).alias("row"), made.alias("made")).select(*from_row(keep), "made.w.*", "made.l.*", "made.n_symbols", "made.n_upper")
 
 
 Votes = tuple[bool | None, ...]
@@ -142,7 +143,8 @@ def fit(patterns: list[tuple[Votes, int]], rules=RULES, prior: float = 0.85, rou
 
 
 def _votes(stats: DataFrame, rules=RULES) -> DataFrame:
-    return stats.select("*", *[r.vote().alias(f"vote_{r.name}") for r in rules])
+    votes = {f"vote_{r.name}": r.vote() for r in rules}
+    return stats.select(*[named(c) for c in others(stats, *votes)], *[v.alias(n) for n, v in votes.items()])
 
 
 def learn(stats: DataFrame, rules=RULES) -> Model:
@@ -174,7 +176,9 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules=RUL
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5, rules=RULES) -> DataFrame:
-    """The rows of docs that judge keeps, unchanged. The statistics are computed twice rather than texts shuffled to their verdicts."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"))
-    model = learn(stash(statistics(rows.select("text"))), rules)
-    return verdict(statistics(rows), model, threshold, rules).where("kept").select("__row.*")
+    """The rows of docs that judge keeps, unchanged, whatever their columns are called. Null and empty texts go; rows that are equal fare alike.
+
+    Each text is read once: its statistics are written beside the row to the shared folder, and the verdicts read them there.
+    """
+    stats = stash(statistics(docs.select(F.struct(*map(named, docs.columns)).alias("whole"), named(text).alias("text"))))
+    return verdict(stats, learn(stats.drop("whole"), rules), threshold, rules).where("kept").select(*from_row(docs.columns, "whole"))

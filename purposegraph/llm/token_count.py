@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteLevel, Cache, Merges, coded, sums
-from .common import slices
+from .common import named, others, slices, spare
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", limit: int = 512) -> DataFrame:
@@ -20,9 +20,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", l
     result column is replaced. Memory is bounded by the slice and the fixed cache, not by the data.
     """
     made = ("n_bytes", "n_tokens", "over_limit")
-    keep = [c for c in docs.columns if c not in made and c != text]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    keep = others(docs, *made, text)
+    source = docs.select(*map(named, keep), named(text).cast("string").alias(spare(docs, "text")))
+    schema = docs.select(*map(named, keep)).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches):
         merges, split, cache = Merges(path), ByteLevel(path, pattern), Cache()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from purposegraph.llm import blocks, boosting, bpe, bpe_codec, packing, pii, quality, secret_scan, token_count
+from purposegraph.llm import blocks, boosting, bpe, bpe_codec, line_dedup, minhash, packing, pii, pitman_yor, quality, secret_scan, token_count
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [
@@ -208,3 +208,69 @@ def test_personal_data_beyond_the_base_patterns(spark):
         assert rows[i]["base"] == [] and [(s["kind"], s["s"], s["e"]) for s in rows[i]["spans"]] == [(kind, 8, 8 + len(x))]
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert [clean[i] for i in range(80, len(texts))] == [f"it says [{k.upper()}]; so" for k, _ in made]
+
+
+def brute_linked(t, reach=400):
+    """All spans by the stated rule, by comparing every two parts."""
+    base = []
+    for x in filter(None, base_secrets(t).split(",")):
+        k, a, b = x.split(":")
+        base.append((k, int(a), int(b)))
+    name = secret_scan.IDENT
+    weak = []
+    for kind, pattern in (("ident", name), ("secret", secret_scan.SECRET), ("endpoint", secret_scan.ENDPOINT)):
+        taken = base + weak
+        for m in re.finditer(pattern, t, re.ASCII):
+            if kind == "secret" and not (re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0])):
+                continue
+            if not any(a < m.end() and m.start() < b for _, a, b in taken):
+                weak.append((kind, m.start(), m.end()))
+    near = lambda x, y: x[1] <= y[2] + reach and y[1] <= x[2] + reach
+    ids, secrets = ("access", "ident"), ("assign", "hex", "secret")
+    out = [x for x in weak if x[0] == "ident" and any(y[0] in secrets and near(x, y) for y in base + weak)]
+    out += [x for x in weak if x[0] == "secret" and any(y[0] in ids and near(x, y) for y in base + weak)]
+    out += [x for x in weak if x[0] == "endpoint" and any(near(x, y) for y in base + out)]
+    order = [*secret_scan.KINDS, *secret_scan.WEAK]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + out, key=lambda x: (x[1], order.index(x[0]), x[2])))
+
+
+def test_credentials_link_as_brute_force_says(spark):
+    draw = random.Random(5)
+    bare = lambda n: "Ab1" + "".join(draw.choices("abcXYZ019", k=n - 3))
+    parts = [
+        lambda: "AKIA" + "B" * 14, lambda: "user_id = " + draw.choice(("jo.doe", "bob@x.org")), lambda: "client_id: c-99", lambda: bare(draw.choice((24, 40, 60))), lambda: "password=" + "p" * 9,
+        lambda: "https://db.example.org:5432/x", lambda: "jdbc:postgres://h/db", lambda: "ab12" * draw.choice((8, 300)), lambda: "s3.eu.amazonaws.com", lambda: "w " * draw.choice((20, 190, 199, 200, 201, 400)),
+    ]
+    texts = [" ".join(draw.choice(parts)() for _ in range(draw.randint(0, 14))) for _ in range(250)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.report(docs).collect()}
+    assert got == {i: brute_linked(t or "") for i, t in enumerate(texts)}
+    assert sum(k in s for s in got.values() for k in secret_scan.WEAK) > 100
+    planted = spark.createDataFrame([(1, "user: deploy\npassword: hunter2hunter2\nhttps://api.example.org/v1"), (2, "see https://api.example.org/v1 for user: deploy")], "doc_id long, text string")
+    assert [r["spans"] for r in secret_scan.report(planted).sort("doc_id").collect()] == ["ident:0:12,assign:13:37,endpoint:38:64", ""]
+
+
+INNER = (
+    "row base spans candidates fold key weak of added th cut first words lines late new n_lines n_removed vote_length VOTE_UPPER p_good kept made w l whole offset sequence_id length piece start "
+    "__key __row __base __votes __text __own __rank __salt rep root n gone a b v cls block payload part blob n_bytes n_tokens score n_words"
+).split()
+
+
+def test_clashing_columns_are_carried_or_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 30 + "\njo@site.example.com"), (2, None), (3, "AKIA" + "X" * 16)], "doc_id long, text string")
+    docs = docs.select("*", *[F.lit(f"v{i}").alias(c) for i, c in enumerate(INNER)])
+    made = {
+        "token_count": token_count.count_tokens(docs, BYTE, public_tokenizers.PATTERN), "pii": pii.detect(docs), "secret_scan": secret_scan.detect(docs), "quality": quality.judge(docs), "line_dedup": line_dedup.dedup_lines(docs),
+        "packing": packing.pack(packing.token_pieces(docs, WORD).withColumns({"offset": F.lit("x"), "SEQUENCE_ID": F.lit("y"), "row": F.lit("z")})),
+    }
+    for name, df in made.items():
+        low = [c.lower() for c in df.columns]
+        assert len(low) == len(set(low)), name
+        rows = df.collect()
+        assert len(rows) == 3, name
+        for i, c in enumerate(INNER):
+            assert c not in df.columns or df.schema[c].dataType.simpleString() != "string" or {r[c] for r in rows} == {f"v{i}"} or name == "packing", (name, c)
+    assert pii.redact(docs).columns == docs.columns == quality.keep_good(docs).columns == minhash.keep_first(docs).columns
+    assert {r["row"] for r in made["packing"].collect()} == {"z"}
+    for op in (minhash.near_duplicates, pitman_yor.score, lambda d: bpe_codec.encode(d, BYTE, public_tokenizers.PATTERN)):
+        assert op(docs).count() == 3
