@@ -121,14 +121,14 @@ def exchanged(requests: DataFrame, answer, parts: int) -> DataFrame:
     return requests.repartition(max(1, parts), "part").groupBy("part").applyInArrow(run, "block long, part int, blob binary")
 
 
-def answered(table: DataFrame, buckets: int, *answers: DataFrame) -> DataFrame:
-    """table (block, ...) with a column a0, a1, ... for each of answers: its blobs for the block in order of parts, never more than there are parts.
+def answered(table: DataFrame, buckets: int, *answers: DataFrame, first: int = 0) -> DataFrame:
+    """table (block, ...) with a column a0, a1, ... (from `first` on) for each of answers: its blobs for the block in order of parts, never more than there are parts.
 
     table comes from stored(); the answers are dealt by block over as many partitions as it has buckets, so that it is
     joined where it lies and only answers move.
     """
     out = table
-    for i, a in enumerate(answers):
+    for i, a in enumerate(answers, first):
         per_block = a.repartition(buckets, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias("x"))
         out = out.join(per_block.select("block", F.col("x.blob").alias(f"a{i}")), "block", "left")
     return out

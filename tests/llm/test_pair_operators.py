@@ -228,11 +228,16 @@ def test_language_model(spark, sf, monkeypatch):
     assert pitman_yor.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_seating_equals_a_plain_sampler():
-    """Average tables of one word's customers, against the exact conditional distribution by enumeration of partitions."""
-    s = pitman_yor.Settings(discount=0.5, strength=1.0, sweeps=400, burn=50)
-    base, n = 0.3, 4
+def seating_weights(c, house, base, strength=1.0):
+    """log weights of 1 to c tables, by the closed form."""
+    total, out = 0.0, []
+    for t in range(1, c + 1):
+        total += math.log((strength + 0.5 * (house + t - 1)) * base)
+        out.append(total + math.lgamma(2 * c - t) - math.lgamma(t) - math.lgamma(c - t + 1) - 2 * (c - t) * math.log(2))
+    return np.array(out)
 
+
+def test_seating_weights_equal_enumeration():
     def partitions(items):
         if not items:
             yield []
@@ -242,21 +247,85 @@ def test_seating_equals_a_plain_sampler():
             for k in range(len(rest)):
                 yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
 
-    weight = collections.Counter()
-    for p in partitions(list(range(n))):
-        w = 1.0
-        for k in range(len(p)):
-            w *= (s.strength + k * s.discount) * base
-        for table in p:
-            for k in range(1, len(table)):
-                w *= k - s.discount
-        weight[len(p)] += w
-    exact = sum(k * w for k, w in weight.items()) / sum(weight.values())
-    alone = [pitman_yor.seat(np.array([n]), np.array([0]), np.array([base]), np.array([1]), s, seed)[0] for seed in range(12)]
-    assert abs(np.mean(alone) - exact) < 0.15
-    assert pitman_yor.seat(np.array([1]), np.array([0]), np.array([base]), np.array([1]), s, 1)[0] == 1
-    many = pitman_yor.seat(np.array([5000, 3]), np.array([0, 0]), np.array([0.01, 0.01]), np.array([1, 1]), s, 1)
-    assert 1 <= many[1] <= 3 and 3 < many[0] < 5000
+    for n, house, base in ((4, 0, 0.3), (5, 7, 0.02), (6, 2, 0.9)):
+        weight = np.zeros(n)
+        for p in partitions(list(range(n))):
+            w = 1.0
+            for k in range(len(p)):
+                w *= (1.0 + 0.5 * (house + k)) * base
+            for table in p:
+                for k in range(1, len(table)):
+                    w *= k - 0.5
+            weight[len(p) - 1] += w
+        closed = np.exp(seating_weights(n, house, base))
+        assert np.allclose(closed / closed.sum(), weight / weight.sum())
+
+
+@pytest.mark.parametrize(("c", "house", "base"), [(2, 0, 0.4), (7, 30, 0.05), (40, 5, 0.3), (600, 900, 0.02), (3000, 0, 0.99), (5000, 100_000, 0.01)])
+def test_seating_draws_follow_the_weights(c, house, base):
+    n = 4000
+    keys = np.random.default_rng(c).integers(0, 1 << 63, n).astype(np.uint64)
+    got = pitman_yor.seated(np.full(n, c), np.full(n, house), np.full(n, base), keys, 1, 1.0)
+    w = seating_weights(c, house, base)
+    p = np.exp(w - w.max())
+    p /= p.sum()
+    t = np.arange(1, c + 1)
+    mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+    assert got.min() >= 1 and got.max() <= c and abs(got.mean() - mean) < 4 * sd / math.sqrt(n) + 1e-9
+    below = np.array([(got <= x).mean() for x in t])
+    assert np.abs(below - np.cumsum(p)).max() < 2.2 / math.sqrt(n)
+    # a draw is the dish's own, whatever is seated with it
+    assert pitman_yor.seated(np.array([1, c, 0, 9]), np.array([0, house, 3, 1]), np.array([0.1, base, 0.1, 0.2]), keys[[5, 0, 1, 2]], 1, 1.0)[1] == got[0]
+
+
+def plain_scores(rows, rounds):
+    """The model over dictionaries, with the operator's random numbers and the closed form."""
+    h = lambda w: np.uint64(minhash.xxhash.xxh3_64_intdigest(w.encode()))
+    word_key = lambda w: np.array([h(w)])
+    pair_key = lambda u, w: minhash.mixed(word_key(u) * minhash.MULTIPLIERS[0] + minhash.mixed(word_key(w)))
+
+    def draw(c, house, base, key, r):
+        p = np.exp((x := seating_weights(c, house, base)) - x.max()).cumsum()
+        return 1 + int((p <= pitman_yor.uniform(key, r)[0] * p[-1]).sum())
+
+    texts = [(i, [*words(t), "\n"]) for i, t in rows]
+    count, pairs = collections.Counter(), collections.Counter()
+    for i, w in texts:
+        if not pitman_yor.held_out(i):
+            count.update(w)
+            pairs.update(zip(["\n", *w[:-1]], w, strict=True))
+    v, total = len(count), collections.Counter()
+    tables, kept = dict.fromkeys(pairs, 1), []
+    parent_tables, all_parent = {}, 0
+    for r in range(rounds + 1):
+        if r:
+            tables = {(u, w): draw(c, made[u] - tables[u, w], parent(w), pair_key(u, w), r) for (u, w), c in pairs.items()}
+        served, made = collections.Counter(), collections.Counter()
+        for (u, w), t in tables.items():
+            served[w] += t
+            made[u] += t
+        parent_tables = {w: draw(c, all_parent - 1, 1 / (v + 1), word_key(w), r) if r else 1 for w, c in served.items()}
+        all_parent, customers = sum(parent_tables.values()), sum(served.values())
+        parent = lambda w, s=served, t=parent_tables, a=all_parent, n=customers: (s[w] - 0.5 * t.get(w, 0) + (1 + 0.5 * a) / (v + 1)) / (1 + n)
+        if r:
+            kept.append((tables, made, parent))
+    out = []
+    for i, w in texts:
+        total = 0.0
+        for u, x in zip(["\n", *w[:-1]], w, strict=True):
+            total += math.log10(np.mean([(pairs[u, x] - 0.5 * t.get((u, x), 0) + (1 + 0.5 * m[u]) * p(x)) / (1 + count[u]) for t, m, p in kept]))
+        out.append((i, round(total, 7)))
+    return collections.Counter(out)
+
+
+def test_language_model_equals_plain_sampling_in_any_layout(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 120 or doc_id = 150").union(spark.createDataFrame([(None, "null id"), (9001, ""), (9002, "a b " * 400)], "doc_id long, text string"))
+    want = plain_scores([tuple(r) for r in docs.collect()], pitman_yor.Settings().rounds)
+    for part_bytes, block_chars, n in ((8 << 20, 6 << 20, 1), (60_000, 40_000, 3), (9_000, 5_000, 7)):
+        monkeypatch.setattr(blocks, "PART_BYTES", part_bytes)
+        monkeypatch.setattr(blocks, "BLOCK_CHARS", block_chars)
+        got = pitman_yor.score(docs.repartition(n)).collect()
+        assert collections.Counter((r["doc_id"], round(r["score"], 7)) for r in got) == want
 
 
 def test_pipeline(spark, sf):
