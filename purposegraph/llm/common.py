@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can: workers of many stages live side by side."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def slices(texts: list, limit: int = SLICE_BYTES):
     """(from, to) ranges of about limit characters; a longer text is a slice of its own."""
     lo = total = 0
