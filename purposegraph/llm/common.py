@@ -129,6 +129,16 @@ def slices(texts: list, limit: int = SLICE_BYTES):
         yield lo, len(texts)
 
 
+#: Ids that are broadcast at most: 16 MB of longs.
+FEW_IDS = 2_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids (a stashed table of one long), to be broadcast if they are at most FEW_IDS, so that what they are joined to isn't
+    moved; beyond that the join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): for every vertex of an undirected edge list, the smallest vertex of its component.
 

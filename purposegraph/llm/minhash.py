@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Cache, coded
-from .common import LOWER, components, slices, spare, stash
+from .common import LOWER, components, few, slices, spare, stash
 
 #: Shingles are spread over so many places, which two permutations of them order.
 PLACES = 1 << 20
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     reps = stash(classes.select("rep", "cls").join(full.select("doc_id", F.col("cls").alias("c"), "bands", "n_shingles").dropDuplicates(["doc_id", "c"]), (F.col("rep") == F.col("doc_id")) & (F.col("cls") == F.col("c"))).select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
     shared = stash(reps.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("size > 1"))
     members = stash(reps.join(shared.select("key"), "key").distinct())
-    wanted = members.select("rep").distinct()
+    wanted = few(stash(members.select("rep").distinct()))
     sets = stash(sets_of(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), text, width).distinct())
 
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("root") != F.col("pivot_root"))
@@ -230,4 +230,4 @@ def keep_first(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, unchanged. Settings and nulls as for near_duplicates."""
     name = spare(docs, "gone")
     gone = stash(near_duplicates(docs.select("doc_id", F.col(f"`{text}`").alias("text")), **settings).where("not kept").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    return docs.join(few(gone), docs["doc_id"] == F.col(name), "left_anti")
