@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from .vocab import MAX_LEN
 
-URL = r"(?i)\b(?:https?://|www\.)[^\s<>]+"
+# A URL is a scheme with what follows up to white space or a bracket, but for closing punctuation; or a bare host under a generic
+# domain or any of two letters (those of countries), with its path. Hosts beside an at sign belong to addresses and stay.
+GENERIC_DOMAINS = "com|net|org|edu|gov|mil|int|info|biz|name|pro|museum|aero|asia|cat|coop|jobs|mobi|post|tel|travel|xxx"
+_IN_URL = r"[^\s()<>{}\[\]]"
+_REST = _IN_URL + r"*[^\s`!()\[\]{};:'\",.<>?]"
+SCHEME_URL = rf"https?:/{{1,3}}{_REST}"
+HOST_URL = rf"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{GENERIC_DOMAINS}|[a-z]{{2}})\b(?:/(?:{_REST})?)?"
+URL = rf"(?i)(?<![@a-z0-9.-])(?:{SCHEME_URL}|{HOST_URL}(?!@))"
 
 
 def let(value: Column, body) -> Column:
@@ -56,12 +63,12 @@ def from_template(assertion: Column, template: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """For parsing: runs beyond ASCII to a blank, <ref...> to <ref>, URLs to <url> with neighbours made one, trimmed."""
+    """For parsing: runs beyond ASCII to a blank, <ref...> within a line to <ref>, URLs to <url>, of which two with at most brackets between become one; without white space at the ends."""
     out = F.regexp_replace(text, r"[^\x00-\x7F]+", " ")
-    out = F.regexp_replace(out, r"<ref[^>]*>", "<ref>")
+    out = F.regexp_replace(out, r"<ref[^>\n]*>", "<ref>")
     out = F.regexp_replace(out, URL, "<url>")
-    out = F.regexp_replace(out, r"<url>(\s*<url>)+", "<url>")
-    return F.trim(out)
+    out = F.regexp_replace(out, r"<url>[()\[\]]*<url>", "<url>")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def collapsed(text: Column) -> Column:

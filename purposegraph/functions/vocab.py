@@ -38,9 +38,9 @@ MUST_POS_TAGS = ("IN", "CC", "TO")
 OPTIONAL_POS_TAGS = ("JJ", "JJR", "JJS", "RB", "RBR", "RBS", "DT", "PRP$")
 IGNORE_POS_TAGS = (".", ",", "``", "''", ":", "$", "(", ")", "#", "-LRB-", "-RRB-")
 FORBIDDEN_END_POS_TAGS = ("IN", "CC", "TO")
-CLAUSE_SEPARATOR_TAGS = ("WRB", "WP", "WP$")
-CLAUSE_SEPARATOR_TOKENS = (";", ".", "?", "!")
-ANNOTATORS = ("tokenize", "ssplit", "pos", "lemma", "depparse", "ner")
+#: Tags that separate clauses, and what those begin with that do so too.
+CLAUSE_SEPARATOR_TAGS = ("WRB", ";", ".", "?", "!")
+CLAUSE_SEPARATOR_PREFIX = "WP"
 
 # Entity types of mentions, and words.
 MENTION_TYPES = ("CITY", "ORGANIZATION", "COUNTRY", "STATE_OR_PROVINCE", "LOCATION", "NATIONALITY", "PERSON")
@@ -48,15 +48,9 @@ PRONOUNS = (
     "i", "I", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
     "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themself", "themselves",
 )
-PUNCTUATION = tuple("""!"#&'*+,-./:;<=>?@[\\]^_`|~""") + ("..", "``", "''")
+PUNCTUATION = tuple("""!"#&'*+,-./:;<=>?@[\\]^_`|~""") + ("``", "''")
 SEED_NERS = ("TIME", "DATE", "DURATION", "MONEY", "PERCENT", "NUMBER", "COUNTRY", "STATE_OR_PROVINCE", "CITY", "NATIONALITY", "PERSON", "RELIGION", "URL")
 PERSON_PRONOUNS = ("he", "she", "i", "him", "her", "me", "woman", "man", "boy", "girl", "you", "we", "they")
-CATEGORIES = (
-    "Books", "Clothing, Shoes & Jewelry", "Sports & Outdoors", "Kindle Store", "Home & Kitchen", "Automotive", "CDs & Vinyl", "Tools & Home Improvement",
-    "Toys & Games", "Arts, Crafts & Sewing", "Electronics", "Office Products", "Grocery & Gourmet Food", "Movies & TV", "Industrial & Scientific",
-    "Patio, Lawn & Garden", "Cell Phones & Accessories", "Pet Supplies", "Video Games", "Musical Instruments", "Appliances", "Software",
-    "Collectibles & Fine Art", "Gift Cards", "Home & Business Services",
-)
 MAX_LEN = 1024
 
 

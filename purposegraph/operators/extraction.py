@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vocab import OPTIONAL_POS_TAGS
-from .matching import Pattern, hierarchy, matches, ordered, placed
+from .matching import Graph, Pattern, hierarchy, matches, ordered, placed
 
 Dep = tuple[int, str, int]
 DEPS = "array<struct<gov:int,rel:string,dep:int>>"
@@ -38,38 +38,32 @@ def indices(deps: list[Dep]) -> list[int]:
 def segments(n: int, deps: list[Dep]) -> list[tuple[int, ...]]:
     """Words in groups: compounds, head first, and other words alone, in the order of heads.
 
-    Compound edges that share a head or form a chain are one compound; one with gaps falls into its runs of neighbours.
-    A word of a compound that is no head has no group of its own.
+    The compound edges make a graph; each of its components falls into runs of neighbouring words, and each run is a
+    group. Its head is the first of its words that governs another one of it and depends on none, else its first word; the
+    others follow in order and have no group of their own. What is grouped depends on the edges alone, not on their order.
     """
-    pairs = sorted((g, d) for g, r, d in deps if r.startswith("compound"))
-    groups: list[tuple[int, ...]] = []
-    taken: set[int] = set()
-    for i, start in enumerate(pairs):
-        if i in taken:
-            continue
-        group = start
-        for j in range(i + 1, len(pairs)):
-            if j in taken:
-                continue
-            other = pairs[j]
-            if other[0] in group:
-                group += other[1:]
-            elif group[0] in other[1:]:
-                group = other + group[1:]
-            else:
-                break
-            taken.add(j)
-        members = sorted(set(group))
-        runs: list[list[int]] = []
-        for x in members:
-            if runs and runs[-1][-1] + 1 == x:
-                runs[-1].append(x)
-            else:
-                runs.append([x])
-        groups += [group] if len(runs) == 1 else [tuple(r) for r in runs]
-    heads = {g[0]: g for g in sorted(groups, reverse=True)}
-    used = {x for g in groups for x in g}
-    return [heads.get(i, (i,)) for i in range(n) if i not in used or i in heads]
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    pairs = {(g, d) for g, rel, d in deps if rel.startswith("compound")}
+    for g, d in pairs:
+        up[max(top(g), top(d))] = min(top(g), top(d))
+    grouped = {x for pair in pairs for x in pair}
+    groups: dict[int, tuple[int, ...]] = {i: (i,) for i in range(n) if i not in grouped}
+    run: list[int] = []
+    for i in sorted(grouped, key=lambda x: (top(x), x)) + [n + 1]:
+        if run and (i != run[-1] + 1 or top(i) != top(run[-1])):
+            inner = {(g, d) for g, d in pairs if g in run and d in run}
+            free = [x for x in run if any(g == x for g, _ in inner) and all(d != x for _, d in inner)]
+            head = free[0] if free else run[0]
+            groups[head] = (head, *[x for x in run if x != head])
+            run = []
+        run.append(i)
+    return [groups[i] for i in sorted(groups)]
 
 
 @dataclass
@@ -179,21 +173,17 @@ def from_match(sentence: dict, mapping: tuple[int, ...], pattern: Pattern, trans
 
 
 def distinct(events: list[Eventuality]) -> list[Eventuality]:
-    """Events without those of an earlier eid, and without those whose skeleton lies within another's (the earlier one on equality)."""
-    gone: set[int] = set()
-    for i, a in enumerate(events):
-        if i in gone:
-            continue
-        for j in range(i + 1, len(events)):
-            if j in gone:
-                continue
-            x, y = set(a.skeleton_indices), set(events[j].skeleton_indices)
-            raw_x, raw_y = {a.raw_places[k] for k in x}, {events[j].raw_places[k] for k in y}
-            if events[j].eid == a.eid or raw_y <= raw_x:
-                gone.add(j)
-            elif raw_x <= raw_y:
-                gone.add(i)
-    return [e for k, e in enumerate(events) if k not in gone]
+    """The events, in their order, whose skeletons lie in no other's and whose eid no other kept one has.
+
+    One pass from the largest skeleton down, the earlier event first among equally large ones; of equal skeletons and
+    equal eids the first in that order stays, whatever else was dropped before.
+    """
+    places = [frozenset(e.raw_places[k] for k in e.skeleton_indices) for e in events]
+    kept: dict[int, frozenset[int]] = {}
+    for i in sorted(range(len(events)), key=lambda i: (-len(places[i]), i)):
+        if not any(places[i] <= p for p in kept.values()) and events[i].eid not in {events[k].eid for k in kept}:
+            kept[i] = places[i]
+    return [events[i] for i in sorted(kept)]
 
 
 def extract_sentence(sentence: dict, patterns: list[Pattern], children: dict[int, set[int]], transitive: bool = False) -> list[Eventuality]:
@@ -201,10 +191,11 @@ def extract_sentence(sentence: dict, patterns: list[Pattern], children: dict[int
     events: list[Eventuality] = []
     barred: set[int] = set()
     deps = [tuple(d) for d in sentence["dependencies"]]
+    graph = Graph(sentence["pos_tags"], deps)
     for k, p in enumerate(patterns):
         if k in barred:
             continue
-        found = matches(sentence["pos_tags"], deps, p)
+        found = matches(sentence["pos_tags"], deps, p, graph=graph)
         events += [e for m in found if (e := from_match(sentence, m, p, transitive)) is not None]
         if found:
             barred |= {k} | children.get(k, set())

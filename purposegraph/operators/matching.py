@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..functions.vocab import CLAUSE_SEPARATOR_TAGS, CLAUSE_SEPARATOR_TOKENS, FORBIDDEN_END_POS_TAGS, MUST_POS_TAGS
+from ..functions.vocab import CLAUSE_SEPARATOR_PREFIX, CLAUSE_SEPARATOR_TAGS, FORBIDDEN_END_POS_TAGS, MUST_POS_TAGS
 
 Edge = tuple[int, str, int]
 #: A pattern label that fits any label, and those that fit whatever they begin.
@@ -33,10 +36,6 @@ class Pattern:
         return len(self.edges), len(self.labels), self.labels, self.edges
 
 
-def _label_fits(wanted: str, label: str) -> bool:
-    return wanted == WILD or (label.startswith(wanted) if wanted in PREFIXES else label == wanted)
-
-
 def _bundles(edges) -> dict[tuple[int, int], set[str]]:
     """The labels of the parallel edges between each two vertices."""
     out: dict[tuple[int, int], set[str]] = {}
@@ -45,49 +44,85 @@ def _bundles(edges) -> dict[tuple[int, int], set[str]]:
     return out
 
 
-def matches(labels, edges, pattern: Pattern, limit: int | None = None, fixed: dict[int, int] | None = None) -> list[tuple[int, ...]]:
-    """All injective mappings of the pattern's vertices into the graph that keep its edges (further edges may be there).
-
-    A mapping gives the graph vertex of each pattern vertex; symmetric images come separately. A vertex needs at least
-    the pattern vertex's number of incoming edges; the labels of parallel pattern edges must all be among the graph's,
-    whose own labels count up to their colon. fixed: graph vertices that some pattern vertices must take.
-    """
-    there = _bundles((u, label.split(":")[0], v) for u, label, v in edges)
+class Graph:
+    """A sentence's graph, indexed once for all patterns."""
+
+    def __init__(self, labels, edges):
+        self.labels = labels
+        self.out: dict[int, dict[int, set[str]]] = {}
+        self.back: dict[int, set[int]] = {}
+        self.into = [0] * len(labels)
+        self.edges = 0
+        for u, label, v in edges:
+            self.edges += 1
+            self.into[v] += 1
+            self.out.setdefault(u, {}).setdefault(v, set()).add(label.partition(":")[0])
+            self.back.setdefault(v, set()).add(u)
+        self.at: dict[str, list[int]] = {}
+        for i, label in enumerate(labels):
+            self.at.setdefault(label, []).append(i)
+
+    def fitting(self, wanted: str) -> list[int]:
+        if wanted == WILD:
+            return list(range(len(self.labels)))
+        if wanted in PREFIXES:
+            return sorted(i for label, places in self.at.items() if label.startswith(wanted) for i in places)
+        return self.at.get(wanted, [])
+
+
+@lru_cache(4096)
+def _steps(pattern: Pattern) -> tuple[tuple[int, str, int, tuple[tuple[int, int, frozenset[str]], ...]], ...]:
+    """The order in which a pattern's vertices are placed: vertex, label, incoming edges it needs, bundles to itself and to those placed before."""
     wanted = _bundles(pattern.edges)
-    into, need = Counter(v for _, _, v in edges), Counter(v for _, _, v in pattern.edges)
-    n = len(pattern.labels)
+    need = Counter(v for _, _, v in pattern.edges)
+    beside = {p: {q for e in wanted for q in e if p in e and q != p} for p in range(len(pattern.labels))}
     order: list[int] = []
-    touching = {p: {q for e in wanted for q in e if p in e and q != p} for p in range(n)}
-    while len(order) < n:  # next a vertex that touches those placed, the one with most edges first
-        rest = [p for p in range(n) if p not in order]
-        order.append(max(rest, key=lambda p: (len(touching[p] & set(order)), len(touching[p]), -p)))
-    fits = [[g for g, label in enumerate(labels) if into[g] >= need[p] and _label_fits(want, label)] for p, want in enumerate(pattern.labels)]
+    while len(order) < len(pattern.labels):  # next a vertex that touches those placed, the one with most edges first
+        rest = [p for p in range(len(pattern.labels)) if p not in order]
+        order.append(max(rest, key=lambda p: (len(beside[p] & set(order)), len(beside[p]), -p)))
+    return tuple(
+        (p, pattern.labels[p], need[p], tuple((x, y, frozenset(w)) for (x, y), w in sorted(wanted.items()) if p in (x, y) and {x, y} <= set(order[: k + 1]))) for k, p in enumerate(order)
+    )
 
-    for p, g in (fixed or {}).items():
-        fits[p] = [g] if g in fits[p] else []
 
-    def edge_fits(p: int, q: int, place: dict[int, int]) -> bool:
-        got = there.get((place[p], place[q]))
-        return got is not None and (wanted[p, q] <= got or WILD in wanted[p, q])
+def matches(labels, edges, pattern: Pattern, limit: int | None = None, fixed: dict[int, int] | None = None, graph: Graph | None = None) -> list[tuple[int, ...]]:
+    """All injective mappings of the pattern's vertices into the graph that keep its edges (further edges may be there).
 
+    A mapping gives the graph vertex of each pattern vertex; symmetric images come separately. A vertex needs at least
+    the pattern vertex's number of incoming edges; the labels of parallel pattern edges must all be among the graph's,
+    whose own labels count up to their colon. fixed: graph vertices that some pattern vertices must take. graph: labels
+    and edges, indexed already.
+    """
+    g = graph or Graph(labels, edges)
+    steps = _steps(pattern)
+    fits = {p: [i for i in g.fitting(label) if g.into[i] >= need and (not fixed or fixed.get(p, i) == i)] for p, label, need, _ in steps}
     out: list[tuple[int, ...]] = []
     place: dict[int, int] = {}
 
+    def near(p: int, bundles) -> list[int]:
+        """Where p can go: beside a placed neighbour if it has one."""
+        for x, y, _ in bundles:
+            if x != y:
+                some = g.out.get(place[x], {}) if y == p else g.back.get(place[y], ())
+                return [i for i in fits[p] if i in some]
+        return fits[p]
+
     def extend(depth: int) -> bool:
-        if depth == n:
-            out.append(tuple(place[p] for p in range(n)))
+        if depth == len(steps):
+            out.append(tuple(place[p] for p in range(len(steps))))
             return limit is not None and len(out) >= limit
-        p = order[depth]
-        for g in fits[p]:
-            if g in place.values():
+        p, _, _, bundles = steps[depth]
+        for i in near(p, bundles):
+            if i in place.values():
                 continue
-            place[p] = g
-            if all(edge_fits(x, y, place) for x, y in wanted if p in (x, y) and x in place and y in place) and extend(depth + 1):
+            place[p] = i
+            if all((got := g.out.get(place[x], {}).get(place[y])) and (w <= got or WILD in w) for x, y, w in bundles) and extend(depth + 1):
                 return True
             del place[p]
         return False
 
-    extend(0)
+    if all(fits.values()):
+        extend(0)
     return sorted(out)
 
 
@@ -172,10 +207,9 @@ def prefix_holds(mapping: Column, k: int) -> Column:
     return let(F.slice(F.array_sort(mapping), 1, k), neighbours)
 
 
-def separators(tokens: Column, tags: Column) -> Column:
-    """Places of clause separators."""
-    places = let(tags, lambda g: F.transform(tokens, lambda t, i: F.when(t.isin(*CLAUSE_SEPARATOR_TOKENS) | F.get(g, i).isin(*CLAUSE_SEPARATOR_TAGS), i)))
-    return F.filter(places, lambda i: i.isNotNull())
+def separators(tags: Column) -> Column:
+    """Places of clause separators, by their tags."""
+    return F.filter(F.transform(tags, lambda t, i: F.when(t.isin(*CLAUSE_SEPARATOR_TAGS) | t.startswith(CLAUSE_SEPARATOR_PREFIX), i)), lambda i: i.isNotNull())
 
 
 def within_clause(mapping: Column, places: Column) -> Column:
@@ -203,6 +237,14 @@ def _one(f):
     return lambda x: f(x)
 
 
+def edge_lists(column: pa.ListArray) -> list[list[Edge]]:
+    """Arrow lists of (gov, rel, dep) as lists of tuples, without a dictionary for each; null lists are empty."""
+    flat = column.flatten()
+    edges = list(zip(*(flat.field(name).to_pylist() for name in ("gov", "rel", "dep")), strict=True))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return [edges[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)] if len(column) else []
+
+
 def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None) -> DataFrame:
     """(sid, pattern_id, mapping) of all matches; pattern_id is the pattern's place in the list.
 
@@ -217,11 +259,11 @@ def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None
     def run(batches):
         for batch in batches:
             sid, ids, maps = [], [], []
-            for s, tags, deps in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                edges = [(d["gov"], d["rel"], d["dep"]) for d in deps]
+            for s, tags, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edge_lists(batch.column(2)), strict=True):
+                graph = Graph(tags, edges)
                 for k, p in enumerate(patterns):
-                    if len(tags) >= len(p.labels) and len(edges) >= len(p.edges):
-                        for m in matches(tags, edges, p, limit):
+                    if len(tags) >= len(p.labels) and graph.edges >= len(p.edges):
+                        for m in matches(tags, edges, p, limit, graph=graph):
                             sid.append(s)
                             ids.append(k)
                             maps.append(list(m))

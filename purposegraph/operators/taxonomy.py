@@ -48,16 +48,23 @@ def best_concept(taxonomy: DataFrame) -> DataFrame:
 
 
 def chains(taxonomy: DataFrame, starts: DataFrame, length: int = 5) -> DataFrame:
-    """(instance, depth, concept): the chain of likeliest concepts above each start, at most length steps, cycles included."""
+    """(instance, depth, concept): the chain of likeliest concepts above each start, cycles included; depth 0 is the start itself.
+
+    A start that is a concept itself is the first of the at most length concepts; another one stands before them. A start
+    that is no concept and has none has no chain.
+    """
     step = best_concept(taxonomy)
-    level = starts.select(F.col("instance"), F.col("instance").alias("at"))
-    out = None
+    concepts = taxonomy.select(F.col("concept").alias("c0")).distinct()
+    rows = starts.select("instance").distinct().join(concepts, F.col("instance") == F.col("c0"), "left")
+    at = F.col("instance")
     for depth in range(1, length + 1):
-        nxt = step.select(F.col("instance").alias("at"), F.col("concept").alias("up"))
-        level = level.join(nxt, "at").select("instance", F.col("up").alias("at"))
-        rows = level.select("instance", F.lit(depth).alias("depth"), F.col("at").alias("concept"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        nxt = step.select(F.col("instance").alias("__at"), F.col("concept").alias(f"c{depth}"))
+        rows = rows.join(nxt, at == F.col("__at"), "left").drop("__at")
+        at = F.col(f"c{depth}")
+    most = F.when(F.col("c0").isNotNull(), length - 1).otherwise(length)
+    links = F.filter(F.array(*[F.struct(F.lit(d).alias("depth"), F.when(F.lit(d) <= most, F.col(f"c{d}")).alias("concept")) for d in range(1, length + 1)]), lambda x: x["concept"].isNotNull())
+    start = F.when(F.col("c0").isNotNull() | F.col("c1").isNotNull(), F.array(F.struct(F.lit(0).alias("depth"), F.col("instance").alias("concept")))).otherwise(F.array().cast("array<struct<depth:int,concept:string>>"))
+    return rows.select("instance", F.explode(F.concat(start, links)).alias("x")).select("instance", "x.depth", "x.concept")
 
 
 def sizes(taxonomy: DataFrame) -> DataFrame:

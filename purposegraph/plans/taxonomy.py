@@ -49,8 +49,8 @@ ORACLES = {
         WITH RECURSIVE {TWO_LEVEL_SQL},
         best AS (SELECT instance, concept FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY freq DESC, concept) AS r FROM taxonomy) WHERE r = 1),
         chain AS (
-            SELECT instance, 1 AS depth, concept FROM best
-            UNION ALL SELECT c.instance, c.depth + 1, b.concept FROM chain c JOIN best b ON c.concept = b.instance WHERE c.depth < 5)
+            SELECT DISTINCT instance, 0 AS depth, instance AS concept, instance IN (SELECT concept FROM taxonomy) AS own FROM taxonomy
+            UNION ALL SELECT c.instance, c.depth + 1, b.concept, own FROM chain c JOIN best b ON c.concept = b.instance WHERE c.depth < CASE WHEN own THEN 4 ELSE 5 END)
         SELECT instance, depth, concept FROM chain""",
     "taxonomy_sizes": f"""
         WITH {TWO_LEVEL_SQL}

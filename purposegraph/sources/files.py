@@ -13,11 +13,13 @@ TRIPLES = "array<array<string>>"
 
 
 def item_meta_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """(asin, title, cate, top_cate, line) of lines `asin \\t title \\t categories...`; top_cate is what stands before the first pipe of the joined rest."""
-    parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(parts.alias("p"), F.monotonically_increasing_id().alias("line"))
-    rest = F.array_join(F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))), " ")
-    return rows.where(F.size("p") >= 2).select(F.get("p", 0).alias("asin"), F.get("p", 1).alias("title"), F.split(rest, r"\|").alias("cate"), F.substring_index(rest, "|", 1).alias("top_cate"), "line")
+    """(asin, title, cate, top_cate, line) of lines `asin \\t title \\t categories...`, stripped; cate has the fields after the title, and
+    top_cate is what stands before the first pipe of them joined by blanks. line orders the lines of all files by file name and place."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.text(path).select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\t").alias("p"), at.alias("line"))
+    cate = F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))
+    rest = F.array_join(cate, " ")
+    return rows.where(F.size("p") >= 2).select(F.get("p", 0).alias("asin"), F.get("p", 1).alias("title"), cate.alias("cate"), F.substring_index(rest, "|", 1).alias("top_cate"), "line")
 
 
 def item_meta_csv(spark: SparkSession, path: str) -> DataFrame:

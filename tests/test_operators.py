@@ -31,7 +31,7 @@ def brute(labels, edges, p):
     into = lambda es, v: sum(e[2] == v for e in es)
     out = []
     for m in permutations(range(len(labels)), len(p.labels)):
-        if all(matching._label_fits(x, labels[m[i]]) and into(edges, m[i]) >= into(p.edges, i) for i, x in enumerate(p.labels)) and all(
+        if all((x == "NONE" or (labels[m[i]].startswith(x) if x in ("NN", "RB", "JJ") else labels[m[i]] == x)) and into(edges, m[i]) >= into(p.edges, i) for i, x in enumerate(p.labels)) and all(
             (m[u], m[v]) in graph and (x <= graph[m[u], m[v]] or "NONE" in x) for (u, v), x in matching._bundles(p.edges).items()
         ):
             out.append(m)
@@ -77,6 +77,7 @@ def test_dependency_helpers():
     assert extraction.indices(deps) == [6, 7, 8]
     assert extraction.segments(4, [(2, "compound", 1), (2, "compound", 0), (3, "x", 2)]) == [(2, 0, 1), (3,)]
     assert extraction.segments(4, [(3, "compound", 0)]) == [(0,), (1,), (2,), (3,)]
+    assert extraction.segments(6, [(1, "compound", 0), (2, "compound:prt", 1), (5, "compound", 4), (5, "compound", 2)]) == [(2, 0, 1), (3,), (5, 4)]
 
 
 def test_predicates(spark):
@@ -118,7 +119,12 @@ def test_likelihood_and_chain(spark):
     with pytest.raises(NotImplementedError):
         taxonomy.with_scores(t, "other")
     up = taxonomy.chains(t, spark.createDataFrame([("apple",)], "instance string"))
-    assert sorted((r["depth"], r["concept"]) for r in up.collect()) == [(1, "fruit"), (2, "food")]
+    assert sorted((r["depth"], r["concept"]) for r in up.collect()) == [(0, "apple"), (1, "fruit"), (2, "food")]
+    # a concept is the first of the five, no concept without one has a chain, and cycles end at the length
+    loop = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("a", "x", 1)], "concept string, instance string, freq int")
+    rows = taxonomy.chains(loop, spark.createDataFrame([("a",), ("x",), ("none",)], "instance string")).collect()
+    chain = lambda i: "".join(r["concept"] for r in sorted(rows, key=lambda r: r["depth"]) if r["instance"] == i)
+    assert (chain("a"), chain("x"), chain("none")) == ("ababa", "xababa", "")
 
 
 def test_seed_rule(spark):
@@ -139,7 +145,13 @@ def test_conceptualize(spark):
 
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(tx.cleaned(F.lit(" é see http://a.b/c https://d.e <ref name=x> "))) == "see <url> <ref>"
+    assert one(tx.cleaned(F.lit(" é see http://a.b/c https://d.e <ref name=x> "))) == "see <url> <url> <ref>"
+    cases = {
+        "\n\tsee example.com/x, (www.a.co.uk) \n": "see <url>, (<url>)", "<url>[](<url> <url>": "<url> <url>", "jo@example.com or ex.org@x": "jo@example.com or ex.org@x", "at 3.14 v1.2.3 e.g. that": "at 3.14 v1.2.3 e.g. that",
+        "<ref a\nb> <ref c>": "<ref a\nb> <ref>", "http://x.y/(a)b.": "<url>(a)b.",
+    }
+    for text, want in cases.items():
+        assert one(tx.cleaned(F.lit(text))) == want
     assert one(tx.from_template(F.lit("x they both have y"), F.lit("they both have"))) == "they both have y"
     assert one(tx.from_template(F.lit("x because y"), F.lit(""))) == "y"
     assert one(tx.from_template(F.lit("x"), F.lit("they"))) is None
@@ -226,3 +238,23 @@ def test_frequent_edges_equal_sql(spark, sf):
     db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     got = mining.frequent(mining.graphs(sentences(spark, sf)), 2, 10, 1 << 40).collect()
     assert {(r["labels"][r["edges"][0]["u"]], r["edges"][0]["label"], r["labels"][r["edges"][0]["v"]], r["freq"]) for r in got if len(r["edges"]) == 1} == set(db.execute(sql).fetchall())
+
+
+def test_distinct_events_are_those_whose_skeletons_lie_in_no_other():
+    def event(word, *places):
+        n = len(places)
+        return extraction.Eventuality([word] * n, ["NN"] * n, ["O"] * n, [], list(range(n)), [], list(places))
+
+    events = [event("a", 1, 2), event("b", 1, 2, 3), event("c", 1, 2, 3), event("d", 4, 5), event("d", 6, 7), event("e", 3, 4)]
+    assert extraction.distinct(events) == [events[1], events[3], events[5]]
+
+
+def test_separators_go_by_tags(spark):
+    df = spark.createDataFrame([(["DT", "WP$", "NN", ".", ":", "WRB", "CC"],)], "tags array<string>")
+    assert df.select(matching.separators(F.col("tags"))).first()[0] == [1, 3, 5]
+
+
+def test_item_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\tone\tBooks | New\tOld\n y\ttwo \n")
+    rows = {r["asin"]: r for r in files.item_meta_tsv(spark, str(tmp_path)).collect()}
+    assert (rows["x"]["cate"], rows["x"]["top_cate"]) == (["Books | New", "Old"], "Books ") and (rows["y"]["title"], rows["y"]["cate"]) == ("two", [])
