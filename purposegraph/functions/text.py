@@ -82,7 +82,7 @@ def sentences(text: Column, max_len: int = MAX_LEN) -> Column:
         return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= max_len, F.array(p)).otherwise(F.split(p, pattern))))
 
     pieces = cut(cut(cut(F.array(F.coalesce(text, F.lit(""))), r"\n\n"), r"\n"), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(pieces, F.trim), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
 def fuzzy_tag(tag: Column) -> Column:

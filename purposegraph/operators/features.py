@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,13 +73,11 @@ def text_vectors(texts: DataFrame, text: str, size: int = 384, embed=None) -> Da
     by default hashed words with signs, normalised."""
 
     def hashed(batch: list[str]) -> list[np.ndarray]:
-        import zlib
-
         out = []
         for t in batch:
             v = np.zeros(size)
             for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 v[h % size] += 1 if h & (1 << 31) else -1
             n = np.sqrt((v * v).sum())
             out.append(v / n if n else v)

@@ -218,10 +218,45 @@ def within_clause(mapping: Column, places: Column) -> Column:
     return (F.size(mapping) < 2) | let(ends, lambda m: ~F.exists(places, lambda s: (m["lo"] <= s) & (s <= m["hi"])))
 
 
+def must_holds(mapping: Column, dependencies: Column, tags: Column) -> Column:
+    """No edge across the match's border ends outside at a must tag."""
+    def outer(m: Column) -> Column:
+        def bad(d: Column) -> Column:
+            inside = F.array_contains(m, d["gov"])
+            return (inside != F.array_contains(m, d["dep"])) & F.get(tags, F.when(inside, d["dep"]).otherwise(d["gov"])).isin(*MUST_POS_TAGS)
+
+        return ~F.exists(dependencies, bad)
+
+    return let(mapping, outer)
+
+
 def ends_well(labels: Column) -> Column:
+    """The labels, in the order of places, don't end with a forbidden tag."""
     return ~F.element_at(labels, -1).isin(*FORBIDDEN_END_POS_TAGS)
 
 
+def degrees_suffice(pattern: Pattern) -> Column:
+    """Necessary: for each pattern vertex some vertex that has as many edges of each label coming in, and going out."""
+    out = F.lit(True)
+    for p in range(len(pattern.labels)):
+        for end, other in (("gov", 0), ("dep", 2)):
+            need = Counter(e[1] for e in pattern.edges if e[other] == p and e[1] != WILD)
+            if need:
+                out = out & _one_has(end, need)
+    return out
+
+
+def _one_has(end: str, need: Counter) -> Column:
+    """Some vertex at that end of edges has at least so many of each label."""
+    def enough(place: Column) -> Column:
+        ok = F.lit(True)
+        for label, n in need.items():
+            ok = ok & (F.size(F.filter("dependencies", _one(lambda d, label=label: (d[end] == place) & (F.split_part(d["rel"], F.lit(":"), F.lit(1)) == label)))) >= n)
+        return ok
+
+    return F.exists(F.array_distinct(F.transform("dependencies", lambda d: d[end])), enough)
+
+
 def large_enough(pattern: Pattern) -> Column:
     """Necessary: as many vertices and edges, and each pattern label as often among the tags."""
     out = (F.size("pos_tags") >= len(pattern.labels)) & (F.size("dependencies") >= len(pattern.edges))

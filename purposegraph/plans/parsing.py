@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import vocab
 from ..operators import extraction, matching, mining, parsing
 from ..operators.matching import Pattern
-from .tables import SENTENCES_SQL, sentences, table
+from .tables import CASES, SENTENCES_SQL, sentences, table
 
 PATH = Pattern(("DT", "NN", "VBG"), ((1, "det", 0), (1, "next", 2)))
 FORK = Pattern(("NN", "IN", "NONE"), ((0, "next", 1), (1, "next", 2)))
@@ -101,9 +101,10 @@ def vf2_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def separator_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.find(sentences(spark, sf_dir), [PATH]).join(sentences(spark, sf_dir).select("sid", "pos_tags"), "sid")
-    stops = F.filter(F.transform("pos_tags", lambda t, i: F.when(t == "CC", i)), lambda i: i.isNotNull())
-    return found.groupBy(matching.within_clause(F.col("mapping"), stops).alias("kept")).agg(F.count("*").alias("n"))
+    """Matches with and without a separator; "and", tagged CC here, is taken for a clause separator."""
+    rows = sentences(spark, sf_dir)
+    found = matching.find(rows, [FORK]).join(rows.select("sid", F.transform("pos_tags", lambda t: F.when(t == "CC", "WP").otherwise(t)).alias("tags")), "sid")
+    return found.groupBy(matching.within_clause(F.col("mapping"), matching.separators(F.col("tags"))).alias("kept")).agg(F.count("*").alias("n"))
 
 
 def coverage_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +113,56 @@ def coverage_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_pattern_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.find(sentences(spark, sf_dir), [PATH])
-    order = F.array_join(F.transform(F.array_sort(F.arrays_zip(F.col("mapping").alias("m"), F.array(*map(F.lit, PATH.labels)).alias("l"))), lambda x: x["l"]), " ")
-    return found.groupBy(order.alias("labels")).agg(F.count("*").alias("n"))
+    """Matches by the pattern as it is placed in the sentence. At most as many placements as the pattern has permutations come to the driver."""
+    rank = F.transform("mapping", lambda x: F.size(F.filter("mapping", lambda y: y < x)))
+    placements = matching.find(sentences(spark, sf_dir), [PATH]).groupBy(rank.alias("at")).agg(F.count("*").alias("n")).collect()
+    shown = [(matching.placed(PATH, tuple(r["at"])), r["n"]) for r in placements]
+    rows = [(" ".join(p.labels), ",".join(f"{u} {x} {v}" for u, x, v in p.edges), n) for p, n in shown]
+    return spark.createDataFrame(rows, "labels string, edges string, n long").groupBy("labels", "edges").agg(F.sum("n").alias("n"))
+
+
+def predicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by whether their first two places are neighbours, and whether no edge leads out to a must tag."""
+    rows = sentences(spark, sf_dir)
+    found = matching.find(rows, [FORK]).join(rows.select("sid", "pos_tags", "dependencies"), "sid")
+    kept = [matching.prefix_holds(F.col("mapping"), 2).alias("prefix"), matching.must_holds(F.col("mapping"), F.col("dependencies"), F.col("pos_tags")).alias("must"), matching.ends_well(F.transform("mapping", lambda i: F.get("pos_tags", i))).alias("ends")]
+    return found.select(*kept).groupBy("prefix", "must", "ends").agg(F.count("*").alias("n"))
+
+
+def degree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that pass the necessary conditions on label counts and on the edges that enter and leave each vertex."""
+    return sentences(spark, sf_dir).where(matching.large_enough(PATH) & matching.degrees_suffice(PATH)).select("sid")
+
+
+def pattern_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences(spark, sf_dir).withColumn("text", F.array_join("tokens", " "))
+    return mining.example(matching.find(rows, [PATH, TWO], limit=1), rows).select("pattern_id", "sid", "text")
+
+
+def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences(spark, sf_dir)
+    n = rows.count()
+    return mining.coverage(mining.first_match(matching.find(rows, [PATH, TWO], limit=1), n), n).select(F.round("coverage", 9).alias("coverage"))
+
+
+def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = mining.frequent(mining.graphs(sentences(spark, sf_dir)), 2, 10, 1 << 62)
+    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["u"], e["label"], e["v"])), ",")
+    return shown.select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "freq")
+
+
+def event_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent entity type of each word of each event, where nouns count as PERSON or CITY by their first letter."""
+    rows = sentences(spark, sf_dir).withColumn("lemmas", F.col("tokens")).withColumn("mentions", F.array().cast("array<struct<start:int,end:int,text:string,ner:string>>"))
+    ner = lambda t: F.when(F.substring(t, 1, 1) < "h", "PERSON").when(F.substring(t, 1, 1) < "t", "CITY").otherwise("O")
+    found = extraction.extract(rows.withColumn("ners", F.transform("tokens", ner)), [TWO])
+    return extraction.main_entity(extraction.entity_counts(found)).groupBy("ner").agg(F.count("*").alias("n"))
+
+
+def template_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all "the" in a sentence, and tags that stand for their kind."""
+    rows = sentences(spark, sf_dir)
+    return rows.select("sid", F.array_join(tx.indices_from(F.col("tokens"), F.lit("the"), 2), " ").alias("places"), F.array_join(F.transform("pos_tags", tx.fuzzy_tag), " ").alias("tags"))
 
 
 def eventualities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +176,7 @@ QUERIES = {
     for f in (
         template_suffix, template_rejects, clean_text, clean_turns, sentence_split, length_histogram, length_cumulative, mining_thresholds, meta_pattern_mining, frequent_subgraphs,
         subgraph_match_path, subgraph_match_wildcard, subgraph_match_join, edge_label_multiset, vf2_prefilter, separator_filter, coverage_first_match, canonical_pattern_count, eventualities,
+        predicate_counts, degree_filter, pattern_example, pattern_coverage, frequent_edges, event_entities, template_prefix,
     )
 }
 _MADE = f"""{vocab.relations_sql()},
@@ -136,17 +185,36 @@ _MADE = f"""{vocab.relations_sql()},
 
 
 def _cleaned(c: str) -> str:
-    out = f"regexp_replace({c}, '[^\\x00-\\x7F]+', ' ', 'g')"
-    out = f"regexp_replace({out}, '<ref[^>]*>', '<ref>', 'g')"
-    out = f"regexp_replace({out}, '(?i)\\b(?:https?://|www\\.)[^\\s<>]+', '<url>', 'g')"
-    return f"trim(regexp_replace({out}, '<url>(\\s*<url>)+', '<url>', 'g'))"
-
-
-_PATH = """path AS (
-        SELECT d.sid, d.v AS p0, d.u AS p1, n.v AS p2 FROM edges d JOIN edges n ON d.sid = n.sid AND d.u = n.u AND d.label = 'det' AND n.label = 'next' AND d.v <> n.v
-        JOIN nodes a ON a.sid = d.sid AND a.v = d.v AND a.label = 'DT' JOIN nodes b ON b.sid = d.sid AND b.v = d.u AND b.label LIKE 'NN%' JOIN nodes c ON c.sid = d.sid AND c.v = n.v AND c.label = 'VBG')"""
-_LINKS = "links AS (SELECT e.sid, e.u, e.v, a.label AS la, b.label AS lb FROM edges e JOIN nodes a ON a.sid = e.sid AND a.v = e.u JOIN nodes b ON b.sid = e.sid AND b.v = e.v WHERE e.label = 'next')"
-_FORK = "fork AS (SELECT x.sid, x.u, x.v, y.v AS w FROM links x JOIN links y ON x.sid = y.sid AND x.v = y.u WHERE x.la LIKE 'NN%' AND x.lb = 'IN')"
+    """The specification in pieces: schemes, addresses with an at sign, hosts, other runs of host characters, single characters; the first and third kind are URLs."""
+    url, host = tx.SCHEME_URL.replace("'", "''"), tx.HOST_URL.replace("'", "''")
+    ascii_ = f"regexp_replace(regexp_replace({c}, '[^\\x00-\\x7F]+', ' ', 'g'), '<ref[^>\\n]*>', '<ref>', 'g')"
+    pieces = f"regexp_extract_all({ascii_}, '(?is){url}|[a-z0-9.-]*@[a-z0-9.@-]*|{host}|[a-z0-9.-]+|.')"
+    out = f"array_to_string(list_transform({pieces}, lambda x: CASE WHEN regexp_full_match(x, '(?i){url}|{host}') THEN '<url>' ELSE x END), '')"
+    return f"regexp_replace(regexp_replace({out}, '<url>[()\\[\\]]*<url>', '<url>', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+# places of neighbours from the sentences' own lists, as all edges are between neighbours
+_TAGGED = f"tagged AS (SELECT sid, tokens, list_transform(tokens, lambda t: CASE {CASES} ELSE 'NN' END) AS tags FROM sentences)"
+_PATH = f"""{_TAGGED},
+    path AS (SELECT sid, j - 2 AS p0, j - 1 AS p1, j AS p2 FROM (SELECT sid, tags, unnest(range(2, len(tags))) AS j FROM tagged) WHERE tags[j - 1] = 'DT' AND tags[j] LIKE 'NN%' AND tags[j + 1] = 'VBG')"""
+_TWO = "two AS (SELECT sid, j - 1 AS p0, j AS p1 FROM (SELECT sid, tags, unnest(range(1, len(tags))) AS j FROM tagged) WHERE tags[j] LIKE 'NN%' AND tags[j + 1] = 'VBD')"
+_FORK = "fork AS (SELECT sid, tags, j - 1 AS u, j AS v, j + 1 AS w FROM (SELECT sid, tags, unnest(range(1, len(tags) - 1)) AS j FROM tagged) WHERE tags[j] LIKE 'NN%' AND tags[j + 1] = 'IN')"
+#: Events are stretches of neighbours: a match, the determiner before it and an optional word behind it.
+_EVENTS = f"""
+    raw AS (SELECT sid, p0 AS lo, p2 AS hi, 'DT NN VBG' AS pattern FROM path UNION ALL SELECT sid, p0, p1, 'NN VBD' FROM two),
+    wide AS (
+        SELECT sid, pattern, tokens, tags, CASE WHEN lo > 0 AND tags[lo] = 'DT' THEN lo - 1 ELSE lo END AS lo,
+            CASE WHEN tags[hi + 2] IN ('JJ', 'JJR', 'JJS', 'RB', 'RBR', 'RBS', 'DT', 'PRP$') THEN hi + 1 ELSE hi END AS hi FROM raw JOIN tagged USING (sid)),
+    events AS (SELECT sid, pattern, tokens[lo + 1:hi + 1] AS words, tags[lo + 1:hi + 1] AS tags FROM wide),
+    shown AS (
+        SELECT sid, pattern, array_to_string(words, ' ') AS words,
+            '["' || array_to_string(words, '", "') || '"]' AS w, '["' || array_to_string(tags, '", "') || '"]' AS t,
+            list_sort(list_transform(range(0, len(words) - 1), lambda k: CASE WHEN tags[k + 1] = 'DT' THEN [lpad(CAST(k + 1 AS VARCHAR), 6, '0'), lpad(CAST(k AS VARCHAR), 6, '0'), CAST(k + 1 AS VARCHAR), 'det', CAST(k AS VARCHAR)]
+                ELSE [lpad(CAST(k AS VARCHAR), 6, '0'), lpad(CAST(k + 1 AS VARCHAR), 6, '0'), CAST(k AS VARCHAR), 'next', CAST(k + 1 AS VARCHAR)] END)) AS arcs,
+            words AS ws, tags AS ts FROM events),
+    ided AS (
+        SELECT sid, pattern, words, sha1('[[' || array_to_string(list_transform(arcs, lambda a: '[[' || a[3] || ', "' || ws[CAST(a[3] AS INT) + 1] || '", "' || ts[CAST(a[3] AS INT) + 1] || '"], "' || a[4] || '", [' || a[5] || ', "' || ws[CAST(a[5] AS INT) + 1] || '", "' || ts[CAST(a[5] AS INT) + 1] || '"]]'), ', ')
+            || '], ' || w || ', ' || t || ']') AS eid FROM shown)"""
 ORACLES = {
     "template_suffix": f"WITH {_MADE} SELECT concat_ws('-', p_partkey, relation, p_size) || '|' || p_partkey AS sid, text FROM cut WHERE text IS NOT NULL",
     "template_rejects": f"WITH {_MADE} SELECT relation, count(*) AS n FROM cut WHERE text IS NULL GROUP BY relation",
@@ -162,21 +230,69 @@ ORACLES = {
         SELECT 'DT IN' AS labels, coalesce(e, '') AS edges, count(*) AS freq FROM both_ LEFT JOIN arcs USING (sid) GROUP BY 2""",
     "subgraph_match_path": f"WITH {SENTENCES_SQL}, {_PATH} SELECT sid, p0, p1, p2 FROM path",
     "subgraph_match_join": f"WITH {SENTENCES_SQL}, {_PATH} SELECT sid, p0, p1, p2 FROM path",
-    "subgraph_match_wildcard": f"WITH {SENTENCES_SQL}, {_LINKS}, {_FORK} SELECT count(*) AS matches, count(DISTINCT sid) AS sentences FROM fork",
+    "subgraph_match_wildcard": f"WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK} SELECT count(*) AS matches, count(DISTINCT sid) AS sentences FROM fork",
     "edge_label_multiset": f"WITH {SENTENCES_SQL} SELECT sid, label, count(*) AS n FROM edges GROUP BY sid, label",
     "vf2_prefilter": f"""
         WITH {SENTENCES_SQL},
         n AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'DT') AS d, count(*) FILTER (label LIKE 'NN%') AS nn, count(*) FILTER (label = 'VBG') AS g FROM nodes GROUP BY sid),
         e AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'det') AS d, count(*) FILTER (label = 'next') AS x FROM edges GROUP BY sid)
         SELECT n.sid FROM n JOIN e USING (sid) WHERE n.k >= 3 AND e.k >= 2 AND n.d >= 1 AND nn >= 1 AND g >= 1 AND e.d >= 1 AND x >= 1""",
-    "separator_filter": f"""
-        WITH {SENTENCES_SQL}, {_PATH},
-        judged AS (SELECT sid, p0, p1, p2, NOT EXISTS (SELECT 1 FROM nodes s WHERE s.sid = path.sid AND s.label = 'CC' AND s.v BETWEEN least(p0, p1, p2) AND greatest(p0, p1, p2)) AS kept FROM path)
-        SELECT kept, count(*) AS n FROM judged GROUP BY kept""",
+    "separator_filter": f"WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK} SELECT len(list_filter(tags[u + 1:w + 1], lambda t: t = 'CC')) = 0 AS kept, count(*) AS n FROM fork GROUP BY 1",
     "coverage_first_match": f"""
-        WITH {SENTENCES_SQL}, {_PATH}, {_LINKS}, {_FORK},
-        claims AS (SELECT sid, 0 AS k FROM path UNION SELECT sid, 1 FROM fork UNION SELECT sid, 2 FROM links WHERE la LIKE 'NN%' AND lb = 'VBD'),
+        WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, {_FORK},
+        claims AS (SELECT sid, 0 AS k FROM path UNION SELECT sid, 1 FROM fork UNION SELECT sid, 2 FROM two),
         firsts AS (SELECT sid, min(k) AS k FROM claims GROUP BY sid)
         SELECT CAST(k AS INT) AS pattern_id, count(*) AS n FROM firsts GROUP BY k""",
-    "canonical_pattern_count": f"WITH {SENTENCES_SQL}, {_PATH} SELECT CASE WHEN p0 < p1 AND p1 < p2 THEN 'DT NN VBG' WHEN p0 < p2 AND p2 < p1 THEN 'DT VBG NN' WHEN p1 < p0 AND p0 < p2 THEN 'NN DT VBG' ELSE 'other' END AS labels, count(*) AS n FROM path GROUP BY 1",
+    "canonical_pattern_count": f"WITH {SENTENCES_SQL}, {_PATH} SELECT 'DT NN VBG' AS labels, '1 det 0,1 next 2' AS edges, count(*) AS n FROM path",
+    "predicate_counts": f"""
+        WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK}
+        SELECT TRUE AS prefix, NOT ((u > 0 AND tags[u] IN ('IN', 'CC', 'TO')) OR (w + 1 < len(tags) AND tags[w + 2] IN ('IN', 'CC', 'TO'))) AS must, tags[w + 1] NOT IN ('IN', 'CC', 'TO') AS ends, count(*) AS n
+        FROM fork GROUP BY 1, 2, 3""",
+    "degree_filter": f"""
+        WITH {SENTENCES_SQL},
+        n AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'DT') AS d, count(*) FILTER (label LIKE 'NN%') AS nn, count(*) FILTER (label = 'VBG') AS g FROM nodes GROUP BY sid),
+        e AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'det') AS d, count(*) FILTER (label = 'next') AS x FROM edges GROUP BY sid),
+        deg AS (SELECT sid, sum((label = 'det')::INT) AS d, sum((label = 'next')::INT) AS x, u FROM edges GROUP BY sid, u)
+        SELECT n.sid FROM n JOIN e USING (sid) WHERE n.k >= 3 AND e.k >= 2 AND n.d >= 1 AND nn >= 1 AND g >= 1 AND e.d >= 1 AND x >= 1 AND EXISTS (SELECT 1 FROM deg WHERE deg.sid = n.sid AND deg.d >= 1 AND deg.x >= 1)""",
+    "pattern_example": f"""
+        WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, hits AS (SELECT DISTINCT 0 AS k, sid FROM path UNION SELECT DISTINCT 1, sid FROM two),
+        sized AS (SELECT k, h.sid, tokens, row_number() OVER (PARTITION BY k ORDER BY len(tokens), h.sid) AS r FROM hits h JOIN sentences s ON s.sid = h.sid)
+        SELECT CAST(k AS INT) AS pattern_id, sid, array_to_string(tokens, ' ') AS text FROM sized WHERE r = 1""",
+    "pattern_coverage": f"""
+        WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, hits AS (SELECT sid FROM path UNION SELECT sid FROM two)
+        SELECT round((SELECT count(*) FROM hits) / (SELECT count(*) FROM sentences)::DOUBLE, 9) AS coverage""",
+    "frequent_edges": f"""
+        WITH {SENTENCES_SQL},
+        arcs AS (SELECT e.sid, e.label, a.label AS la, b.label AS lb FROM edges e JOIN nodes a ON a.sid = e.sid AND a.v = e.u JOIN nodes b ON b.sid = e.sid AND b.v = e.v),
+        forms AS (SELECT DISTINCT sid, CASE WHEN la < lb THEN la || ' ' || lb ELSE lb || ' ' || la END AS labels, CASE WHEN la < lb THEN '0 ' || label || ' 1' ELSE '1 ' || label || ' 0' END AS edges FROM arcs)
+        SELECT labels, edges, count(*) AS freq FROM forms GROUP BY 1, 2 HAVING count(*) >= 10""",
+    "event_entities": f"""
+        WITH {SENTENCES_SQL}, {_TAGGED}, {_TWO}, path AS (SELECT sid, p0, p1, p1 AS p2 FROM two WHERE FALSE), {_EVENTS},
+        once AS (SELECT DISTINCT sid, eid, words FROM ided), ids AS (SELECT DISTINCT eid, words FROM once),
+        places AS (SELECT eid, unnest(string_split(words, ' ')) AS t FROM ids)
+        SELECT CASE WHEN t[1] < 'h' THEN 'PERSON' WHEN t[1] < 't' THEN 'CITY' ELSE 'O' END AS ner, count(*) AS n FROM places GROUP BY 1""",
+    "template_prefix": f"""
+        WITH {SENTENCES_SQL}, {_TAGGED}
+        SELECT sid, array_to_string(list_transform(list_filter(range(3, len(tokens) + 1), lambda i: tokens[i] = 'the'), lambda i: CAST(i - 1 AS VARCHAR)), ' ') AS places,
+            array_to_string(list_transform(tags, lambda t: CASE WHEN t LIKE 'NN%' THEN 'NN' WHEN t LIKE 'RB%' THEN 'RB' WHEN t LIKE 'JJ%' THEN 'JJ' ELSE t END), ' ') AS tags FROM tagged""",
+    "eventualities": f"""
+        WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, {_EVENTS}, once AS (SELECT DISTINCT sid, eid, pattern, words FROM ided)
+        SELECT eid, min(pattern) AS pattern, min(words) AS words, CAST(count(*) AS DOUBLE) AS frequency, count(*) AS sentences FROM once GROUP BY eid""",
+    "sentence_split": f"""
+        WITH c AS (SELECT doc_id, {_cleaned('text')} AS c FROM documents),
+        a AS (SELECT doc_id, CASE WHEN length(c) <= {vocab.MAX_LEN} THEN [c] ELSE string_split(c, chr(10) || chr(10)) END AS p FROM c),
+        b AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {vocab.MAX_LEN} THEN [x] ELSE string_split(x, chr(10)) END)) AS p FROM a),
+        d AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {vocab.MAX_LEN} THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)) END)) AS p FROM b),
+        e AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM d)
+        SELECT doc_id, CAST(unnest(range(0, len(p))) AS INT) AS part, unnest(p) AS text FROM e""",
+    "mining_thresholds": f"""
+        WITH {SENTENCES_SQL}, h AS (SELECT len(tokens) AS k, count(*) AS n FROM sentences GROUP BY 1), c AS (SELECT k, sum(n) OVER (ORDER BY k) AS upto FROM h UNION ALL SELECT 0, 0),
+        t AS (SELECT sum(n) AS total, sum(k * n) / sum(n) AS mean FROM h),
+        d AS (SELECT unnest(range(1, CAST(ceil(mean) AS BIGINT) - {len(TEMPLATE)})) AS delta, total FROM t),
+        near AS (
+            SELECT delta, total, coalesce((SELECT min(upto) FROM c WHERE k >= {len(TEMPLATE)} + delta - 1), (SELECT max(upto) FROM c)) AS lo,
+                coalesce((SELECT min(upto) FROM c WHERE k >= {len(TEMPLATE)} + 2 * delta - 1), (SELECT max(upto) FROM c)) AS hi FROM d),
+        s AS (SELECT *, ln(1 + (hi - lo) / total::DOUBLE) * 0.1::DOUBLE AS share FROM near), u AS (SELECT *, CAST(trunc((total - lo) * share) AS BIGINT) AS least FROM s)
+        SELECT CAST({len(TEMPLATE)} + delta AS INT) AS vertices, least, CAST(trunc((total - lo) * 0.97::DOUBLE) AS BIGINT) AS most FROM u
+        WHERE delta < coalesce((SELECT min(delta) FROM u WHERE share < 1e-6 OR least < total * 1e-4), 1 << 30)""",
 }

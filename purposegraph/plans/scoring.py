@@ -141,7 +141,7 @@ def conceptualized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = features.text_vectors(table(spark, sf_dir, "part"), "p_name", 16)
-    return vec.select("key", F.size("features").alias("size"), F.round(vx.norm(F.col("features")), 6).alias("norm"))
+    return vec.select("key", F.posexplode("features").alias("place", "value")).select("key", "place", F.round("value", 6).alias("value"))
 
 
 def trained_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +167,11 @@ _HISTORY = """history AS (SELECT CAST(l_orderkey % 5 AS INT) AS run, l_orderkey
 _E = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 _DIST = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: abs({0}[i] + {1}[i] - {2}[i])))"
 ORACLES = {
+    "text_features": """
+        WITH keys AS (SELECT DISTINCT p_name AS key FROM part), w AS (SELECT key, unnest(string_split(lower(key), ' ')) AS w FROM keys),
+        h AS (SELECT key, ('0x' || substr(md5(w), 1, 8))::UBIGINT AS h FROM w WHERE w <> ''), summed AS (SELECT key, CAST(h % 16 AS INT) AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2),
+        n AS (SELECT key, sqrt(sum(x * x)) AS n FROM summed GROUP BY 1), places AS (SELECT key, CAST(unnest(range(0, 16)) AS INT) AS place FROM keys)
+        SELECT p.key, p.place, round(CASE WHEN n > 0 THEN coalesce(x, 0) / n ELSE 0 END, 6) + 0 AS value FROM places p LEFT JOIN summed USING (key, place) LEFT JOIN n USING (key)""",
     "threshold_relabel": f"WITH {SCORED_SQL} SELECT label, CASE WHEN score >= 0.7 THEN 'v' ELSE 'i' END AS prediction, count(*) AS n FROM scored GROUP BY 1, 2",
     "threshold_metrics": f"""
         WITH {SCORED_SQL}, t(threshold) AS (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)),

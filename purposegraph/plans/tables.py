@@ -81,11 +81,11 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sid", let(F.col("tokens"), parse).alias("x")).select("sid", "x.*")
 
 
-_CASES = " ".join(f"WHEN t = '{w}' THEN '{n}'" for w, n in TAG_WORDS) + " " + " ".join(f"WHEN t LIKE '{s}' THEN '{n}'" for s, n in TAG_RULES)
+CASES = " ".join(f"WHEN t = '{w}' THEN '{n}'" for w, n in TAG_WORDS) + " " + " ".join(f"WHEN t LIKE '{s}' THEN '{n}'" for s, n in TAG_RULES)
 SENTENCES_SQL = rf"""
     pieces AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(lower(text), '[.!?\n]+'), 1) - 1 AS part FROM documents),
     sentences AS (SELECT doc_id || ':' || part AS sid, regexp_extract_all(s, '[a-z]+') AS tokens FROM pieces WHERE len(regexp_extract_all(s, '[a-z]+')) > 1),
-    nodes AS (SELECT sid, t, CASE {_CASES} ELSE 'NN' END AS label, i - 1 AS v FROM (SELECT sid, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM sentences)),
+    nodes AS (SELECT sid, t, CASE {CASES} ELSE 'NN' END AS label, i - 1 AS v FROM (SELECT sid, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM sentences)),
     edges AS (SELECT b.sid, CASE WHEN a.label = 'DT' THEN b.v ELSE a.v END AS u, CASE WHEN a.label = 'DT' THEN 'det' ELSE 'next' END AS label, CASE WHEN a.label = 'DT' THEN a.v ELSE b.v END AS v
         FROM nodes a JOIN nodes b ON a.sid = b.sid AND b.v = a.v + 1)"""
 
