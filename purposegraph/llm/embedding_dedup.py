@@ -45,8 +45,8 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def hashed(rows: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
-    """(vec_id, cls, vec, keys): cls names label and vector, null where the vector links with nothing; vec has doubles."""
+def hashed(rows: DataFrame, tables: int, projections: int, width: float, kind: str = "<f8") -> DataFrame:
+    """(vec_id, cls, label, vec, keys): cls names label and vector, null where the vector links with nothing; vec has numbers of that kind, which holds them exactly."""
 
     def run(batches):
         hashers: dict[int, Hasher] = {}
@@ -67,27 +67,29 @@ def hashed(rows: DataFrame, tables: int, projections: int, width: float) -> Data
                 for i, v, k in zip(at, x, hashers[dims].keys(unit_rows(x)), strict=True):
                     name = f"{labels[i]}|{dims}".encode()
                     salt = np.uint64(xxhash.xxh3_64_intdigest(name))
-                    cls[i], vecs[i], keys[i] = xxhash.xxh3_128_digest(name + b"|" + v.tobytes()), v.tobytes(), mixed(k ^ salt).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "cls", "vec", "keys"])
+                    cls[i], vecs[i], keys[i] = xxhash.xxh3_128_digest(name + b"|" + v.tobytes()), v.astype(kind).tobytes(), mixed(k ^ salt).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), batch.column(1), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "cls", "label", "vec", "keys"])
 
-    return rows.mapInArrow(run, "vec_id long, cls binary, vec binary, keys array<long>")
+    return rows.mapInArrow(run, "vec_id long, cls binary, label string, vec binary, keys array<long>")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T >= least
 
 
-def compared(members: DataFrame, least: float) -> DataFrame:
+def compared(members: DataFrame, least: float, kind: str = "<f8") -> DataFrame:
     """(a, b, links) from the cells of buckets: links of vector a found here, counting copies, and a spanning edge (a, b).
 
-    members: (key, cell, side, table, rep, m, vec, keys), sorted by (key, cell) within partitions; side tells which of a
+    members: (key, cell, side, table, rep, m, vec, keys, label), sorted by (key, cell) within partitions; side tells which of a
     cell's two blocks a row is in, 0 for both. A pair counts only in the first table that brings it together.
     """
 
     def cell(rows: list) -> list[tuple[int, int, int]]:
+        labels: dict[str, int] = {}
         rep = np.array([r[0] for r in rows])
         weight = np.array([r[1] for r in rows])
-        x = unit_rows(np.stack([np.frombuffer(r[2]) for r in rows]))
+        x = unit_rows(np.stack([np.frombuffer(r[2], kind) for r in rows]).astype(np.float64))
+        label = np.array([labels.setdefault(r[6], len(labels)) for r in rows])
         keys = np.stack([r[3] for r in rows])
         side = np.array([r[4] for r in rows])
         table = rows[0][5]
@@ -97,6 +99,7 @@ def compared(members: DataFrame, least: float) -> DataFrame:
         for lo in range(0, len(rows), BLOCK):
             near[lo : lo + BLOCK] = _linked(x[lo : lo + BLOCK], x, least)
         np.fill_diagonal(near, False)
+        near &= label[:, None] == label[None, :]  # keys hold the label's hash only
         if side.any():  # two different blocks: only pairs across
             near &= side[:, None] != side[None, :]
         for i in np.flatnonzero(near.any(axis=1)):
@@ -131,13 +134,13 @@ def compared(members: DataFrame, least: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
         for batch in batches:
-            k, c, side, table, rep, m, vec, keys = (batch.column(i) for i in range(8))
+            k, c, side, table, rep, m, vec, keys, label = (batch.column(i) for i in range(9))
             flat = keys.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
-            for i, (kk, cc, s, t, r, mm) in enumerate(zip(k.to_pylist(), c.to_pylist(), side.to_pylist(), table.to_pylist(), rep.to_pylist(), m.to_pylist(), strict=True)):
+            for i, (kk, cc, s, t, r, mm, name) in enumerate(zip(*(col.to_pylist() for col in (k, c, side, table, rep, m, label)), strict=True)):
                 if (kk, cc) != group:
                     flush()
                     group = (kk, cc)
-                rows.append((r, mm, vec[i].as_py(), flat[i], s, t))
+                rows.append((r, mm, vec[i].as_py(), flat[i], s, t, name))
             if out:
                 yield batch_of()
         flush()
@@ -159,19 +162,20 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int = 40, proj
     own copies count as links. A null vec_id links with nothing, has no component and is kept.
     """
     source = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("vec"))
-    seen = stash(hashed(source, tables, projections, width))
+    kind = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    seen = stash(hashed(source, tables, projections, width, kind))
     full = seen.where("cls is not null and vec_id is not null")
     counted = stash(full.groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
     firsts = full.withColumnRenamed("vec_id", "id").withColumnRenamed("cls", "c").dropDuplicates(["id", "c"])
-    classes = stash(counted.join(firsts, (F.col("rep") == F.col("id")) & (F.col("cls") == F.col("c"))).select("cls", "rep", "m", "vec", "keys"))
+    classes = stash(counted.join(firsts, (F.col("rep") == F.col("id")) & (F.col("cls") == F.col("c"))).select("cls", "rep", "m", "vec", "keys", "label"))
     spread = classes.select("cls", F.posexplode("keys").alias("table", "key"))
     buckets = stash(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
     placed = spread.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"), F.when(F.col("block") == o, 0).when(F.col("block") < o, 1).otherwise(2).alias("side")))
     cells = placed.select("cls", "table", "key", F.explode(met).alias("x")).select("cls", "table", "key", (F.col("x.lo").cast("long") * 2**31 + F.col("x.hi")).alias("cell"), F.col("x.side").alias("side"))
-    with_vectors = cells.join(classes, "cls").select("key", "cell", "side", "table", "rep", "m", "vec", "keys")
+    with_vectors = cells.join(classes, "cls").select("key", "cell", "side", "table", "rep", "m", "vec", "keys", "label")
     dealt = with_vectors.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    found = stash(compared(dealt, least))
+    found = stash(compared(dealt, least, kind))
     links = stash(found.groupBy("a").agg(F.sum("links").alias("links")))
     labels = components(found)
     per_class = counted.join(links, counted["rep"] == links["a"], "left").join(labels, counted["rep"] == labels["v"], "left")
