@@ -115,7 +115,7 @@ class Translation:
         """One batch; second: the heads' partners; text: tails given as vectors. Returns the mean loss."""
         self.renormalise()
         entities = len(self.e)
-        nh, nt = h.copy(), t.copy() if t is not None else None
+        nh, nt = h.copy(), None if t is None else t.copy()
         wrong = self.draw.integers(0, entities, len(h))
         if text is None and self.draw.random() < 0.5:
             nt = wrong
@@ -142,22 +142,32 @@ class Translation:
         return float(loss.mean())
 
 
-def train_translation(numbered: DataFrame, entities: int, relations: int, group: str, size: int = 100, steps: int = 200, batch: int = 1024, seed: int = 42) -> DataFrame:
-    """(group, kind, idx, vector): a TransE model for each group of triples (h, r, t), groups side by side as tasks.
+def train_translation(numbered: DataFrame, entities: int, relations: int, group: str, size: int = 100, epochs: int = 10, batch: int = 1024, seed: int = 42) -> DataFrame:
+    """(group, kind, idx, vector, loss): a TransE model for each group of triples (h, r, t), groups side by side as tasks; loss is the mean of the last epoch.
 
-    One model is trained by one task, as its parameters are shared; a group's triples must fit there.
+    With columns second and text, heads are the means of h and second and tails are the given vectors text, of that size. One
+    model is trained by one task, as its parameters are shared; a group's triples must fit there. Steps follow the triples.
     """
+    textual = {"second", "text"} <= set(numbered.columns)
 
     def run(table: pa.Table) -> pa.Table:
-        h, r, t = (table.column(c).to_numpy() for c in ("h", "r", "t"))
+        h, r = (table.column(c).to_numpy() for c in ("h", "r"))
+        t = None if textual else table.column("t").to_numpy()
+        second = table.column("second").to_numpy() if textual else None
+        text = np.array(table.column("text").to_pylist(), dtype=np.float64) if textual else None
+        pick = lambda x, at: None if x is None else x[at]
         model = Translation(entities, relations, size, seed=seed)
-        for _ in range(steps):
-            at = model.draw.integers(0, len(h), min(batch, len(h)))
-            model.step(h[at], r[at], t[at])
+        losses: list[float] = []
+        for _ in range(epochs):
+            losses.clear()
+            order = model.draw.permutation(len(h))
+            for lo in range(0, len(h), batch):
+                at = order[lo : lo + batch]
+                losses.append(model.step(h[at], r[at], pick(t, at), pick(second, at), pick(text, at)))
         model.renormalise()
-        name = table.column("g")[0].as_py()
+        name, loss = table.column("g")[0].as_py(), float(np.mean(losses)) if losses else 0.0
         kinds = ["entity"] * entities + ["relation"] * relations
-        return pa.table({"g": [name] * len(kinds), "kind": kinds, "idx": pa.array([*range(entities), *range(relations)], pa.int32()), "vector": pa.array([*map(list, model.e), *map(list, model.r)], pa.list_(pa.float64()))})
+        return pa.table({"g": [name] * len(kinds), "kind": kinds, "idx": pa.array([*range(entities), *range(relations)], pa.int32()), "vector": pa.array([*map(list, model.e), *map(list, model.r)], pa.list_(pa.float64())), "loss": [loss] * len(kinds)})
 
-    ready = numbered.select(F.col(group).cast("string").alias("g"), "h", "r", "t")
-    return ready.groupBy("g").applyInArrow(run, "g string, kind string, idx int, vector array<double>")
+    ready = numbered.select(F.col(group).cast("string").alias("g"), "h", "r", *(("second", "text") if textual else ("t",)))
+    return ready.groupBy("g").applyInArrow(run, "g string, kind string, idx int, vector array<double>, loss double")

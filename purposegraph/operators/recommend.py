@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import networks
+
 
 def rmse(predicted: DataFrame, prediction: str = "prediction", actual: str = "rating") -> DataFrame:
     """Root of the mean squared error over rows whose actual value isn't zero."""
@@ -30,25 +32,16 @@ def train_factors(ratings: DataFrame, rank: int = 32, iterations: int = 10, seed
     return ALS(rank=rank, maxIter=iterations, regParam=0.1, seed=seed, userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop").fit(ratings)
 
 
-def train_wide_deep(rows: DataFrame, size: int, hidden: tuple[int, ...] = (), iterations: int = 50):
-    """A regression of rating on hashed user and item and the item's frozen features (array of size numbers).
-
-    hidden: unused sizes are an error, as pyspark.ml has no regression network; the deep part is the given features.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import FeatureHasher, VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    if hidden:
-        raise NotImplementedError("hidden layers")
-    ready = rows.withColumn("__dense", array_to_vector("features")).withColumn("u", F.col("user").cast("string")).withColumn("i", F.col("item").cast("string"))
-    stages = [
-        FeatureHasher(inputCols=["u", "i"], outputCol="__wide", numFeatures=1 << 14),
-        VectorAssembler(inputCols=["__wide", "__dense"], outputCol="__x", handleInvalid="keep"),
-        LinearRegression(featuresCol="__x", labelCol="rating", maxIter=iterations, regParam=0.1),
-    ]
-    return Pipeline(stages=stages).fit(ready)
+def train_wide_deep(train: DataFrame, valid: DataFrame, test: DataFrame, users: int, items: int, frozen=None, hidden: tuple[int, ...] = (64, 32), size: int = 32, **settings) -> DataFrame:
+    """(run, step, valid, test): a wide and deep network on numbered (user, item, rating), frozen item features beside the trained vectors; settings as for networks.train."""
+    shape = networks.Shape(users, items, size, 0 if frozen is None else frozen.shape[1], hidden)
+    return networks.history(networks.train(train, shape, frozen, **settings), shape, valid, test, frozen)
+
+
+def train_collaborative(train: DataFrame, valid: DataFrame, test: DataFrame, users: int, items: int, hidden: tuple[int, ...] = (100, 64, 32), size: int = 32, **settings) -> DataFrame:
+    """(run, step, valid, test): neural collaborative filtering without a linear part; no hidden layers mean the dot product of the vectors."""
+    shape = networks.Shape(users, items, size, 0, hidden, wide=False)
+    return networks.history(networks.train(train, shape, **settings), shape, valid, test)
 
 
 def grid(**choices) -> list[dict]:

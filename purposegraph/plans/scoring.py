@@ -145,14 +145,27 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = table(spark, sf_dir, "nation").select(F.lit("all").alias("g"), F.col("n_nationkey").alias("h"), F.lit(0).alias("r"), (F.col("n_regionkey") + 25).alias("t"))
-    return features.train_translation(triples, 30, 1, "g", size=8, steps=50).select("kind", "idx", F.size("vector").alias("size"))
+    """Customers in nations and nations in regions, by relation."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    lives = customer.select(F.col("c_custkey").cast("int").alias("h"), F.lit(0).alias("r"), F.col("c_nationkey").alias("t"))
+    lies = nation.select(F.col("n_nationkey").alias("h"), F.lit(1).alias("r"), (F.col("n_regionkey") + 25).alias("t"))
+    most = customer.agg(F.max("c_custkey")).first()[0] or 0
+    triples = lives.withColumn("h", F.col("h") + 30).unionByName(lies).withColumn("g", F.lit("all"))
+    return features.train_translation(triples, most + 31, 2, "g", size=16, epochs=5).select("kind", "idx", F.size("vector").alias("size"), F.round("loss", 6).alias("loss"))
+
+
+def rating_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of two runs of a wide and deep network on the ratings, users and items numbered by their keys."""
+    rows = ratings(spark, sf_dir).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rating", "split")
+    top = rows.agg(F.max("user"), F.max("item")).first()
+    part = lambda *s: rows.where(F.col("split").isin(*s)).drop("split")
+    return recommend.train_wide_deep(part(*range(8)), part(8), part(9), (top[0] or 0) + 1, (top[1] or 0) + 1, size=8, steps=60, batch=256, every=30, runs=2).select("run", "step", F.round("valid", 6).alias("valid"), F.round("test", 6).alias("test"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        conceptualized, text_features, trained_translation, threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
+        conceptualized, text_features, trained_translation, rating_network, threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
         softmax_scores, transe_margin, rating_vocab, rating_encoded, rating_features_default, rmse_nonzero, best_test_at_min_valid, mean_std, kg_threshold_filter, kg_triples,
     )
 }

@@ -5,6 +5,7 @@ import random
 from itertools import permutations
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from purposegraph.functions import text as tx
 from purposegraph.functions import vectors as vx
 from purposegraph.functions import vocab
-from purposegraph.operators import concepts, extraction, features, generation, matching, mining, parsing, recommend, scoring, taxonomy
+from purposegraph.operators import concepts, extraction, features, generation, matching, mining, networks, parsing, recommend, scoring, taxonomy
 from purposegraph.operators.matching import Pattern
 from purposegraph.plans.tables import SENTENCES_SQL, sentences
 from purposegraph.sources import files
@@ -174,7 +175,7 @@ def test_generation_annotation_and_features(spark):
     assert parsed[0]["pos_tags"][0] == "DT" and parsed[1]["tokens"] == ["."]
     vec = features.text_vectors(spark.createDataFrame([("a b",), ("a b",), (None,)], "t string"), "t", 8)
     assert sorted(len(r["features"]) for r in vec.collect()) == [8, 8]
-    trained = features.train_translation(spark.createDataFrame([("x", 0, 0, 1), ("x", 1, 0, 2)], "g string, h int, r int, t int"), 3, 1, "g", size=4, steps=5)
+    trained = features.train_translation(spark.createDataFrame([("x", 0, 0, 1), ("x", 1, 0, 2)], "g string, h int, r int, t int"), 3, 1, "g", size=4, epochs=5)
     assert trained.count() == 4
 
 
@@ -258,3 +259,97 @@ def test_item_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\tone\tBooks | New\tOld\n y\ttwo \n")
     rows = {r["asin"]: r for r in files.item_meta_tsv(spark, str(tmp_path)).collect()}
     assert (rows["x"]["cate"], rows["x"]["top_cate"]) == (["Books | New", "Old"], "Books ") and (rows["y"]["title"], rows["y"]["cate"]) == ("two", [])
+
+
+@pytest.mark.parametrize(("hidden", "wide"), [((5, 3), True), ((), False), ((4,), False)])
+def test_network_gradients_equal_differences(hidden, wide):
+    draw = np.random.default_rng(3)
+    net = networks.Network(networks.Shape(6, 5, 4, 2, hidden, wide), draw.standard_normal((5, 2)))
+    users, items, ratings = draw.integers(0, 6, 9), draw.integers(0, 5, 9), draw.standard_normal(9)
+    _, g = net.gradients(users, items, ratings, train=False)
+    for name, p in net.p.items():
+        for _ in range(4):
+            at = tuple(draw.integers(0, n) for n in p.shape)
+            kept = p[at]
+            p[at] = kept + 1e-6
+            up = net.gradients(users, items, ratings, train=False)[0]
+            p[at] = kept - 1e-6
+            down = net.gradients(users, items, ratings, train=False)[0]
+            p[at] = kept
+            assert g[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
+def test_networks_learn_ratings(spark):
+    draw = np.random.default_rng(1)
+    u, v = draw.standard_normal((30, 2)), draw.standard_normal((20, 2))
+    rows = [(int(a), int(b), float(3 + u[a] @ v[b])) for a in range(30) for b in range(20)]
+    df = spark.createDataFrame(rows, "user int, item int, rating double")
+    valid = df.where("(user + item) % 7 = 0")
+    train = df.where("(user + item) % 7 > 0")
+    for kind in (recommend.train_wide_deep, recommend.train_collaborative):
+        got = kind(train, valid, valid, 30, 20, size=4, hidden=(16,), steps=600, batch=64, every=300, runs=2, rate=0.01).collect()
+        assert sorted((r["run"], r["step"]) for r in got) == [(0, 300), (0, 600), (1, 300), (1, 600)]
+        flat = np.std([r[2] for r in rows])
+        assert all(r["valid"] == r["test"] for r in got) and max(r["valid"] for r in got if r["step"] == 600) < 0.7 * flat
+
+
+def test_translation_of_pairs_to_texts_learns(spark):
+    draw = np.random.default_rng(2)
+    e = draw.standard_normal((12, 6))
+    rows = [("g", int(a), 0, int(b), [float(x) for x in (e[a] + e[b]) / 4]) for a in range(12) for b in range(12) if a != b]
+    df = spark.createDataFrame(rows, "g string, h int, r int, second int, text array<double>")
+    loss = lambda n: features.train_translation(df, 12, 1, "g", size=6, epochs=n, batch=16).first()["loss"]
+    assert loss(60) < loss(1)
+
+
+def test_events_survive_serialisation(spark):
+    e = extraction.Eventuality(["i", "be", "sure"], ["PRP", "VBP", "JJ"], ["O", "O", "DATE"], [(2, "nsubj", 0), (2, "cop", 1)], [0, 1, 2], [0, 1], [4, 5, 7], "PRP VBP JJ", [{"start": 2, "end": 3, "text": "sure", "ner": "DATE"}], 2.0)
+    assert (len(e), str(e)) == (3, "i be sure")
+    for small in (False, True):
+        assert extraction.Eventuality.decoded(e.encoded(small)) == e and extraction.Eventuality.decoded(e.encoded(small)).eid == e.eid
+    assert "eid" in e.to_dict() and "eid" not in e.to_dict(minimum=True)
+    rows = spark.createDataFrame([e.row() | {"sid": "s"}], "sid string, " + extraction.SCHEMA)
+    back = extraction.deserialised(extraction.serialised(rows))
+    assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in rows.drop("sid").collect()]
+    found = extraction.resolved(spark.createDataFrame([(e.eid,), ("none",)], "eid string"), rows)
+    assert [r["eid"] for r in found.collect()] == [e.eid]
+
+
+def test_merged_events_have_the_commonest_entity_types_and_all_mentions(spark):
+    def event(sid, ners, mention):
+        m = [{"start": 0, "end": 1, "text": mention, "ner": ners[0]}] if mention else []
+        return extraction.Eventuality(["x", "go"], ["NN", "VB"], ners, [(1, "nsubj", 0)], [0, 1], [0], [0, 1], "p", m).row() | {"sid": sid}
+
+    rows = spark.createDataFrame([event("a", ["CITY", "O"], "x"), event("b", ["CITY", "O"], "y"), event("c", ["O", "O"], None), event("d", ["PERSON", "O"], "x")], "sid string, " + extraction.SCHEMA)
+    r = extraction.merge_all(rows).first()
+    assert (r["frequency"], r["sentences"], r["ners"], [m["text"] for m in r["mentions"]]) == (4.0, 4, ["CITY", "O"], ["x", "x", "y"])
+
+
+def test_batch_matcher_counts_and_keeps_events(spark):
+    big = Pattern(("NN", "VB", "NN"), ((1, "nsubj", 0), (1, "dobj", 2)))
+    small, other = Pattern(("NN", "VB"), ((1, "nsubj", 0),)), Pattern(("IN", "VB"), ((1, "prep", 0),))
+    rows = [
+        ("a", ["NN", "VB", "NN", "IN"], [(1, "nsubj", 0), (1, "dobj", 2), (1, "prep", 3)]),  # the largest pattern holds, and so counts for its child
+        ("b", ["NN", ";", "VB", "IN"], [(2, "nsubj", 0), (2, "prep", 3)]),  # the subject lies beyond a separator: its event stays, the next pattern counts
+        ("c", ["NN", "NN", "VB"], [(2, "nsubj", 0), (2, "nsubj", 1)]),
+    ]
+    df = spark.createDataFrame([(s, [f"w{i}" for i in range(len(t))], t, d) for s, t, d in rows], "sid string, lemmas array<string>, pos_tags array<string>, dependencies array<struct<gov:int,rel:string,dep:int>>")
+    found = extraction.batch_match(df, [small, other, big])
+    patterns = extraction.ordered([small, other, big])
+    counts = {patterns[r["pattern_id"]]: r["matches"] for r in extraction.batch_counts(found).collect()}
+    assert counts == {big: 1, small: 3, other: 1}
+    words = sorted((r["sid"], " ".join(r["words"])) for r in extraction.batch_events(found).collect())
+    assert words == [("a", "w0 w1 w2"), ("b", "w0 w2"), ("b", "w2 w3"), ("c", "w0 w2"), ("c", "w1 w2")]
+
+
+def test_extraction_from_texts_in_both_orders(spark):
+    texts = spark.createDataFrame([("s", "the dog is running and the cat is eating")], "sid string, text string")
+    patterns = [Pattern(("NN", "VBG"), ((1, "nsubj", 0),)), Pattern(("DT", "NN"), ((1, "det", 0),))]
+    parsed = parsing.annotate(texts)
+    events = extraction.from_texts(texts, patterns)
+    assert {r["eid"] for r in events.collect()} == {r["eid"] for r in extraction.extract(parsed, patterns).collect()}
+    by_eid = [r["eid"] for r in extraction.numbered(events, "eid").sort("place").collect()]
+    by_place = [sum(r["raw_places"]) / len(r["raw_places"]) for r in extraction.numbered(events, "position").sort("place").collect()]
+    assert by_eid == sorted(by_eid) and by_place == sorted(by_place)
+    with pytest.raises(NotImplementedError):
+        extraction.numbered(events, "other")
