@@ -353,3 +353,19 @@ def test_extraction_from_texts_in_both_orders(spark):
     assert by_eid == sorted(by_eid) and by_place == sorted(by_place)
     with pytest.raises(NotImplementedError):
         extraction.numbered(events, "other")
+
+
+def test_mining_from_lengths_to_claims(spark):
+    def parsed(i, tags, words):
+        deps = [(k, "next", k + 1) for k in range(len(tags) - 1)]
+        return (f"s{i}", words, " ".join(words), tags, deps)
+
+    rows = [parsed(i, ["DT", "NN", "VB", "JJ", "RB"], ["the", "dog", "runs", "so", f"w{i}"]) for i in range(60)]
+    rows += [parsed(60 + i, ["DT", "NN", "VB", "TO", "VB"], ["the", "cat", "likes", "to", f"x{i}"]) for i in range(60)]
+    rows += [parsed(120 + i, ["PRP", "MD", "PRP", "MD"][: 1 + i % 4], ["it", "may", "it", "may"][: 1 + i % 4]) for i in range(100)]
+    df = spark.createDataFrame(rows, "sid string, tokens array<string>, text string, pos_tags array<string>, dependencies array<struct<gov:int,rel:string,dep:int>>")
+    patterns, claims = mining.mine(df, ["the"])
+    assert all("DT" in p.labels for p in patterns) and len({len(p.labels) for p in patterns}) > 1
+    got = {patterns[r["pattern_id"]].labels: (r["n"], r["text"][:4]) for r in claims.collect()}
+    # sentences of the second kind have an edge from the verb to "to", so they count for what ends before it
+    assert got == {("DT", "NN", "VB"): (60, "the "), ("DT", "NN"): (60, "the ")}
