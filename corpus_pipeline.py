@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, personal data, packing.
 
 Each stage takes the documents that the one before kept, written as Parquet and read again, and works on all of them.
-All but the last return the columns of documents, n_chars being the length of the text as it is then.
+All but the last return the columns of documents, n_chars being the length of the text as it is then. Further columns are
+carried along, whatever they are called. A null or empty text fails the quality rules, so none comes to the later stages
+but for texts that line dedup has emptied, which near-dedup links with nothing and packing gives one end id each. An empty
+table gives empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purposegraph.llm import line_dedup, minhash, packing, pii, quality
-from purposegraph.llm.common import shared_dir
+from purposegraph.llm.common import mark, shared_dir, sweep
 
 
 def _same_columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -60,6 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/purposegraph-{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        sweep(spark, since)  # what the stage has stored on its way
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
