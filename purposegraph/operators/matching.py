@@ -126,6 +126,22 @@ def matches(labels, edges, pattern: Pattern, limit: int | None = None, fixed: di
     return sorted(out)
 
 
+def matches_at_edge(labels, edges: list[Edge], pattern: Pattern, graph_edge: int | None = None, pattern_edge: int | None = None) -> list[tuple[int, ...]]:
+    """Matches that lay a pattern edge on a graph edge of the same label, as counted up to its colon, both loops or neither.
+
+    The seeds are places in the edge lists: with both, that pattern edge lies on that graph edge; with one, it meets any
+    of the other side; without, all matches. A match found through several edges comes once.
+    """
+    if graph_edge is None and pattern_edge is None:
+        return matches(labels, edges, pattern)
+    g, found = Graph(labels, edges), set()
+    for pu, wanted, pv in pattern.edges if pattern_edge is None else [pattern.edges[pattern_edge]]:
+        for u, label, v in edges if graph_edge is None else [edges[graph_edge]]:
+            if label.split(":")[0] == wanted.split(":")[0] and (u == v) == (pu == pv):
+                found.update(matches(labels, edges, pattern, fixed={pu: u, pv: v}, graph=g))
+    return sorted(found)
+
+
 def contains(big: Pattern, small: Pattern) -> bool:
     return bool(matches(big.labels, big.edges, small, limit=1))
 

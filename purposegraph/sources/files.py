@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import PUNCTUATION
+from ..operators import concepts, recommend
 from ..operators.matching import Pattern
 
 RAW, GENERATED = "sid string, text string", "text string, key string, output array<string>"
 TRIPLES = "array<array<string>>"
+EVENTS = "eid string, words array<string>, ners array<string>, pos_tags array<string>, phrases array<string>, phrase_ners array<string>, phrase_tags array<string>"
 
 
 def item_meta_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +88,16 @@ def ratings(spark: SparkSession, path: str, split: str | None = None) -> DataFra
     return out if split is None else out.where(F.col("split") == split)
 
 
+def write_metrics(best: DataFrame, path: str) -> None:
+    """The runs' test errors with mean and deviation, one JSON line."""
+    write_json(recommend.report(best), path)
+
+
+def conceptualize_file(spark: SparkSession, source: str, target: str, taxonomy: DataFrame, k: int = 3, start: int = 0) -> None:
+    """Events of JSON lines to their concepts as JSON lines (eid, concept, cid, score)."""
+    write_json(concepts.conceptualize(spark.read.schema(EVENTS).json(source), taxonomy, k, start), target)
+
+
 def kg_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -369,3 +369,40 @@ def test_mining_from_lengths_to_claims(spark):
     got = {patterns[r["pattern_id"]].labels: (r["n"], r["text"][:4]) for r in claims.collect()}
     # sentences of the second kind have an edge from the verb to "to", so they count for what ends before it
     assert got == {("DT", "NN", "VB"): (60, "the "), ("DT", "NN"): (60, "the ")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_edge_seeds_keep_the_matches_that_lie_on_them(data):
+    def graph(n):
+        labels = data.draw(st.lists(st.sampled_from("AB"), min_size=n, max_size=n))
+        edges = data.draw(st.lists(st.tuples(st.integers(0, n - 1), st.sampled_from(["x", "y"]), st.integers(0, n - 1)), min_size=1, max_size=6, unique=True))
+        return labels, edges
+
+    labels, edges = graph(4)
+    small, wanted = graph(2)
+    pattern = Pattern(tuple(small), tuple(wanted))
+    every = matching.matches(labels, edges, pattern)
+    at = data.draw(st.integers(0, len(wanted) - 1))
+    on = data.draw(st.integers(0, len(edges) - 1))
+
+    def laid(m):
+        return [(m[u], x, m[v]) for u, x, v in wanted]
+
+    assert matching.matches_at_edge(labels, edges, pattern) == every
+    assert matching.matches_at_edge(labels, edges, pattern, on) == [m for m in every if edges[on] in laid(m)]
+    assert matching.matches_at_edge(labels, edges, pattern, None, at) == every
+    assert matching.matches_at_edge(labels, edges, pattern, on, at) == [m for m in every if laid(m)[at] == edges[on]]
+
+
+def test_metrics_and_concepts_go_to_files(spark, tmp_path):
+    best = spark.createDataFrame([(2, 5, 1.0, 4.0), (0, 1, 1.0, 1.0), (1, 3, 1.0, 1.0)], "run int, step int, valid double, test double")
+    files.write_metrics(best, f"{tmp_path}/metrics")
+    row = spark.read.json(f"{tmp_path}/metrics").first()
+    assert row["results"] == [1.0, 1.0, 4.0] and row["mean"] == 2.0 and row["std"] == pytest.approx(2**0.5)
+    taxonomy = spark.createDataFrame([("animal", "dog", 3), ("pet", "dog", 1)], "concept string, instance string, freq int")
+    events = spark.createDataFrame([("e", ["dog", "run"], ["O", "O"], ["NN", "VB"], ["dog", "run"], ["O", "O"], ["NN", "VB"])], files.EVENTS)
+    files.write_json(events, f"{tmp_path}/events")
+    files.conceptualize_file(spark, f"{tmp_path}/events", f"{tmp_path}/concepts", taxonomy)
+    straight = concepts.conceptualize(events, taxonomy)
+    assert sorted(map(tuple, spark.read.schema(straight.schema).json(f"{tmp_path}/concepts").collect())) == sorted(map(tuple, straight.collect())) != []
