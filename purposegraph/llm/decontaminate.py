@@ -249,8 +249,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, longest:
     Spans are those of scan(), so with longest = 1 those of short items go too. A cut takes the characters from the first
     to the last word of the span; the text around it stays as it is. Columns are those of docs, text included; nulls stay.
     """
-    found = scan(docs, items, window, keep_text=True)
-    keep = others(found, "text", "n_words", "spans", "items")
+    keep = others(docs, "text")
+    found = scan(docs.select(as_row(keep).alias("row"), named("text").cast("string").alias("text")), items, window, keep_text=True)
     share = F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["begin"]) / F.greatest(F.col("n_words"), F.lit(1))
     clean = found.where(share <= coverage).withColumn("spans", F.filter("spans", lambda x: x["end"] - x["begin"] >= longest))
     word = re.compile(rb"[^ ]+")
@@ -272,7 +272,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, longest:
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["row", "text"])
 
-    schema = T.StructType().add("row", found.select(as_row(keep).alias("row")).schema[0].dataType).add("text", "string")
-    out = clean.select(as_row(keep).alias("row"), "text", "spans").mapInArrow(run, schema)
-    order = [c for c in docs.columns if c in keep or c == "text"]
-    return out.select(*from_row(keep), "text").select(*map(named, order))
+    out = clean.select("row", "text", "spans").mapInArrow(run, T.StructType([found.schema["row"], found.schema["text"]]))
+    return out.select(*from_row(keep), "text").select(*map(named, docs.columns))

@@ -114,7 +114,7 @@ def compress(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", la
     order = [F.col("key").asc_nulls_last(), F.col("vector")]
     size = next((len(r["vector"]) for r in cut.orderBy(*order).limit(1).collect()), 0)
     start = cut.where(F.size(x) == size).orderBy(*order).limit(entries).select("vector").collect() if size else []
-    first = np.clip(np.floor(np.array([r["vector"] for r in start]).reshape(len(start), -1) * 256), -MOST, MOST).astype(np.int64)
+    first = np.clip(np.floor(np.array([r["vector"] for r in start]).reshape(len(start), size) * 256), -MOST, MOST).astype(np.int64)
     books = fitted(cut.where(F.size(x) == size), first, parts, rounds) if size else []
     digest = hashlib.sha256(",".join(str(v) for b in books for v in b.reshape(-1).tolist()).encode()).hexdigest()
 
