@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import extraction, matching, mining, parsing
+from ..operators import extraction, matching, mining, parsing, subgraphs
 from ..operators.matching import Pattern
 from .tables import CASES, SENTENCES_SQL, sentences, table
 
@@ -67,9 +67,20 @@ def meta_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = mining.frequent_sizes(mining.graphs(sentences(spark, sf_dir)), _thresholds(spark, sf_dir))
+    return _forms(subgraphs.frequent(mining.graphs(sentences(spark, sf_dir)), _thresholds(spark, sf_dir)))
+
+
+def _forms(found: DataFrame) -> DataFrame:
     edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["u"], e["label"], e["v"])), ",")
-    return shown.select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "freq")
+    return found.select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "freq")
+
+
+def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(mining.frequent(mining.graphs(sentences(spark, sf_dir)), 3, 10, 1 << 62))
+
+
+def frequent_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(mining.frequent(mining.graphs(sentences(spark, sf_dir)), 4, 20, 1 << 62))
 
 
 def _shown(found: DataFrame, k: int) -> DataFrame:
@@ -146,9 +157,7 @@ def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = mining.frequent(mining.graphs(sentences(spark, sf_dir)), 2, 10, 1 << 62)
-    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["u"], e["label"], e["v"])), ",")
-    return shown.select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "freq")
+    return _forms(mining.frequent(mining.graphs(sentences(spark, sf_dir)), 2, 10, 1 << 62))
 
 
 def event_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +185,7 @@ QUERIES = {
     for f in (
         template_suffix, template_rejects, clean_text, clean_turns, sentence_split, length_histogram, length_cumulative, mining_thresholds, meta_pattern_mining, frequent_subgraphs,
         subgraph_match_path, subgraph_match_wildcard, subgraph_match_join, edge_label_multiset, vf2_prefilter, separator_filter, coverage_first_match, canonical_pattern_count, eventualities,
-        predicate_counts, degree_filter, pattern_example, pattern_coverage, frequent_edges, event_entities, template_prefix,
+        predicate_counts, degree_filter, pattern_example, pattern_coverage, frequent_edges, frequent_triples, frequent_quads, event_entities, template_prefix,
     )
 }
 _MADE = f"""{vocab.relations_sql()},
@@ -193,28 +202,44 @@ def _cleaned(c: str) -> str:
     return f"regexp_replace(regexp_replace({out}, '<url>[()\\[\\]]*<url>', '<url>', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-# places of neighbours from the sentences' own lists, as all edges are between neighbours
 _TAGGED = f"tagged AS (SELECT sid, tokens, list_transform(tokens, lambda t: CASE {CASES} ELSE 'NN' END) AS tags FROM sentences)"
-_PATH = f"""{_TAGGED},
-    path AS (SELECT sid, j - 2 AS p0, j - 1 AS p1, j AS p2 FROM (SELECT sid, tags, unnest(range(2, len(tags))) AS j FROM tagged) WHERE tags[j - 1] = 'DT' AND tags[j] LIKE 'NN%' AND tags[j + 1] = 'VBG')"""
-_TWO = "two AS (SELECT sid, j - 1 AS p0, j AS p1 FROM (SELECT sid, tags, unnest(range(1, len(tags))) AS j FROM tagged) WHERE tags[j] LIKE 'NN%' AND tags[j + 1] = 'VBD')"
-_FORK = "fork AS (SELECT sid, tags, j - 1 AS u, j AS v, j + 1 AS w FROM (SELECT sid, tags, unnest(range(1, len(tags) - 1)) AS j FROM tagged) WHERE tags[j] LIKE 'NN%' AND tags[j + 1] = 'IN')"
-#: Events are stretches of neighbours: a match, the determiner before it and an optional word behind it.
-_EVENTS = f"""
-    raw AS (SELECT sid, p0 AS lo, p2 AS hi, 'DT NN VBG' AS pattern FROM path UNION ALL SELECT sid, p0, p1, 'NN VBD' FROM two),
-    wide AS (
-        SELECT sid, pattern, tokens, tags, CASE WHEN lo > 0 AND tags[lo] = 'DT' THEN lo - 1 ELSE lo END AS lo,
-            CASE WHEN tags[hi + 2] IN ('JJ', 'JJR', 'JJS', 'RB', 'RBR', 'RBS', 'DT', 'PRP$') THEN hi + 1 ELSE hi END AS hi FROM raw JOIN tagged USING (sid)),
-    events AS (SELECT sid, pattern, tokens[lo + 1:hi + 1] AS words, tags[lo + 1:hi + 1] AS tags FROM wide),
+#: Edges with the labels of both ends, and the matches of the patterns as joins of them.
+_ARCS = "arcs AS (SELECT e.sid, u, e.label, e.v, a.label AS lu, b.label AS lv FROM edges e JOIN nodes a ON a.sid = e.sid AND a.v = e.u JOIN nodes b ON b.sid = e.sid AND b.v = e.v)"
+_PATH = f"""{_ARCS},
+    path AS (SELECT d.sid, d.v AS p0, d.u AS p1, n.v AS p2 FROM arcs d JOIN arcs n ON n.sid = d.sid AND n.u = d.u WHERE d.label = 'det' AND d.lv = 'DT' AND d.lu LIKE 'NN%' AND n.label = 'next' AND n.lv = 'VBG')"""
+_TWO = "two AS (SELECT sid, u AS p0, v AS p1 FROM arcs WHERE label = 'next' AND lu LIKE 'NN%' AND lv = 'VBD')"
+_FORK = "fork AS (SELECT x.sid, x.u, x.v, y.v AS w, y.lv AS last FROM arcs x JOIN arcs y ON y.sid = x.sid AND y.u = x.v WHERE x.label = 'next' AND y.label = 'next' AND x.lu LIKE 'NN%' AND x.lv = 'IN')"
+#: Events of matches raw (sid, pattern, m): their edges, those to optional words included, renumbered and written out.
+_OPTIONAL = ", ".join(f"'{t}'" for t in vocab.OPTIONAL_POS_TAGS)
+_SHOWN = f"""
+    chosen AS (SELECT r.sid, pattern, m, u, a.label AS rel, v FROM raw r JOIN arcs a ON a.sid = r.sid WHERE list_contains(m, u) AND (list_contains(m, v) OR lv IN ({_OPTIONAL}))),
+    placed_ AS (SELECT sid, pattern, m, list({{'u': u, 'v': v, 'rel': rel}}) AS es, list_sort(list_distinct(list_concat(list(u), list(v)))) AS ps FROM chosen GROUP BY sid, pattern, m),
     shown AS (
-        SELECT sid, pattern, array_to_string(words, ' ') AS words,
-            '["' || array_to_string(words, '", "') || '"]' AS w, '["' || array_to_string(tags, '", "') || '"]' AS t,
-            list_sort(list_transform(range(0, len(words) - 1), lambda k: CASE WHEN tags[k + 1] = 'DT' THEN [lpad(CAST(k + 1 AS VARCHAR), 6, '0'), lpad(CAST(k AS VARCHAR), 6, '0'), CAST(k + 1 AS VARCHAR), 'det', CAST(k AS VARCHAR)]
-                ELSE [lpad(CAST(k AS VARCHAR), 6, '0'), lpad(CAST(k + 1 AS VARCHAR), 6, '0'), CAST(k AS VARCHAR), 'next', CAST(k + 1 AS VARCHAR)] END)) AS arcs,
-            words AS ws, tags AS ts FROM events),
+        SELECT sid, pattern, m, list_transform(ps, lambda i: tokens[i + 1]) AS ws, list_transform(ps, lambda i: tags[i + 1]) AS ts,
+            list_sort(list_transform(es, lambda e: {{'u': list_position(ps, e.u) - 1, 'v': list_position(ps, e.v) - 1, 'rel': e.rel}})) AS es FROM placed_ JOIN tagged USING (sid)),
     ided AS (
-        SELECT sid, pattern, words, sha1('[[' || array_to_string(list_transform(arcs, lambda a: '[[' || a[3] || ', "' || ws[CAST(a[3] AS INT) + 1] || '", "' || ts[CAST(a[3] AS INT) + 1] || '"], "' || a[4] || '", [' || a[5] || ', "' || ws[CAST(a[5] AS INT) + 1] || '", "' || ts[CAST(a[5] AS INT) + 1] || '"]]'), ', ')
-            || '], ' || w || ', ' || t || ']') AS eid FROM shown)"""
+        SELECT sid, pattern, m, array_to_string(ws, ' ') AS words, sha1('[[' || array_to_string(list_transform(es, lambda e: '[[' || e.u || ', "' || ws[e.u + 1] || '", "' || ts[e.u + 1] || '"], "' || e.rel || '", [' || e.v || ', "' || ws[e.v + 1] || '", "' || ts[e.v + 1] || '"]]'), ', ')
+            || '], ["' || array_to_string(ws, '", "') || '"], ["' || array_to_string(ts, '", "') || '"]]') AS eid FROM shown)"""
+_EVENTS = f"raw AS (SELECT sid, 'DT NN VBG' AS pattern, [p0, p1, p2] AS m FROM path UNION ALL SELECT sid, 'NN VBD', [p0, p1] FROM two), {_SHOWN}"
+
+
+def _walks(edges: int, least: int) -> str:
+    """SQL: the frequent connected sub-graphs of so many edges, without circles: all depth-first walks over all sentences, the first of each set of vertices by its steps."""
+    out = ["both_ AS (SELECT sid, u AS a, 1 AS way, label AS e, v AS b, lu AS la, lv AS lb FROM arcs UNION ALL SELECT sid, v, 0, label, u, lv, lu FROM arcs)"]
+    pad = lambda c: f"rpad({c}, 8, ' ')"
+    out.append(f"walk1 AS (SELECT sid, [a, b] AS vs, [0, 1] AS line, {pad('la')} || way || {pad('e')} || {pad('lb')} AS steps, la || ' ' || lb AS labels, [CASE way WHEN 1 THEN {{'u': 0, 'v': 1, 'e': e}} ELSE {{'u': 1, 'v': 0, 'e': e}} END] AS es FROM both_)")
+    for k in range(2, edges + 1):
+        out.append(
+            f"""walk{k} AS (
+            SELECT w.sid, list_append(vs, b) AS vs, list_append(line[1:i], {k}) AS line, steps || (9 - line[i]) || way || {pad('e')} || {pad('lb')} AS steps, labels || ' ' || lb AS labels,
+                list_append(es, CASE way WHEN 1 THEN {{'u': line[i], 'v': {k}, 'e': e}} ELSE {{'u': {k}, 'v': line[i], 'e': e}} END) AS es
+            FROM (SELECT *, unnest(range(1, len(line) + 1)) AS i FROM walk{k - 1}) w JOIN both_ ON both_.sid = w.sid AND a = vs[line[i] + 1] AND NOT list_contains(vs, b))"""
+        )
+    out.append(f"first_ AS (SELECT sid, min({{'steps': steps, 'labels': labels, 'es': es}}) AS f FROM walk{edges} GROUP BY sid, list_sort(vs))")
+    out.append(f"counted AS (SELECT f.labels AS labels, list_transform(list_sort(list_transform(f.es, lambda x: {{'u': x.u, 'v': x.v, 'e': x.e}})), lambda x: x.u || ' ' || x.e || ' ' || x.v) AS es, count(DISTINCT sid) AS freq FROM first_ GROUP BY f HAVING count(DISTINCT sid) >= {least})")
+    return ", ".join(out)
+
+
 ORACLES = {
     "template_suffix": f"WITH {_MADE} SELECT concat_ws('-', p_partkey, relation, p_size) || '|' || p_partkey AS sid, text FROM cut WHERE text IS NOT NULL",
     "template_rejects": f"WITH {_MADE} SELECT relation, count(*) AS n FROM cut WHERE text IS NULL GROUP BY relation",
@@ -230,14 +255,14 @@ ORACLES = {
         SELECT 'DT IN' AS labels, coalesce(e, '') AS edges, count(*) AS freq FROM both_ LEFT JOIN arcs USING (sid) GROUP BY 2""",
     "subgraph_match_path": f"WITH {SENTENCES_SQL}, {_PATH} SELECT sid, p0, p1, p2 FROM path",
     "subgraph_match_join": f"WITH {SENTENCES_SQL}, {_PATH} SELECT sid, p0, p1, p2 FROM path",
-    "subgraph_match_wildcard": f"WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK} SELECT count(*) AS matches, count(DISTINCT sid) AS sentences FROM fork",
+    "subgraph_match_wildcard": f"WITH {SENTENCES_SQL}, {_ARCS}, {_FORK} SELECT count(*) AS matches, count(DISTINCT sid) AS sentences FROM fork",
     "edge_label_multiset": f"WITH {SENTENCES_SQL} SELECT sid, label, count(*) AS n FROM edges GROUP BY sid, label",
     "vf2_prefilter": f"""
         WITH {SENTENCES_SQL},
         n AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'DT') AS d, count(*) FILTER (label LIKE 'NN%') AS nn, count(*) FILTER (label = 'VBG') AS g FROM nodes GROUP BY sid),
         e AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'det') AS d, count(*) FILTER (label = 'next') AS x FROM edges GROUP BY sid)
         SELECT n.sid FROM n JOIN e USING (sid) WHERE n.k >= 3 AND e.k >= 2 AND n.d >= 1 AND nn >= 1 AND g >= 1 AND e.d >= 1 AND x >= 1""",
-    "separator_filter": f"WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK} SELECT len(list_filter(tags[u + 1:w + 1], lambda t: t = 'CC')) = 0 AS kept, count(*) AS n FROM fork GROUP BY 1",
+    "separator_filter": f"WITH {SENTENCES_SQL}, {_TAGGED}, {_ARCS}, {_FORK} SELECT len(list_filter(tags[u + 1:w + 1], lambda t: t = 'CC')) = 0 AS kept, count(*) AS n FROM fork JOIN tagged USING (sid) GROUP BY 1",
     "coverage_first_match": f"""
         WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, {_FORK},
         claims AS (SELECT sid, 0 AS k FROM path UNION SELECT sid, 1 FROM fork UNION SELECT sid, 2 FROM two),
@@ -245,9 +270,12 @@ ORACLES = {
         SELECT CAST(k AS INT) AS pattern_id, count(*) AS n FROM firsts GROUP BY k""",
     "canonical_pattern_count": f"WITH {SENTENCES_SQL}, {_PATH} SELECT 'DT NN VBG' AS labels, '1 det 0,1 next 2' AS edges, count(*) AS n FROM path",
     "predicate_counts": f"""
-        WITH {SENTENCES_SQL}, {_TAGGED}, {_FORK}
-        SELECT TRUE AS prefix, NOT ((u > 0 AND tags[u] IN ('IN', 'CC', 'TO')) OR (w + 1 < len(tags) AND tags[w + 2] IN ('IN', 'CC', 'TO'))) AS must, tags[w + 1] NOT IN ('IN', 'CC', 'TO') AS ends, count(*) AS n
-        FROM fork GROUP BY 1, 2, 3""",
+        WITH {SENTENCES_SQL}, {_ARCS}, {_FORK},
+        crossed AS (
+            SELECT DISTINCT f.sid, f.u, f.v, f.w FROM fork f JOIN arcs a ON a.sid = f.sid AND (a.u IN (f.u, f.v, f.w)) <> (a.v IN (f.u, f.v, f.w))
+            WHERE CASE WHEN a.u IN (f.u, f.v, f.w) THEN a.lv ELSE a.lu END IN ('IN', 'CC', 'TO'))
+        SELECT f.v - f.u = 1 AS prefix, c.sid IS NULL AS must, last NOT IN ('IN', 'CC', 'TO') AS ends, count(*) AS n
+        FROM fork f LEFT JOIN crossed c ON c.sid = f.sid AND c.u = f.u AND c.v = f.v AND c.w = f.w GROUP BY 1, 2, 3""",
     "degree_filter": f"""
         WITH {SENTENCES_SQL},
         n AS (SELECT sid, count(*) AS k, count(*) FILTER (label = 'DT') AS d, count(*) FILTER (label LIKE 'NN%') AS nn, count(*) FILTER (label = 'VBG') AS g FROM nodes GROUP BY sid),
@@ -262,21 +290,21 @@ ORACLES = {
         WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, hits AS (SELECT sid FROM path UNION SELECT sid FROM two)
         SELECT round((SELECT count(*) FROM hits) / (SELECT count(*) FROM sentences)::DOUBLE, 9) AS coverage""",
     "frequent_edges": f"""
-        WITH {SENTENCES_SQL},
-        arcs AS (SELECT e.sid, e.label, a.label AS la, b.label AS lb FROM edges e JOIN nodes a ON a.sid = e.sid AND a.v = e.u JOIN nodes b ON b.sid = e.sid AND b.v = e.v),
-        forms AS (SELECT DISTINCT sid, CASE WHEN la < lb THEN la || ' ' || lb ELSE lb || ' ' || la END AS labels, CASE WHEN la < lb THEN '0 ' || label || ' 1' ELSE '1 ' || label || ' 0' END AS edges FROM arcs)
+        WITH {SENTENCES_SQL}, {_ARCS},
+        forms AS (SELECT DISTINCT sid, CASE WHEN lu < lv THEN lu || ' ' || lv ELSE lv || ' ' || lu END AS labels, CASE WHEN lu < lv THEN '0 ' || label || ' 1' ELSE '1 ' || label || ' 0' END AS edges FROM arcs)
         SELECT labels, edges, count(*) AS freq FROM forms GROUP BY 1, 2 HAVING count(*) >= 10""",
+    "frequent_triples": f"WITH {SENTENCES_SQL}, {_ARCS}, {_walks(2, 10)} SELECT labels, array_to_string(es, ',') AS edges, freq FROM counted",
+    "frequent_quads": f"WITH {SENTENCES_SQL}, {_ARCS}, {_walks(3, 20)} SELECT labels, array_to_string(es, ',') AS edges, freq FROM counted",
     "event_entities": f"""
-        WITH {SENTENCES_SQL}, {_TAGGED}, {_TWO}, path AS (SELECT sid, p0, p1, p1 AS p2 FROM two WHERE FALSE), {_EVENTS},
-        once AS (SELECT DISTINCT sid, eid, words FROM ided), ids AS (SELECT DISTINCT eid, words FROM once),
-        places AS (SELECT eid, unnest(string_split(words, ' ')) AS t FROM ids)
+        WITH {SENTENCES_SQL}, {_TAGGED}, {_ARCS}, {_TWO}, raw AS (SELECT sid, 'NN VBD' AS pattern, [p0, p1] AS m FROM two), {_SHOWN},
+        ids AS (SELECT DISTINCT eid, words FROM ided), places AS (SELECT eid, unnest(string_split(words, ' ')) AS t FROM ids)
         SELECT CASE WHEN t[1] < 'h' THEN 'PERSON' WHEN t[1] < 't' THEN 'CITY' ELSE 'O' END AS ner, count(*) AS n FROM places GROUP BY 1""",
     "template_prefix": f"""
         WITH {SENTENCES_SQL}, {_TAGGED}
         SELECT sid, array_to_string(list_transform(list_filter(range(3, len(tokens) + 1), lambda i: tokens[i] = 'the'), lambda i: CAST(i - 1 AS VARCHAR)), ' ') AS places,
             array_to_string(list_transform(tags, lambda t: CASE WHEN t LIKE 'NN%' THEN 'NN' WHEN t LIKE 'RB%' THEN 'RB' WHEN t LIKE 'JJ%' THEN 'JJ' ELSE t END), ' ') AS tags FROM tagged""",
     "eventualities": f"""
-        WITH {SENTENCES_SQL}, {_PATH}, {_TWO}, {_EVENTS}, once AS (SELECT DISTINCT sid, eid, pattern, words FROM ided)
+        WITH {SENTENCES_SQL}, {_TAGGED}, {_PATH}, {_TWO}, {_EVENTS}, once AS (SELECT DISTINCT sid, eid, pattern, words FROM ided)
         SELECT eid, min(pattern) AS pattern, min(words) AS words, CAST(count(*) AS DOUBLE) AS frequency, count(*) AS sentences FROM once GROUP BY eid""",
     "sentence_split": f"""
         WITH c AS (SELECT doc_id, {_cleaned('text')} AS c FROM documents),

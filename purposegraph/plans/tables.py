@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,45 +49,69 @@ WITH_ITEMS_SQL = (
     PAIRS_SQL + ", full_pairs AS (SELECT item_a, item_b, a.p_name AS title_a, a.p_type AS top_cate_a, b.p_name AS title_b, b.p_type AS top_cate_b "
     "FROM pairs JOIN part a ON a.p_partkey = item_a JOIN part b ON b.p_partkey = item_b)"
 )
-#: Words of a sentence stand for its tokens; tags follow from suffixes, edges join neighbours and determiners.
-TAG_RULES = (("%ing", "VBG"), ("%ed", "VBD"), ("%ly", "RB"), ("%able", "JJ"), ("%es", "NNS"))
+#: Words of a sentence stand for its tokens, in lower case; tags follow from words and suffixes, tried in this order.
 TAG_WORDS = (("the", "DT"), ("a", "DT"), ("of", "IN"), ("in", "IN"), ("to", "TO"), ("and", "CC"))
+TAG_RULES = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("able", "JJ"), ("es", "NNS"))
+#: Words that depend on the next other word, and how.
+MODIFIERS = (("DT", "det"), ("JJ", "amod"), ("RB", "advmod"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sid, tokens, pos_tags, dependencies) of all documents: lower-case runs of letters in stretches between stops."""
-    docs = table(spark, sf_dir, "documents")
-    pieces = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"[.!?\n]+")).alias("part", "s"))
-    rows = pieces.select(F.concat_ws(":", "doc_id", "part").alias("sid"), F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0)).alias("tokens")).where(F.size("tokens") > 1)
-
-    def tag(t):
-        out = F.lit("NN")
-        for suffix, name in reversed(TAG_RULES):
-            out = F.when(t.like(suffix), name).otherwise(out)
-        for word, name in reversed(TAG_WORDS):
-            out = F.when(t == word, name).otherwise(out)
-        return out
-
-    edge = lambda g, r, d: F.struct(g.cast("int").alias("gov"), r.alias("rel"), d.cast("int").alias("dep"))
-
-    def parse(tokens):
-        def linked(tags):
-            near = F.sequence(F.lit(1), F.size(tags) - 1)
-            chain = F.transform(near, lambda i: F.when(F.get(tags, i - 1) == "DT", edge(i, F.lit("det"), i - 1)).otherwise(edge(i - 1, F.lit("next"), i)))
-            return F.struct(tokens.alias("tokens"), tags.alias("pos_tags"), chain.alias("dependencies"))
-
-        return let(F.transform(tokens, tag), linked)
-
-    return rows.select("sid", let(F.col("tokens"), parse).alias("x")).select("sid", "x.*")
-
-
-CASES = " ".join(f"WHEN t = '{w}' THEN '{n}'" for w, n in TAG_WORDS) + " " + " ".join(f"WHEN t LIKE '{s}' THEN '{n}'" for s, n in TAG_RULES)
+    """(sid, tokens, pos_tags, dependencies) of all documents: lower-case runs of letters in stretches between stops, of two words and more.
+
+    Determiners, adjectives and adverbs depend on the next word of another kind; the other words depend on the last such
+    word before them ("next"); what is left behind the last of them depends on the word before it ("dep"). An Arrow map, as an
+    annotator would be: a batch's words are tagged once each, and edges are found for all its words together.
+    """
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), r"[.!?\n]+")).alias("part", "s"))
+    letters = bytes(c if 97 <= c <= 122 or c == 10 else 32 for c in range(256))
+    depends = dict(MODIFIERS)
+
+    def tag(word: str) -> str:
+        return dict(TAG_WORDS).get(word) or next((t for end, t in TAG_RULES if word.endswith(end)), "NN")
+
+    def run(batches):
+        for batch in batches:
+            lines = b"\n".join(batch.column(1).cast("binary").to_pylist()).translate(letters).split(b"\n")
+            words = [x.split() for x in lines]
+            size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            words = pa.array([w for x in words if len(x) > 1 for w in x], pa.binary()).cast(pa.string())
+            kept = np.flatnonzero(size > 1)
+            ends = np.concatenate([[0], np.cumsum(size[kept])])
+            coded, at = words.dictionary_encode(), np.arange(len(words))
+            kinds = [tag(w) for w in coded.dictionary.to_pylist()]
+            which = coded.indices.to_numpy()
+            begin, end = np.repeat(ends[:-1], size[kept]), np.repeat(ends[1:], size[kept])
+            own = np.array([k not in depends for k in kinds], dtype=bool)[which] if len(kinds) else np.zeros(0, dtype=bool)
+            after = np.minimum.accumulate(np.where(own, at, len(at))[::-1])[::-1]
+            before = np.concatenate([[-1], np.maximum.accumulate(np.where(own, at, -1))[:-1]])[: len(at)]
+            led, last = ~own & (after < end), ~own & (after >= end)
+            gov = np.where(own, before, np.where(led, after, at - 1))
+            some = np.flatnonzero(gov >= begin)
+            rel = np.where(own, len(MODIFIERS), np.where(last, len(MODIFIERS) + 1, np.array([list(depends).index(k) if k in depends else 0 for k in kinds] or [0])[which if len(kinds) else at]))
+            arcs = pa.StructArray.from_arrays([pa.array((gov - begin)[some], pa.int32()), pa.array([*depends.values(), "next", "dep"]).take(pa.array(rel[some])), pa.array((at - begin)[some], pa.int32())], names=["gov", "rel", "dep"])
+            arc_ends = np.searchsorted(some, ends)
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((ends, words), (ends, pa.array(kinds, pa.string()).take(pa.array(which))), (arc_ends, arcs))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *lists], names=["sid", "tokens", "pos_tags", "dependencies"])
+
+    rows = pieces.select(F.concat_ws(":", "doc_id", "part").alias("sid"), "s").where(F.length("s") > 2)
+    return rows.mapInArrow(run, "sid string, tokens array<string>, pos_tags array<string>, dependencies array<struct<gov:int,rel:string,dep:int>>")
+
+
+CASES = " ".join(f"WHEN t = '{w}' THEN '{n}'" for w, n in TAG_WORDS) + " " + " ".join(f"WHEN t LIKE '%{s}' THEN '{n}'" for s, n in TAG_RULES)
+_DEPEND = ", ".join(f"'{t}'" for t, _ in MODIFIERS)
+#: The same by joins and windows over words.
 SENTENCES_SQL = rf"""
     pieces AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(lower(text), '[.!?\n]+'), 1) - 1 AS part FROM documents),
     sentences AS (SELECT doc_id || ':' || part AS sid, regexp_extract_all(s, '[a-z]+') AS tokens FROM pieces WHERE len(regexp_extract_all(s, '[a-z]+')) > 1),
     nodes AS (SELECT sid, t, CASE {CASES} ELSE 'NN' END AS label, i - 1 AS v FROM (SELECT sid, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM sentences)),
-    edges AS (SELECT b.sid, CASE WHEN a.label = 'DT' THEN b.v ELSE a.v END AS u, CASE WHEN a.label = 'DT' THEN 'det' ELSE 'next' END AS label, CASE WHEN a.label = 'DT' THEN a.v ELSE b.v END AS v
-        FROM nodes a JOIN nodes b ON a.sid = b.sid AND b.v = a.v + 1)"""
+    placed AS (
+        SELECT sid, label, v, min(v) FILTER (label NOT IN ({_DEPEND})) OVER (PARTITION BY sid ORDER BY v ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
+            max(v) FILTER (label NOT IN ({_DEPEND})) OVER (PARTITION BY sid ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM nodes),
+    edges AS (
+        SELECT sid, after AS u, CASE label {" ".join(f"WHEN '{t}' THEN '{r}'" for t, r in MODIFIERS)} END AS label, v FROM placed WHERE label IN ({_DEPEND}) AND after IS NOT NULL
+        UNION ALL SELECT sid, v - 1, 'dep', v FROM placed WHERE label IN ({_DEPEND}) AND after IS NULL AND v > 0
+        UNION ALL SELECT sid, before, 'next', v FROM placed WHERE label NOT IN ({_DEPEND}) AND before IS NOT NULL)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from purposegraph.functions import text as tx
 from purposegraph.functions import vectors as vx
 from purposegraph.functions import vocab
-from purposegraph.operators import concepts, extraction, features, generation, matching, mining, networks, parsing, recommend, scoring, taxonomy
+from purposegraph.operators import concepts, extraction, features, generation, matching, mining, networks, parsing, recommend, scoring, subgraphs, taxonomy
 from purposegraph.operators.matching import Pattern
 from purposegraph.plans.tables import SENTENCES_SQL, sentences
 from purposegraph.sources import files
+from purposegraph.sources.shared import Scratch
 
 SENTENCE = {
     "sid": "1", "text": "My army will find your boat.", "tokens": ["My", "army", "will", "find", "your", "boat", "."], "lemmas": ["my", "army", "will", "find", "you", "boat", "."],
@@ -94,8 +95,6 @@ def test_predicates(spark):
 
 def test_mining(spark):
     assert mining.leftmost([(0, 0), (3, 2), (5, 3)], 4) == (5, 3) == mining.leftmost([(0, 0), (3, 2), (5, 3)], 9)
-    a = mining.canonical(("NN", "VB", "NN"), ((1, "x", 0), (1, "y", 2)))
-    assert a == mining.canonical(("NN", "NN", "VB"), ((2, "y", 0), (2, "x", 1)))
     p, q = Pattern(("NN", "VB"), ((1, "x", 0),), 3), Pattern(("VB", "NN"), ((0, "x", 1),), 4)
     assert [k.freq for k in matching.without_isomorphs([p, q])] == [7]
     assert mining.skeleton(Pattern(("DT", "NN", "VB"), ((1, "det", 0), (2, "nsubj", 1)))) == p.__class__(("NN", "VB"), ((1, "nsubj", 0),))
@@ -203,34 +202,85 @@ def test_cached_table_and_stream(spark, tmp_path):
     assert spark.table("parsed").count() == 1
 
 
-def test_frequent_subgraphs_of_whole_graphs(spark, sf):
-    draw = random.Random(7)
-    rows = [(tuple(draw.choices("XY", k=n)), tuple({(i, draw.choice("ab"), i + 1) if draw.random() < 0.7 else (i + 1, "c", i) for i in range(n - 1)}), draw.randint(1, 3)) for n in draw.choices(range(2, 30), k=25)]
-    rows += [(("X", "Y", "X", "Y"), ((0, "a", 1), (1, "b", 2), (2, "a", 0), (0, "a", 3), (3, "b", 0)), 2), (("X", "Y", "X", "X"), ((0, "a", 1), (0, "a", 2), (0, "b", 3), (3, "a", 3)), 1), (("X",) * 20, tuple((k, "a", k + 1) for k in range(14, 18)), 4)]
-    graphs = spark.createDataFrame([(list(x), [tuple(e) for e in sorted(es)], w) for x, es, w in rows], "labels array<string>, edges array<struct<u:int,label:string,v:int>>, weight long")
-    bounds = [(3, 4, 30), (4, 2, 25), (5, 3, 99)]
-    want = {}
+def permuted(labels, edges):
+    """The smallest renumbering, by trying all."""
+    forms = []
+    for order in permutations(range(len(labels))):
+        at = {x: i for i, x in enumerate(order)}
+        forms.append((tuple(labels[x] for x in order), tuple(sorted((at[u], e, at[v]) for u, e, v in edges))))
+    return min(forms)
+
+
+def parts(labels, edges, k):
+    """Forms of the connected sub-graphs of k vertices with as many edges or one fewer, by trying all choices of edges."""
+    real, forms = sorted({e for e in edges if e[0] != e[2]}), set()
+    for m in (k - 1, k):
+        for g in itertools.combinations(real, m):
+            span = sorted({x for u, _, v in g for x in (u, v)})
+            reach = set(span[:1])
+            for _ in span:
+                reach |= {x for u, _, v in g if u in reach or v in reach for x in (u, v)}
+            if len(span) == k and len(reach) == k:
+                at = {x: i for i, x in enumerate(span)}
+                forms.add(permuted(tuple(labels[x] for x in span), tuple(sorted((at[u], e, at[v]) for u, e, v in g))))
+    return forms
+
+
+GRAPHS = "labels array<string>, edges array<struct<u:int,label:string,v:int>>, weight long"
+
+
+def test_frequent_subgraphs_equal_all_choices_of_edges(spark):
+    """Trees, chains, equal leaves, circles, parallel edges and loops, several components, equal graphs."""
+    draw, rows = random.Random(7), []
+    for _ in range(40):
+        n = draw.randint(2, 9)
+        tree = [(draw.randrange(i), i) for i in range(1, n)]
+        more = [(draw.randrange(n), draw.randrange(n)) for _ in range(draw.choice([0, 0, 1, 2]))]
+        edges = {(a, draw.choice("ab"), b) if draw.random() < 0.6 else (b, draw.choice("ab"), a) for a, b in tree + more if draw.random() < 0.95}
+        rows.append((draw.choices("XY", k=n), sorted(edges), draw.randint(1, 3)))
+    rows += [(["X"] * 8, [(0, "a", i) for i in range(1, 8)], 2), (["X"] * 6, [(i, "a", (i + 1) % 6) for i in range(6)], 1), (["X", "Y"], [(0, "a", 1), (0, "b", 1), (1, "a", 0), (1, "a", 1)], 3), (["X"], [], 5)]
+    rows += rows[:5]
+    bounds, want = [(2, 1, 999), (3, 4, 60), (4, 2, 50), (5, 3, 99)], {}
     for labels, edges, weight in rows:
-        real = [e for e in edges if e[0] != e[2]]
         for k, _, _ in bounds:
-            forms = set()
-            for m in (k - 1, k):
-                # every choice of edges where graphs are small; runs of neighbours where they are chains
-                choices = itertools.combinations(real, m) if len(real) < 6 else [[e for e in real if i <= min(e[0], e[2]) < i + m] for i in range(len(labels))]
-                for g in choices:
-                    span = sorted({x for u, _, v in g for x in (u, v)})
-                    reach = set(span[:1])
-                    for _ in span:
-                        reach |= {x for u, _, v in g if u in reach or v in reach for x in (u, v)}
-                    if len(span) == k and len(g) == m and len(reach) == k:
-                        at = {x: i for i, x in enumerate(span)}
-                        forms.add(mining.canonical(tuple(labels[x] for x in span), tuple(sorted((at[u], e, at[v]) for u, e, v in g))))
-            for f in forms:
+            for f in parts(labels, edges, k):
                 want[f] = want.get(f, 0) + weight
     limits = {k: (least, most) for k, least, most in bounds}
     want = {f: n for f, n in want.items() if limits[len(f[0])][0] <= n <= limits[len(f[0])][1]}
-    got = {(tuple(r["labels"]), tuple((e["u"], e["label"], e["v"]) for e in r["edges"])): r["freq"] for r in mining.frequent_sizes(graphs, bounds).collect()}
-    assert got == want and any(len(f[0]) == 5 for f in want)
+    found = subgraphs.frequent(spark.createDataFrame(rows, GRAPHS).repartition(3), bounds).collect()
+    got = {permuted(tuple(r["labels"]), tuple((e["u"], e["label"], e["v"]) for e in r["edges"])): r["freq"] for r in found}
+    assert len(got) == len(found) and got == want and {len(f[0]) for f in want} == {2, 3, 4, 5}
+
+
+def test_a_star_of_equal_leaves_has_one_embedding_for_each_size(spark, monkeypatch):
+    star = spark.createDataFrame([(["V"] + ["N"] * 12, [(0, "x", i) for i in range(1, 13)], 1)], GRAPHS)
+    sizes, table = [], Scratch.table
+
+    def noted(self, df):
+        out = table(self, df)
+        if "code" in out.columns:
+            sizes.append(out.agg(F.sum(F.size("code"))).first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    assert subgraphs.frequent(star, [(k, 1, 9) for k in range(2, 14)]).count() == 12
+    assert set(sizes[:-1]) == {1}
+    assert subgraphs.frequent(star.limit(0), [(3, 1, 9)]).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_smallest_codes_are_equal_for_renumbered_graphs_only(data):
+    n = data.draw(st.integers(2, 6))
+    labels = data.draw(st.lists(st.integers(0, 1), min_size=n, max_size=n))
+    edges = [(data.draw(st.integers(0, i - 1)), data.draw(st.integers(0, 1)), i) for i in range(1, n)]
+    edges = [e if data.draw(st.booleans()) else (e[2], e[1], e[0]) for e in edges]
+    order = data.draw(st.permutations(range(n)))
+    other = [(order[u], e, order[v]) for u, e, v in edges]
+    moved = tuple(labels[order.index(i)] for i in range(n))
+    code = subgraphs.smallest(tuple(labels), edges)
+    assert code == subgraphs.smallest(moved, other) and subgraphs.minimal(code)
+    assert permuted(code.labels, code.arcs()) == permuted(tuple(labels), edges)
 
 
 def test_frequent_edges_equal_sql(spark, sf):
