@@ -224,19 +224,27 @@ _EVENTS = f"raw AS (SELECT sid, 'DT NN VBG' AS pattern, [p0, p1, p2] AS m FROM p
 
 
 def _walks(edges: int, least: int) -> str:
-    """SQL: the frequent connected sub-graphs of so many edges, without circles: all depth-first walks over all sentences, the first of each set of vertices by its steps."""
-    out = ["both_ AS (SELECT sid, u AS a, 1 AS way, label AS e, v AS b, lu AS la, lv AS lb FROM arcs UNION ALL SELECT sid, v, 0, label, u, lv, lu FROM arcs)"]
+    """SQL: the frequent connected sub-graphs of so many edges, without circles: all depth-first walks over all sentences, the first of each set of vertices by its steps.
+
+    Of equal leaves of a vertex as many are walked as a sub-graph has edges. A step is written in fixed widths: the label of the first vertex, then for each edge 9 less the vertex it leaves from, its way, its label and the new vertex's label.
+    """
     pad = lambda c: f"rpad({c}, 8, ' ')"
-    out.append(f"walk1 AS (SELECT sid, [a, b] AS vs, [0, 1] AS line, {pad('la')} || way || {pad('e')} || {pad('lb')} AS steps, la || ' ' || lb AS labels, [CASE way WHEN 1 THEN {{'u': 0, 'v': 1, 'e': e}} ELSE {{'u': 1, 'v': 0, 'e': e}} END] AS es FROM both_)")
+    field = lambda at, n=8: f"rtrim(substr(steps, {at}, {n}))"
+    out = ["leaves AS (SELECT sid, x FROM (SELECT sid, u AS x FROM arcs UNION ALL SELECT sid, v FROM arcs) GROUP BY sid, x HAVING count(*) = 1)"]
+    out.append(f"ranked AS (SELECT a.*, CASE WHEN x IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY a.sid, u, label, lv, x IS NULL ORDER BY v) END AS r FROM arcs a LEFT JOIN leaves l ON l.sid = a.sid AND x = v), few AS (SELECT * FROM ranked WHERE r <= {edges})")
+    out.append(f"both_ AS (SELECT sid, u AS a, v AS b, {pad('lu')} AS la, '1' || {pad('label')} || {pad('lv')} AS s FROM few UNION ALL SELECT sid, v, u, {pad('lv')}, '0' || {pad('label')} || {pad('lu')} FROM few)")
+    out.append("walk1 AS (SELECT sid, [a, b] AS vs, [0, 1] AS line, la || '9' || s AS steps FROM both_)")
     for k in range(2, edges + 1):
         out.append(
             f"""walk{k} AS (
-            SELECT w.sid, list_append(vs, b) AS vs, list_append(line[1:i], {k}) AS line, steps || (9 - line[i]) || way || {pad('e')} || {pad('lb')} AS steps, labels || ' ' || lb AS labels,
-                list_append(es, CASE way WHEN 1 THEN {{'u': line[i], 'v': {k}, 'e': e}} ELSE {{'u': {k}, 'v': line[i], 'e': e}} END) AS es
+            SELECT w.sid, list_append(vs, b) AS vs, list_append(line[1:i], {k}) AS line, steps || (9 - line[i]) || s AS steps
             FROM (SELECT *, unnest(range(1, len(line) + 1)) AS i FROM walk{k - 1}) w JOIN both_ ON both_.sid = w.sid AND a = vs[line[i] + 1] AND NOT list_contains(vs, b))"""
         )
-    out.append(f"first_ AS (SELECT sid, min({{'steps': steps, 'labels': labels, 'es': es}}) AS f FROM walk{edges} GROUP BY sid, list_sort(vs))")
-    out.append(f"counted AS (SELECT f.labels AS labels, list_transform(list_sort(list_transform(f.es, lambda x: {{'u': x.u, 'v': x.v, 'e': x.e}})), lambda x: x.u || ' ' || x.e || ' ' || x.v) AS es, count(DISTINCT sid) AS freq FROM first_ GROUP BY f HAVING count(DISTINCT sid) >= {least})")
+    out.append(f"first_ AS (SELECT sid, min(steps) AS steps FROM walk{edges} GROUP BY sid, list_sort(vs))")
+    out.append(f"totals AS (SELECT steps, count(DISTINCT sid) AS freq FROM first_ GROUP BY steps HAVING count(DISTINCT sid) >= {least})")
+    arc = lambda k: f"CASE {field(10 + 18 * (k - 1), 1)} WHEN '1' THEN {{'u': 9 - {field(9 + 18 * (k - 1), 1)}::INT, 'v': {k}, 'e': {field(11 + 18 * (k - 1))}}} ELSE {{'u': {k}, 'v': 9 - {field(9 + 18 * (k - 1), 1)}::INT, 'e': {field(11 + 18 * (k - 1))}}} END"
+    labels = " || ' ' || ".join([field(1), *(field(19 + 18 * (k - 1)) for k in range(1, edges + 1))])
+    out.append(f"counted AS (SELECT {labels} AS labels, list_transform(list_sort([{', '.join(arc(k) for k in range(1, edges + 1))}]), lambda x: x.u || ' ' || x.e || ' ' || x.v) AS es, freq FROM totals)")
     return ", ".join(out)
 
 
