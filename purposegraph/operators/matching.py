@@ -297,31 +297,10 @@ def edge_lists(column: pa.ListArray) -> list[list[Edge]]:
 
 
 def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None) -> DataFrame:
-    """(sid, pattern_id, mapping) of all matches; pattern_id is the pattern's place in the list.
+    """(sid, pattern_id, mapping) of all matches; pattern_id is the pattern's place in the list. See pattern_index.find."""
+    from . import pattern_index
 
-    Sentences that no pattern can fit never leave the JVM; the rest is matched batch by batch.
-    """
-    if not patterns:
-        return sentences.sparkSession.createDataFrame([], "sid string, pattern_id int, mapping array<int>")
-    possible = large_enough(patterns[0])
-    for p in patterns[1:]:
-        possible = possible | large_enough(p)
-
-    def run(batches):
-        for batch in batches:
-            sid, ids, maps = [], [], []
-            for s, tags, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edge_lists(batch.column(2)), strict=True):
-                graph = Graph(tags, edges)
-                for k, p in enumerate(patterns):
-                    if len(tags) >= len(p.labels) and graph.edges >= len(p.edges):
-                        for m in matches(tags, edges, p, limit, graph=graph):
-                            sid.append(s)
-                            ids.append(k)
-                            maps.append(list(m))
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.string()), pa.array(ids, pa.int32()), pa.array(maps, pa.list_(pa.int32()))], names=["sid", "pattern_id", "mapping"])
-
-    ready = sentences.where(F.col("pos_tags").isNotNull() & F.col("dependencies").isNotNull()).where(possible)
-    return ready.select(F.col("sid").cast("string"), "pos_tags", "dependencies").mapInArrow(run, "sid string, pattern_id int, mapping array<int>")
+    return pattern_index.find(sentences, patterns, limit)
 
 
 def shown(pattern: Pattern) -> str:
