@@ -1,260 +1,236 @@
-"""Eventualities: canonical, hash-identified events from pattern matches in parsed sentences."""
+"""Eventualities: canonical, hash-identified events from pattern matches in parsed sentences.
 
-from __future__ import annotations
+Sentences come with their matches as an array (pattern_index.matched); a match is a row, and what becomes of it are columns.
+"""
 
-import hashlib
-import json
-from dataclasses import dataclass, field
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.vocab import CLAUSE_SEPARATOR_PREFIX, CLAUSE_SEPARATOR_TAGS, OPTIONAL_POS_TAGS
-from .matching import Graph, Pattern, hierarchy, matches, ordered, placed
+from ..functions.text import let
+from ..functions.vocab import OPTIONAL_POS_TAGS
+from .matching import Pattern, ordered, separators, within_clause
+from .pattern_index import containment, matched
 
-Dep = tuple[int, str, int]
 DEPS = "array<struct<gov:int,rel:string,dep:int>>"
+MENTIONS = "array<struct<start:int,end:int,text:string,ner:string>>"
 SCHEMA = (
     f"eid string, pattern string, words array<string>, pos_tags array<string>, ners array<string>, dependencies {DEPS}, "
     "skeleton_indices array<int>, skeleton_dependency_indices array<int>, verb_indices array<int>, raw_places array<int>, "
-    "segments array<array<int>>, mentions array<struct<start:int,end:int,text:string,ner:string>>, frequency double"
+    f"segments array<array<int>>, mentions {MENTIONS}, frequency double"
 )
 
 
-def sorted_dependencies(deps: list[Dep], reset: bool = True) -> tuple[list[Dep], dict[int, int], dict[int, int]]:
-    """(dependencies without repeats by governor, dependent and label; place to rank; rank to place). With reset, ranks take the places' stead."""
-    places = sorted({x for g, _, d in deps for x in (g, d)})
-    rank = {x: i for i, x in enumerate(places)}
-    out = sorted({(rank[g], r, rank[d]) if reset else (g, r, d) for g, r, d in deps}, key=lambda e: (e[0], e[2], e[1]))
-    return out, rank, dict(enumerate(places))
+def ints() -> Column:
+    return F.array().cast("array<int>")
+
+
+def places_of(deps: Column) -> Column:
+    """The vertices of edges, in order, each once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(deps, lambda d: F.array(d["gov"], d["dep"])))))
+
+
+def rank_in(places: Column, x: Column) -> Column:
+    return (F.array_position(places, x) - 1).cast("int")
+
+
+def optional_edges(deps: Column, tags: Column, inside: Column) -> Column:
+    """Edges to optional words that aren't in the match."""
+    return F.filter(deps, lambda d: F.get(tags, d["dep"]).isin(*OPTIONAL_POS_TAGS) & ~F.array_contains(inside, d["dep"]))
+
+
+def optional_closure(edges: Column, inside: Column, transitive: bool) -> Column:
+    """Optional words that depend on the match; with transitive also those that depend on them, and so on until none is added.
+
+    edges are those to optional words, so that the rounds are at most as many; a round after the last addition does nothing.
+    """
+    reached = lambda e, known: F.array_distinct(F.transform(F.filter(e, lambda d: F.array_contains(known, d["gov"])), lambda d: d["dep"]))
+    if not transitive:
+        return let(edges, lambda e: reached(e, inside))
+
+    def rounds(e: Column) -> Column:
+        start = F.struct(ints().alias("found"), F.lit(True).alias("more"))
+        step = lambda a, _: F.when(a["more"], let(reached(e, F.concat(inside, a["found"])), lambda now: F.struct(now.alias("found"), (F.size(now) > F.size(a["found"])).alias("more")))).otherwise(a)
+        return F.aggregate(e, start, step)["found"]
+
+    return let(edges, rounds)
+
+
+def escaped(word: Column) -> Column:
+    """A string as JSON with ASCII escapes, quotes included."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}
+        out = F.when(n.between(32, 126) & ~n.isin(34, 92), c)
+        for k, x in short.items():
+            out = out.when(n == k, F.lit(f"\\{x}"))
+        return out.when(n < 65536, code(n)).otherwise(F.concat(code(F.lit(0xD800) + F.shiftright(n - 65536, 10)), code(F.lit(0xDC00) + (n - 65536) % 1024)))
+
+    plain = word.rlike(r"^[ !#-\[\]-~]*$")
+    return F.concat(F.lit('"'), F.when(plain, word).otherwise(F.array_join(F.transform(F.split(word, ""), one), "")), F.lit('"'))
+
+
+def listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
 
+def eid(words: Column, tags: Column, deps: Column) -> Column:
+    """sha1 of the rendered dependencies, words and tags, as JSON with the usual separators and ASCII escapes."""
 
-def indices(deps: list[Dep]) -> list[int]:
-    return sorted({x for g, _, d in deps for x in (g, d)})
+    def shown(w: Column, t: Column) -> Column:
+        end = lambda i: listed(F.array(i.cast("string"), F.get(w, i), F.get(t, i)))
+        arcs = F.transform(deps, lambda d: listed(F.array(end(d["gov"]), escaped(d["rel"]), end(d["dep"]))))
+        return F.sha1(listed(F.array(listed(arcs), listed(w), listed(t))))
 
+    return let(F.struct(F.transform(words, escaped).alias("w"), F.transform(tags, escaped).alias("t")), lambda x: shown(x["w"], x["t"]))
 
-def segments(n: int, deps: list[Dep]) -> list[tuple[int, ...]]:
+
+def segments(n: Column, deps: Column) -> Column:
     """Words in groups: compounds, head first, and other words alone, in the order of heads.
 
     The compound edges make a graph; each of its components falls into runs of neighbouring words, and each run is a
     group. Its head is the first of its words that governs another one of it and depends on none, else its first word; the
-    others follow in order and have no group of their own. What is grouped depends on the edges alone, not on their order.
+    others follow in order. Components by the smallest number that neighbours hand on, as often as there are edges at most.
     """
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    pairs = {(g, d) for g, rel, d in deps if rel.startswith("compound")}
-    for g, d in pairs:
-        up[max(top(g), top(d))] = min(top(g), top(d))
-    grouped = {x for pair in pairs for x in pair}
-    groups: dict[int, tuple[int, ...]] = {i: (i,) for i in range(n) if i not in grouped}
-    run: list[int] = []
-    for i in sorted(grouped, key=lambda x: (top(x), x)) + [n + 1]:
-        if run and (i != run[-1] + 1 or top(i) != top(run[-1])):
-            inner = {(g, d) for g, d in pairs if g in run and d in run}
-            free = [x for x in run if any(g == x for g, _ in inner) and all(d != x for _, d in inner)]
-            head = free[0] if free else run[0]
-            groups[head] = (head, *[x for x in run if x != head])
-            run = []
-        run.append(i)
-    return [groups[i] for i in sorted(groups)]
-
-
-@dataclass
-class Eventuality:
-    words: list[str]
-    pos_tags: list[str]
-    ners: list[str]
-    dependencies: list[Dep]
-    skeleton_indices: list[int]
-    skeleton_dependency_indices: list[int]
-    raw_places: list[int]
-    pattern: str = ""
-    mentions: list[dict] = field(default_factory=list)
-    frequency: float = 1.0
-
-    @property
-    def eid(self) -> str:
-        """sha1 of the rendered dependencies, words and tags, as JSON with the usual separators and ASCII escapes."""
-        shown = [[[i, self.words[i], self.pos_tags[i]] if k != 1 else i for k, i in enumerate(d)] for d in self.dependencies]
-        return hashlib.sha1(json.dumps([shown, self.words, self.pos_tags]).encode()).hexdigest()
-
-    @property
-    def verb_indices(self) -> list[int]:
-        return [i for i, t in enumerate(self.pos_tags) if t.startswith("VB")]
-
-    @property
-    def phrases(self) -> list[str]:
-        return [" ".join(self.words[i] for i in sorted(s)) for s in segments(len(self.words), self.dependencies)]
-
-    @property
-    def phrase_ners(self) -> list[str]:
-        """Of each phrase the most frequent entity type other than O, the first on ties; O without one."""
-        out = []
-        for s in segments(len(self.words), self.dependencies):
-            kinds = [self.ners[i] for i in sorted(s) if self.ners[i] != "O"]
-            out.append(max(kinds, key=lambda k: (kinds.count(k), -kinds.index(k))) if kinds else "O")
-        return out
-
-    @property
-    def position(self) -> float:
-        return sum(set(self.raw_places)) / len(set(self.raw_places)) if self.raw_places else 0.0
-
-    def entity_spans(self) -> list[tuple[int, int, str]]:
-        """Maximal runs (start, end, type) of equal types other than O; verbs count as O."""
-        kinds = ["O" if t.startswith("VB") else n for t, n in zip(self.pos_tags, self.ners, strict=True)]
-        out: list[tuple[int, int, str]] = []
-        for i, k in enumerate(kinds):
-            if k == "O":
-                continue
-            if out and out[-1][1] == i and out[-1][2] == k:
-                out[-1] = (out[-1][0], i + 1, k)
-            else:
-                out.append((i, i + 1, k))
-        return out
-
-    def __len__(self) -> int:
-        return len(self.words)
-
-    def __str__(self) -> str:
-        return " ".join(self.words)
-
-    #: What the other fields yield, left out of the shortest form.
-    DERIVED = ("eid", "verb_indices", "segments")
-
-    def to_dict(self, minimum: bool = False) -> dict:
-        return {k: v for k, v in self.row().items() if not minimum or k not in self.DERIVED}
-
-    @classmethod
-    def from_dict(cls, d: dict) -> Eventuality:
-        """The event of a full or shortest form; derived fields are derived again."""
-        own = {k: v for k, v in d.items() if k not in cls.DERIVED}
-        return cls(**own | {"dependencies": [(x["gov"], x["rel"], x["dep"]) for x in d["dependencies"]]})
-
-    def encoded(self, minimum: bool = True) -> bytes:
-        return json.dumps(self.to_dict(minimum)).encode()
-
-    @classmethod
-    def decoded(cls, data: bytes) -> Eventuality:
-        return cls.from_dict(json.loads(data))
-
-    def row(self) -> dict:
-        return {
-            "eid": self.eid, "pattern": self.pattern, "words": self.words, "pos_tags": self.pos_tags, "ners": self.ners,
-            "dependencies": [{"gov": g, "rel": r, "dep": d} for g, r, d in self.dependencies], "skeleton_indices": self.skeleton_indices,
-            "skeleton_dependency_indices": self.skeleton_dependency_indices, "verb_indices": self.verb_indices, "raw_places": self.raw_places,
-            "segments": [list(s) for s in segments(len(self.words), self.dependencies)], "mentions": self.mentions, "frequency": self.frequency,
-        }
-
-
-def construct(sentence: dict, deps: list[Dep], skeleton: list[Dep], pattern: str = "") -> Eventuality | None:
-    """The event that the dependencies span: lower-cased lemmas, renumbered. A leading preposition goes with its edges. None if nothing is left."""
-    places = indices(deps)
-    if places and sentence["pos_tags"][places[0]] == "IN":
-        gone = places.pop(0)
-        deps = [d for d in deps if gone not in (d[0], d[2])]
-        skeleton = [d for d in skeleton if gone not in (d[0], d[2])]
-    if not places or not deps:
-        return None
-    places = [p for p in places if p in set(indices(deps))]
-    out, rank, _ = sorted_dependencies(deps)
-    bones = {(rank[g], r, rank[d]) for g, r, d in skeleton}
-    ners = sentence.get("ners") or ["O"] * len(sentence["pos_tags"])
-    words = [sentence["lemmas"][i].lower() for i in places]
-    mentions = []
-    for m in sentence.get("mentions") or []:
-        if m["start"] in rank and m["end"] - 1 in rank:
-            a, b = rank[m["start"]], rank[m["end"] - 1] + 1
-            mentions.append({"start": a, "end": b, "text": " ".join(words[a:b]), "ner": m.get("ner")})
-    return Eventuality(
-        words, [sentence["pos_tags"][i] for i in places], [ners[i] for i in places], out, [rank[i] for i in indices(skeleton)],
-        [i for i, d in enumerate(out) if d in bones], places, pattern, mentions,
-    )
+    every = F.sequence(F.lit(0), n - 1)
+    alone = F.transform(every, lambda i: F.array(i))
+
+    def grouped(edges: Column) -> Column:
+        touched = places_of(edges)
+
+        def spread(a: Column, _: Column) -> Column:
+            near = lambda t, i: F.least(t, F.coalesce(F.array_min(F.transform(F.filter(edges, lambda d: (d["gov"] == i) | (d["dep"] == i)), lambda d: F.least(F.get(a["t"], d["gov"]), F.get(a["t"], d["dep"])))), t))
+            return F.when(a["more"], let(F.transform(a["t"], near), lambda now: F.struct(now.alias("t"), (now != a["t"]).alias("more")))).otherwise(a)
+
+        def runs(t: Column) -> Column:
+            starts = F.filter(every, lambda i: ~F.array_contains(touched, i) | ~F.array_contains(touched, i - 1) | (F.get(t, i) != F.get(t, i - 1)))
+
+            def group(i: Column, k: Column) -> Column:
+                following = F.coalesce(F.get(starts, k + 1), n)
+                members = F.sequence(i, following - 1)
 
+                def headed(m: Column) -> Column:
+                    inner = F.filter(edges, lambda d: F.array_contains(m, d["gov"]) & F.array_contains(m, d["dep"]))
+                    free = let(inner, lambda e: F.filter(m, lambda x: F.exists(e, lambda d: d["gov"] == x) & ~F.exists(e, lambda d: d["dep"] == x)))
+                    return let(F.coalesce(F.get(free, 0), i), lambda head: F.concat(F.array(head), F.filter(m, lambda x: x != head)))
 
-def optional_closure(match: set[int], deps: list[Dep], tags: list[str], transitive: bool = True) -> set[int]:
-    """Optional words that depend on the match; with transitive also those that depend on them, and so on."""
-    out: set[int] = set()
-    while True:
-        more = {d for g, _, d in deps if (g in match or g in out) and d not in match and tags[d] in OPTIONAL_POS_TAGS} - out
-        out |= more
-        if not more or not transitive:
-            return out
+                return F.when(following - i == 1, F.array(i)).otherwise(let(members, headed))
 
+            return F.array_sort(F.transform(starts, group))
 
-def from_match(sentence: dict, mapping: tuple[int, ...], pattern: Pattern, transitive: bool = True) -> Eventuality | None:
-    deps = [tuple(d) for d in sentence["dependencies"]]
-    inside = set(mapping)
-    extra = optional_closure(inside, deps, sentence["pos_tags"], transitive)
-    bones = [d for d in deps if d[0] in inside and d[2] in inside]
-    chosen = bones + [d for d in deps if d not in bones and (d[0] in inside or (transitive and d[0] in extra)) and d[2] in extra]
-    return construct(sentence, chosen, bones, " ".join(placed(pattern, mapping).labels))
+        return let(F.aggregate(edges, F.struct(every.alias("t"), F.lit(True).alias("more")), spread)["t"], runs)
 
+    return let(F.filter(deps, lambda d: d["rel"].startswith("compound")), lambda e: F.when(F.size(e) == 0, alone).otherwise(grouped(e)))
 
-def distinct(events: list[Eventuality]) -> list[Eventuality]:
-    """The events, in their order, whose skeletons lie in no other's and whose eid no other kept one has.
 
-    One pass from the largest skeleton down, the earlier event first among equally large ones; of equal skeletons and
-    equal eids the first in that order stays, whatever else was dropped before.
+def constructed(matches: DataFrame, transitive: bool) -> DataFrame:
+    """matches (sid, a sentence's columns, place, m: pattern_id, mapping, labels) with the columns of SCHEMA; matches of which no edge is left have no row.
+
+    The event of a match has the match's words, lower-cased lemmas, and the optional ones that depend on them, with the edges
+    between and to them, renumbered. A leading preposition goes with its edges.
     """
-    places = [frozenset(e.raw_places[k] for k in e.skeleton_indices) for e in events]
-    kept: dict[int, frozenset[int]] = {}
-    for i in sorted(range(len(events)), key=lambda i: (-len(places[i]), i)):
-        if not any(places[i] <= p for p in kept.values()) and events[i].eid not in {events[k].eid for k in kept}:
-            kept[i] = places[i]
-    return [events[i] for i in sorted(kept)]
-
-
-def extract_sentence(sentence: dict, patterns: list[Pattern], children: dict[int, set[int]], transitive: bool = False) -> list[Eventuality]:
-    """Events of one sentence: patterns in order; one that matches rules out its children; in order of mean place."""
-    events: list[Eventuality] = []
-    barred: set[int] = set()
-    deps = [tuple(d) for d in sentence["dependencies"]]
-    graph = Graph(sentence["pos_tags"], deps)
-    for k, p in enumerate(patterns):
-        if k in barred:
-            continue
-        found = matches(sentence["pos_tags"], deps, p, graph=graph)
-        events += [e for m in found if (e := from_match(sentence, m, p, transitive)) is not None]
-        if found:
-            barred |= {k} | children.get(k, set())
-    return sorted(distinct(events), key=lambda e: e.position)
+    inside = F.col("inside")
+    both = lambda d: F.array_contains(inside, d["gov"]) & F.array_contains(inside, d["dep"])
+    at = matches.withColumn("inside", F.array_sort("m.mapping")).withColumn("to_optional", optional_edges(F.col("dependencies"), F.col("pos_tags"), inside))
+    at = at.withColumn("extra", optional_closure(F.col("to_optional"), inside, transitive)).withColumn("bones", F.filter("dependencies", both))
+    reach = F.concat(inside, F.col("extra")) if transitive else inside
+    at = at.withColumn("chosen", F.concat("bones", F.filter("to_optional", lambda d: F.array_contains(reach, d["gov"]) & F.array_contains(F.col("extra"), d["dep"]))))
+    first = F.get(places_of(F.col("chosen")), 0)
+    at = at.withColumn("gone", F.when(F.get("pos_tags", first) == "IN", first).otherwise(-1))
+    kept = lambda deps: F.filter(deps, lambda d: (d["gov"] != F.col("gone")) & (d["dep"] != F.col("gone")))
+    at = at.withColumn("chosen", kept("chosen")).withColumn("bones", kept("bones")).where(F.size("chosen") > 0).withColumn("raw_places", places_of(F.col("chosen")))
+    ranks = lambda deps: F.array_sort(F.array_distinct(F.transform(deps, lambda d: F.struct(rank_in(F.col("raw_places"), d["gov"]).alias("gov"), rank_in(F.col("raw_places"), d["dep"]).alias("dep"), d["rel"].alias("rel")))))
+    at = at.withColumn("arcs", ranks("chosen")).withColumn("bone_arcs", ranks("bones"))
+    pick = lambda c: F.transform("raw_places", lambda i: F.get(c, i))
+    events = at.select(
+        "sid", "place", "raw_places", "arcs", "bone_arcs", "mentions", F.transform(pick("lemmas"), F.lower).alias("words"), pick("pos_tags").alias("pos_tags"), pick("ners").alias("ners"),
+        F.array_join(F.transform(F.array_sort(F.arrays_zip("m.mapping", "m.labels")), lambda x: x["labels"]), " ").alias("pattern"),
+        F.transform(places_of(F.col("bones")), lambda x: rank_in(F.col("raw_places"), x)).alias("skeleton_indices"),
+        F.transform("arcs", lambda d: F.struct(d["gov"].alias("gov"), d["rel"].alias("rel"), d["dep"].alias("dep"))).alias("dependencies"),
+    )
+    numbers = lambda items, good: F.filter(F.transform(items, lambda x, i: F.when(good(x), i)), lambda i: i.isNotNull())
+    spans = F.transform("mentions", lambda m: F.struct(rank_in(F.col("raw_places"), m["start"]).alias("start"), (rank_in(F.col("raw_places"), m["end"] - 1) + 1).alias("end"), m["ner"].alias("ner")))
+    spans = F.filter(spans, lambda m: (m["start"] >= 0) & (m["end"] > 0))
+    said = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array_join(F.slice("words", m["start"] + 1, F.greatest(m["end"] - m["start"], F.lit(0))), " ").alias("text"), m["ner"].alias("ner")))
+    return events.select(
+        "sid", "place", eid(F.col("words"), F.col("pos_tags"), F.col("dependencies")).alias("eid"), "pattern", "words", "pos_tags", "ners", "dependencies", "skeleton_indices",
+        numbers("arcs", lambda d: F.array_contains(F.col("bone_arcs"), d)).alias("skeleton_dependency_indices"), numbers("pos_tags", lambda t: t.startswith("VB")).alias("verb_indices"),
+        "raw_places", segments(F.size("words"), F.col("dependencies")).alias("segments"), F.coalesce(said.cast(MENTIONS), F.array().cast(MENTIONS)).alias("mentions"), F.lit(1.0).alias("frequency"),
+    )
+
+
+def without_contained(events: DataFrame) -> DataFrame:
+    """The events of each sentence whose skeletons lie in no other's and whose eid no other one has.
+
+    From the largest skeleton down, the earlier event first among equally large ones, an event stays unless its places
+    are all in one that stays, or its eid is; a fold over the sentence's events, of which the groups are.
+    """
+    shown = [c for c in events.columns if c not in ("sid", "place")]
+    bones = F.transform("skeleton_indices", lambda k: F.get("raw_places", k))
+    rows = events.select("sid", F.struct((-F.size("skeleton_indices")).alias("n"), "place", F.struct(bones.alias("bones"), *shown).alias("e")).alias("x"))
+
+    def step(kept: Column, x: Column) -> Column:
+        lies = lambda k: (F.size(F.array_except(x["e"]["bones"], k["bones"])) == 0) | (k["eid"] == x["e"]["eid"])
+        return F.when(F.exists(kept, lies), kept).otherwise(F.concat(kept, F.array(x["e"])))
+
+    kind = rows.schema["x"].dataType["e"].dataType.simpleString()
+    groups = rows.groupBy("sid").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    kept = F.when(F.size("xs") == 1, F.transform("xs", lambda x: x["e"])).otherwise(F.aggregate("xs", F.array().cast(f"array<{kind}>"), step))
+    return groups.select("sid", F.explode(kept).alias("e")).select("sid", *[F.col("e")[c].alias(c) for c in shown])
+
+
+def ready(sentences: DataFrame, skip_words: tuple[str, ...] = ()) -> DataFrame:
+    """(sid, lemmas, pos_tags, ners, mentions, dependencies) of the sentences that events come from."""
+    has = set(sentences.columns)
+    rows = sentences.where(F.size("dependencies") > 0)
+    if "tokens" in has:
+        rows = rows.where(F.col("tokens").isNotNull())
+    if skip_words:
+        rows = rows.where(~F.arrays_overlap("tokens", F.array(*map(F.lit, skip_words))))
+    ners = F.coalesce("ners", F.transform("pos_tags", lambda t: F.lit("O"))) if "ners" in has else F.transform("pos_tags", lambda t: F.lit("O"))
+    mentions = F.coalesce(F.col("mentions").cast(MENTIONS), F.array().cast(MENTIONS)) if "mentions" in has else F.array().cast(MENTIONS)
+    return rows.select(F.col("sid").cast("string").alias("sid"), "lemmas", "pos_tags", ners.alias("ners"), mentions.alias("mentions"), "dependencies")
+
+
+def descent(sentences: DataFrame, known: list[Pattern]) -> dict[int, list[int]]:
+    """The children of each pattern; at most as many pairs as the library has come to the driver."""
+    out: dict[int, list[int]] = {}
+    if len(known) > 1:
+        for r in containment(sentences.sparkSession, known).collect():
+            out.setdefault(r["parent"], []).append(r["child"])
+    return out
+
+
+def below(children: dict[int, list[int]], pattern: Column) -> Column:
+    """The children of the pattern, as a column."""
+    if not children:
+        return ints()
+    lookup = F.create_map(*[x for k, c in children.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
+    return F.coalesce(F.get(F.array(F.element_at(lookup, pattern)), 0), ints())
 
 
 def extract(sentences: DataFrame, patterns: list[Pattern], skip_words: tuple[str, ...] = (), transitive: bool = False) -> DataFrame:
     """sid and a row for each event of every sentence; sentences with a skip word, or without dependencies, have none.
 
-    One Arrow map; the patterns and their hierarchy travel with the function.
+    Patterns are taken in order, the largest first; one that matches rules out its children. Matching is one map, all
+    that follows are columns, and one shuffle by sentence drops the events that lie in others.
     """
     known = ordered(patterns)
-    children: dict[int, set[int]] = {}
-    for parent, child in hierarchy(known):
-        children.setdefault(parent, set()).add(child)
-    schema = T._parse_datatype_string("sid string, " + SCHEMA)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                r["dependencies"] = [(d["gov"], d["rel"], d["dep"]) for d in r["dependencies"]]
-                rows += [{"sid": r["sid"]} | e.row() for e in extract_sentence(r, known, children, transitive)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    ready = sentences.where((F.size("dependencies") > 0) & F.col("tokens").isNotNull())
-    if skip_words:
-        ready = ready.where(~F.arrays_overlap("tokens", F.array(*map(F.lit, skip_words))))
-    cols = [c for c in ("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies") if c in ready.columns]
-    return ready.select(*cols).mapInArrow(run, schema)
+    found = matched(ready(sentences, skip_words), known)
+    children = descent(sentences, known)
+    matches = F.col("matches")
+    if children:
+        tried = F.array_distinct(F.transform("matches", lambda m: m["pattern_id"]))
+        start = F.struct(ints().alias("open"), ints().alias("barred"))
+        step = lambda a, k: F.when(F.array_contains(a["barred"], k), a).otherwise(F.struct(F.concat(a["open"], F.array(k)).alias("open"), F.concat(a["barred"], below(children, k)).alias("barred")))
+        matches = let(F.aggregate(tried, start, step)["open"], lambda o: F.filter("matches", lambda m: F.array_contains(o, m["pattern_id"])))
+    rows = found.select("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies", F.posexplode(matches).alias("place", "m"))
+    return without_contained(constructed(rows, transitive))
 
 
 def merge(events: DataFrame) -> DataFrame:
@@ -296,48 +272,29 @@ def from_texts(texts: DataFrame, patterns: list[Pattern], annotator=None, **sett
     return extract(parsed, patterns, **settings)
 
 
-def _separators(tags: list[str]) -> list[int]:
-    return [i for i, t in enumerate(tags) if t in CLAUSE_SEPARATOR_TAGS or t.startswith(CLAUSE_SEPARATOR_PREFIX)]
-
-
 def batch_match(sentences: DataFrame, patterns: list[Pattern], transitive: bool = True) -> DataFrame:
     """(sid, counts, events): for every sentence, patterns tried from the largest on until one has a match within a clause.
 
     counts: (pattern_id, matches), the matches within clauses of that pattern, and one for each of its children, which aren't
     tried; pattern_id is the place in matching.ordered(patterns). events: of all matches tried, also those across a
-    separator, once for each eid. One Arrow map.
+    separator, once for each eid. Sentences without a match have no row.
     """
     known = ordered(patterns)
-    children: dict[int, list[int]] = {}
-    for parent, child in hierarchy(known):
-        children.setdefault(parent, []).append(child)
-    schema = T._parse_datatype_string(f"sid string, counts array<struct<pattern_id:int,matches:int>>, events array<{T._parse_datatype_string(SCHEMA).simpleString()}>")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def matched(r: dict) -> dict:
-        deps = r["dependencies"] = [(d["gov"], d["rel"], d["dep"]) for d in r["dependencies"]]
-        graph, stops = Graph(r["pos_tags"], deps), _separators(r["pos_tags"])
-        counts: dict[int, int] = {}
-        events: dict[str, Eventuality] = {}
-        for k, p in enumerate(known):
-            found = matches(r["pos_tags"], deps, p, graph=graph)
-            for e in (from_match(r, m, p, transitive) for m in found):
-                if e is not None:
-                    events.setdefault(e.eid, e)
-            inside = [m for m in found if len(m) < 2 or not any(min(m) <= s <= max(m) for s in stops)]
-            if inside:
-                counts = {k: len(inside)} | {c: 1 for c in children.get(k, ())}
-                break
-        return {"sid": r["sid"], "counts": [{"pattern_id": k, "matches": n} for k, n in counts.items()], "events": [e.row() for e in events.values()]}
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([matched(r) for r in batch.to_pylist()], schema=arrow)
-
-    cols = [c for c in ("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies") if c in sentences.columns]
-    return sentences.where(F.size("dependencies") > 0).select(*cols).mapInArrow(run, schema)
+    children = descent(sentences, known)
+    found = matched(ready(sentences), known).withColumn("stops", separators(F.col("pos_tags")))
+    good = found.withColumn("valid", F.transform(F.filter("matches", lambda m: within_clause(m["mapping"], F.col("stops"))), lambda m: m["pattern_id"]))
+    tried = good.withColumn("last", F.array_min("valid")).withColumn("matches", F.filter("matches", lambda m: F.col("last").isNull() | (m["pattern_id"] <= F.col("last"))))
+    own = F.struct(F.col("last").alias("pattern_id"), F.size(F.filter("valid", lambda k: k == F.col("last"))).alias("matches"))
+    rest = F.transform(below(children, F.col("last")), lambda k: F.struct(k.alias("pattern_id"), F.lit(1).alias("matches")))
+    kind = "array<struct<pattern_id:int,matches:int>>"
+    counts = tried.select("sid", F.when(F.col("last").isNotNull(), F.concat(F.array(own), rest)).otherwise(F.array().cast(kind)).alias("counts"))
+    rows = tried.select("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies", F.posexplode("matches").alias("place", "m"))
+    made = constructed(rows, transitive)
+    names = [c for c in made.columns if c not in ("sid", "place")]
+    once = made.groupBy("sid", "eid").agg(F.min_by(F.struct(*names), "place").alias("e"))
+    events = once.groupBy("sid").agg(F.collect_list("e").alias("events"))
+    none = F.array().cast(events.schema["events"].dataType)
+    return counts.join(events, "sid", "left").select("sid", "counts", F.coalesce("events", none).alias("events"))
 
 
 def batch_counts(found: DataFrame) -> DataFrame:

@@ -181,6 +181,38 @@ def walked(g: Sentences, root: Node):
             todo += [(further, g.extended(places, step)) for step, further in node.onward.items()]
 
 
+def gathered(tags: pa.ListArray, deps: pa.ListArray, root: Node, odd: list[int], patterns: list[Pattern], limit: int | None):
+    """(row, pattern, mapping's length, mappings end to end) of all matches in a batch, in order of rows, patterns and mappings."""
+    g = Sentences(tags, deps)
+    none = np.zeros(0, dtype=np.int64)
+    rows, ids, maps, sizes = [none], [none], [none], [none]
+    for k, places in walked(g, root):
+        row = g.row[places[:, 0]]
+        local = places - g.first[row][:, None]
+        order = np.lexsort((*local.T[::-1], row))
+        if limit is not None:
+            begin = np.flatnonzero(np.diff(row[order], prepend=-1))
+            order = order[np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) < limit]
+        for out, x in ((rows, row[order]), (ids, np.full(len(order), k)), (maps, local[order].reshape(-1)), (sizes, np.full(len(order), local.shape[1]))):
+            out.append(x)
+    if odd:
+        for i, (t, e) in enumerate(zip(tags.to_pylist(), edge_lists(deps), strict=True)):
+            graph = Graph(t, e)
+            for k in odd:
+                for m in matches(t, e, patterns[k], limit, graph=graph):
+                    for out, x in ((rows, [i]), (ids, [k]), (maps, m), (sizes, [len(m)])):
+                        out.append(np.array(x, dtype=np.int64))
+    rows, ids, maps, sizes = (np.concatenate(x) for x in (rows, ids, maps, sizes))
+    order = np.lexsort((np.arange(len(rows)), ids, rows))
+    begin = np.cumsum(sizes) - sizes
+    return rows[order], ids[order], sizes[order], maps[ragged(begin[order], sizes[order])]
+
+
+def narrowed(sentences: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    vertices, edges = min(len(p.labels) for p in patterns), min(len(p.edges) for p in patterns)
+    return sentences.where((F.size("pos_tags") >= max(1, vertices)) & (F.size("dependencies") >= edges))
+
+
 def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None) -> DataFrame:
     """(sid, pattern_id, mapping) of all matches, or of the first `limit` of each pattern in a sentence; pattern_id is the pattern's place in the list.
 
@@ -189,38 +221,40 @@ def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None
     if not patterns:
         return sentences.sparkSession.createDataFrame([], FOUND)
     root, odd = library(patterns)
-    vertices, edges = min(len(p.labels) for p in patterns), min(len(p.edges) for p in patterns)
 
     def run(batches):
         for batch in batches:
-            sid, tags, deps = batch.columns
-            g = Sentences(tags, deps)
-            rows, ids, maps, ends = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for k, places in walked(g, root):
-                row = g.row[places[:, 0]]
-                local = places - g.first[row][:, None]
-                if limit is not None:
-                    order = np.lexsort((*local.T[::-1], row))
-                    begin = np.flatnonzero(np.diff(row[order], prepend=-1))
-                    nth = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-                    row, local = row[order[nth < limit]], local[order[nth < limit]]
-                rows.append(row)
-                ids.append(np.full(len(row), k))
-                maps.append(local.reshape(-1))
-                ends.append(np.full(len(row), local.shape[1]))
-            if odd:
-                for i, (t, e) in enumerate(zip(tags.to_pylist(), edge_lists(deps), strict=True)):
-                    graph = Graph(t, e)
-                    for k in odd:
-                        for m in matches(t, e, patterns[k], limit, graph=graph):
-                            for out, x in ((rows, [i]), (ids, [k]), (maps, m), (ends, [len(m)])):
-                                out.append(np.array(x, dtype=np.int64))
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(ends))])
-            mapping = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(maps), pa.int32()))
-            yield pa.RecordBatch.from_arrays([sid.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ids), pa.int32()), mapping], names=["sid", "pattern_id", "mapping"])
-
-    ready = sentences.where((F.size("pos_tags") >= max(1, vertices)) & (F.size("dependencies") >= edges))
-    return ready.select(F.col("sid").cast("string").alias("sid"), "pos_tags", "dependencies").mapInArrow(run, FOUND)
+            rows, ids, sizes, maps = gathered(batch.column(1), batch.column(2), root, odd, patterns, limit)
+            mapping = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(maps, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(ids, pa.int32()), mapping], names=["sid", "pattern_id", "mapping"])
+
+    return narrowed(sentences, patterns).select(F.col("sid").cast("string").alias("sid"), "pos_tags", "dependencies").mapInArrow(run, FOUND)
+
+
+def matched(sentences: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """The sentences that have a match, with matches: an array of (pattern_id, mapping, labels of the pattern), in order."""
+    kind = "array<struct<pattern_id:int,mapping:array<int>,labels:array<string>>>"
+    empty = sentences.where("false").withColumn("matches", F.array().cast(kind))
+    if not patterns:
+        return empty
+    schema = empty.schema
+    root, odd = library(patterns)
+    columns = sentences.columns
+    tags, deps = columns.index("pos_tags"), columns.index("dependencies")
+
+    def run(batches):
+        for batch in batches:
+            rows, ids, sizes, maps = gathered(batch.column(tags), batch.column(deps), root, odd, patterns, None)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            names = [x for p in patterns for x in p.labels]
+            first = np.cumsum([0] + [len(p.labels) for p in patterns])[ids]
+            labels = pa.ListArray.from_arrays(ends, pa.array(names, pa.string()).take(pa.array(ragged(first, sizes))))
+            each = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(maps, pa.int32())), labels], names=["pattern_id", "mapping", "labels"])
+            some, counts = np.unique(rows, return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in batch.columns], lists], names=[*columns, "matches"])
+
+    return narrowed(sentences, patterns).mapInArrow(run, schema)
 
 
 PATTERNS = "pattern_id int, labels array<string>, edges array<struct<u:int,label:string,v:int>>, freq long"

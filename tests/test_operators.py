@@ -19,6 +19,7 @@ from purposegraph.operators.matching import Pattern
 from purposegraph.plans.tables import SENTENCES_SQL, sentences
 from purposegraph.sources import files
 from purposegraph.sources.shared import Scratch
+from tests import plain_events
 
 SENTENCE = {
     "sid": "1", "text": "My army will find your boat.", "tokens": ["My", "army", "will", "find", "your", "boat", "."], "lemmas": ["my", "army", "will", "find", "you", "boat", "."],
@@ -52,7 +53,7 @@ def test_matcher_equals_brute_force(data):
 
 
 def test_extraction_of_the_documented_sentence(spark):
-    got = extraction.extract_sentence(SENTENCE, [FIND], {})
+    got = plain_events.extract_sentence(SENTENCE, [FIND], {})
     assert [" ".join(e.words) for e in got] == ["my army will find you boat"]
     e = got[0]
     rendered = [[[g, e.words[g], e.pos_tags[g]], r, [d, e.words[d], e.pos_tags[d]]] for g, r, d in e.dependencies]
@@ -69,17 +70,17 @@ def test_eid_does_not_depend_on_dependency_order():
     for seed in range(5):
         s = dict(SENTENCE)
         s["dependencies"] = random.Random(seed).sample(SENTENCE["dependencies"], 6)
-        ids |= {e.eid for e in extraction.extract_sentence(s, [FIND], {})}
+        ids |= {e.eid for e in plain_events.extract_sentence(s, [FIND], {})}
     assert len(ids) == 1
 
 
 def test_dependency_helpers():
     deps = [(8, "cop", 7), (8, "nsubj", 6)]
-    assert extraction.sorted_dependencies(deps) == ([(2, "nsubj", 0), (2, "cop", 1)], {6: 0, 7: 1, 8: 2}, {0: 6, 1: 7, 2: 8})
-    assert extraction.indices(deps) == [6, 7, 8]
-    assert extraction.segments(4, [(2, "compound", 1), (2, "compound", 0), (3, "x", 2)]) == [(2, 0, 1), (3,)]
-    assert extraction.segments(4, [(3, "compound", 0)]) == [(0,), (1,), (2,), (3,)]
-    assert extraction.segments(6, [(1, "compound", 0), (2, "compound:prt", 1), (5, "compound", 4), (5, "compound", 2)]) == [(2, 0, 1), (3,), (5, 4)]
+    assert plain_events.sorted_dependencies(deps) == ([(2, "nsubj", 0), (2, "cop", 1)], {6: 0, 7: 1, 8: 2}, {0: 6, 1: 7, 2: 8})
+    assert plain_events.indices(deps) == [6, 7, 8]
+    assert plain_events.segments(4, [(2, "compound", 1), (2, "compound", 0), (3, "x", 2)]) == [(2, 0, 1), (3,)]
+    assert plain_events.segments(4, [(3, "compound", 0)]) == [(0,), (1,), (2,), (3,)]
+    assert plain_events.segments(6, [(1, "compound", 0), (2, "compound:prt", 1), (5, "compound", 4), (5, "compound", 2)]) == [(2, 0, 1), (3,), (5, 4)]
 
 
 def test_predicates(spark):
@@ -294,10 +295,10 @@ def test_frequent_edges_equal_sql(spark, sf):
 def test_distinct_events_are_those_whose_skeletons_lie_in_no_other():
     def event(word, *places):
         n = len(places)
-        return extraction.Eventuality([word] * n, ["NN"] * n, ["O"] * n, [], list(range(n)), [], list(places))
+        return plain_events.Eventuality([word] * n, ["NN"] * n, ["O"] * n, [], list(range(n)), [], list(places))
 
     events = [event("a", 1, 2), event("b", 1, 2, 3), event("c", 1, 2, 3), event("d", 4, 5), event("d", 6, 7), event("e", 3, 4)]
-    assert extraction.distinct(events) == [events[1], events[3], events[5]]
+    assert plain_events.distinct(events) == [events[1], events[3], events[5]]
 
 
 def test_separators_go_by_tags(spark):
@@ -353,10 +354,10 @@ def test_translation_of_pairs_to_texts_learns(spark):
 
 
 def test_events_survive_serialisation(spark):
-    e = extraction.Eventuality(["i", "be", "sure"], ["PRP", "VBP", "JJ"], ["O", "O", "DATE"], [(2, "nsubj", 0), (2, "cop", 1)], [0, 1, 2], [0, 1], [4, 5, 7], "PRP VBP JJ", [{"start": 2, "end": 3, "text": "sure", "ner": "DATE"}], 2.0)
+    e = plain_events.Eventuality(["i", "be", "sure"], ["PRP", "VBP", "JJ"], ["O", "O", "DATE"], [(2, "nsubj", 0), (2, "cop", 1)], [0, 1, 2], [0, 1], [4, 5, 7], "PRP VBP JJ", [{"start": 2, "end": 3, "text": "sure", "ner": "DATE"}], 2.0)
     assert (len(e), str(e)) == (3, "i be sure")
     for small in (False, True):
-        assert extraction.Eventuality.decoded(e.encoded(small)) == e and extraction.Eventuality.decoded(e.encoded(small)).eid == e.eid
+        assert plain_events.Eventuality.decoded(e.encoded(small)) == e and plain_events.Eventuality.decoded(e.encoded(small)).eid == e.eid
     assert "eid" in e.to_dict() and "eid" not in e.to_dict(minimum=True)
     rows = spark.createDataFrame([e.row() | {"sid": "s"}], "sid string, " + extraction.SCHEMA)
     back = extraction.deserialised(extraction.serialised(rows))
@@ -368,7 +369,7 @@ def test_events_survive_serialisation(spark):
 def test_merged_events_have_the_commonest_entity_types_and_all_mentions(spark):
     def event(sid, ners, mention):
         m = [{"start": 0, "end": 1, "text": mention, "ner": ners[0]}] if mention else []
-        return extraction.Eventuality(["x", "go"], ["NN", "VB"], ners, [(1, "nsubj", 0)], [0, 1], [0], [0, 1], "p", m).row() | {"sid": sid}
+        return plain_events.Eventuality(["x", "go"], ["NN", "VB"], ners, [(1, "nsubj", 0)], [0, 1], [0], [0, 1], "p", m).row() | {"sid": sid}
 
     rows = spark.createDataFrame([event("a", ["CITY", "O"], "x"), event("b", ["CITY", "O"], "y"), event("c", ["O", "O"], None), event("d", ["PERSON", "O"], "x")], "sid string, " + extraction.SCHEMA)
     r = extraction.merge_all(rows).first()
@@ -385,7 +386,7 @@ def test_batch_matcher_counts_and_keeps_events(spark):
     ]
     df = spark.createDataFrame([(s, [f"w{i}" for i in range(len(t))], t, d) for s, t, d in rows], "sid string, lemmas array<string>, pos_tags array<string>, dependencies array<struct<gov:int,rel:string,dep:int>>")
     found = extraction.batch_match(df, [small, other, big])
-    patterns = extraction.ordered([small, other, big])
+    patterns = matching.ordered([small, other, big])
     counts = {patterns[r["pattern_id"]]: r["matches"] for r in extraction.batch_counts(found).collect()}
     assert counts == {big: 1, small: 3, other: 1}
     words = sorted((r["sid"], " ".join(r["words"])) for r in extraction.batch_events(found).collect())
