@@ -128,40 +128,78 @@ def segments(n: Column, deps: Column) -> Column:
     return let(F.filter(deps, lambda d: d["rel"].startswith("compound")), lambda e: F.when(F.size(e) == 0, alone).otherwise(grouped(e)))
 
 
+def with_words(found: DataFrame, matches: Column) -> DataFrame:
+    """A row (sid, place, m) for each match; m has the tags, lemmas, entity types and mentions of its places."""
+    at = lambda m, c: F.transform(m["places"], lambda i: F.get(F.col(c), i))
+    said = lambda m: F.filter("mentions", lambda x: F.array_contains(m["places"], x["start"]) & F.array_contains(m["places"], x["end"] - 1))
+    kept = ("pattern_id", "mapping", "labels", "places", "inside", "near")
+    full = F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in kept], at(m, "pos_tags").alias("tags"), at(m, "lemmas").alias("lemmas"), at(m, "ners").alias("ners"), said(m).alias("mentions")))
+    return found.select("sid", F.posexplode(full).alias("place", "m"))
+
+
+def event(m: Column, transitive: bool) -> Column:
+    """The event of a match as an array: none if no edge of it is left. Each step is bound, so that it is computed once."""
+    near, tags = m["near"], m["tags"]
+    numbers = lambda items, good: F.filter(F.transform(items, lambda x, i: F.when(good(x), i)), lambda i: i.isNotNull())
+
+    def written(own: Column, arcs: Column, bones: Column, skeleton: Column) -> Column:
+        pick = lambda c: F.transform(own, lambda i: F.get(c, i))
+        deps = F.transform(arcs, lambda d: F.struct(d["gov"].alias("gov"), d["rel"].alias("rel"), d["dep"].alias("dep")))
+        base = F.struct(F.transform(pick(m["lemmas"]), F.lower).alias("words"), pick(tags).alias("tags"), pick(m["ners"]).alias("ners"), pick(m["places"]).alias("raw_places"), deps.alias("deps"))
+
+        def full(e: Column) -> Column:
+            rank = lambda x: rank_in(e["raw_places"], x)
+            spans = F.transform(m["mentions"], lambda x: F.struct(rank(x["start"]).alias("start"), (rank(x["end"] - 1) + 1).alias("end"), x["ner"].alias("ner")))
+            said = F.transform(F.filter(spans, lambda x: (x["start"] >= 0) & (x["end"] > 0)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_join(F.slice(e["words"], x["start"] + 1, F.greatest(x["end"] - x["start"], F.lit(0))), " ").alias("text"), x["ner"].alias("ner")))
+            shown = F.transform(F.array_sort(F.arrays_zip(m["mapping"].alias("at"), m["labels"].alias("label"))), lambda x: x["label"])
+            return F.struct(
+                eid(e["words"], e["tags"], e["deps"]).alias("eid"), F.array_join(shown, " ").alias("pattern"), e["words"].alias("words"), e["tags"].alias("pos_tags"), e["ners"].alias("ners"), e["deps"].alias("dependencies"),
+                F.transform(skeleton, lambda x: rank_in(own, x)).alias("skeleton_indices"), numbers(arcs, lambda d: F.array_contains(bones, d)).alias("skeleton_dependency_indices"),
+                numbers(e["tags"], lambda t: t.startswith("VB")).alias("verb_indices"), e["raw_places"].alias("raw_places"), segments(F.size(e["words"]), e["deps"]).alias("segments"), said.cast(MENTIONS).alias("mentions"), F.lit(1.0).alias("frequency"),
+            )
+
+        return let(base, full)
+
+    def renumbered(c: Column) -> Column:
+        def ranked(own: Column) -> Column:
+            ranks = lambda deps: F.array_sort(F.array_distinct(F.transform(deps, lambda d: F.struct(rank_in(own, d["gov"]).alias("gov"), rank_in(own, d["dep"]).alias("dep"), d["rel"].alias("rel")))))
+            return let(F.struct(ranks(c["chosen"]).alias("arcs"), ranks(c["bones"]).alias("bones"), places_of(c["bones"]).alias("skeleton")), lambda r: written(own, r["arcs"], r["bones"], r["skeleton"]))
+
+        return let(places_of(c["chosen"]), ranked)
+
+    def left(c: Column) -> Column:
+        first = F.get(places_of(c["chosen"]), 0)
+
+        def without(gone: Column) -> Column:
+            kept = lambda deps: F.filter(deps, lambda d: (d["gov"] != gone) & (d["dep"] != gone))
+            return F.struct(kept(c["chosen"]).alias("chosen"), kept(c["bones"]).alias("bones"))
+
+        return let(let(first, lambda f: F.when(F.get(tags, f) == "IN", f).otherwise(-1)), without)
+
+    def of_match(inside: Column) -> Column:
+        both = lambda d: F.array_contains(inside, d["gov"]) & F.array_contains(inside, d["dep"])
+
+        def chosen(b: Column) -> Column:
+            more = F.filter(b["optional"], lambda d: F.array_contains(b["reach"], d["gov"]) & F.array_contains(b["extra"], d["dep"]))
+            return F.struct(F.concat(b["bones"], more).alias("chosen"), b["bones"].alias("bones"))
+
+        def reached(edges: Column) -> Column:
+            extra = optional_closure(edges, inside, transitive)
+            return let(extra, lambda x: F.struct(edges.alias("optional"), x.alias("extra"), (F.concat(inside, x) if transitive else inside).alias("reach"), F.filter(near, both).alias("bones")))
+
+        return let(let(let(optional_edges(near, tags, inside), reached), chosen), left)
+
+    made = let(F.array_sort(m["inside"]), of_match)
+    return let(made, lambda c: F.when(F.size(c["chosen"]) > 0, F.array(renumbered(c))).otherwise(F.array()))
+
+
 def constructed(matches: DataFrame, transitive: bool) -> DataFrame:
-    """matches (sid, a sentence's columns, place, m: pattern_id, mapping, labels) with the columns of SCHEMA; matches of which no edge is left have no row.
+    """matches (sid, place, m) of with_words() with the columns of SCHEMA; matches of which no edge is left have no row.
 
     The event of a match has the match's words, lower-cased lemmas, and the optional ones that depend on them, with the edges
     between and to them, renumbered. A leading preposition goes with its edges.
     """
-    inside = F.col("inside")
-    both = lambda d: F.array_contains(inside, d["gov"]) & F.array_contains(inside, d["dep"])
-    at = matches.withColumn("inside", F.array_sort("m.mapping")).withColumn("to_optional", optional_edges(F.col("dependencies"), F.col("pos_tags"), inside))
-    at = at.withColumn("extra", optional_closure(F.col("to_optional"), inside, transitive)).withColumn("bones", F.filter("dependencies", both))
-    reach = F.concat(inside, F.col("extra")) if transitive else inside
-    at = at.withColumn("chosen", F.concat("bones", F.filter("to_optional", lambda d: F.array_contains(reach, d["gov"]) & F.array_contains(F.col("extra"), d["dep"]))))
-    first = F.get(places_of(F.col("chosen")), 0)
-    at = at.withColumn("gone", F.when(F.get("pos_tags", first) == "IN", first).otherwise(-1))
-    kept = lambda deps: F.filter(deps, lambda d: (d["gov"] != F.col("gone")) & (d["dep"] != F.col("gone")))
-    at = at.withColumn("chosen", kept("chosen")).withColumn("bones", kept("bones")).where(F.size("chosen") > 0).withColumn("raw_places", places_of(F.col("chosen")))
-    ranks = lambda deps: F.array_sort(F.array_distinct(F.transform(deps, lambda d: F.struct(rank_in(F.col("raw_places"), d["gov"]).alias("gov"), rank_in(F.col("raw_places"), d["dep"]).alias("dep"), d["rel"].alias("rel")))))
-    at = at.withColumn("arcs", ranks("chosen")).withColumn("bone_arcs", ranks("bones"))
-    pick = lambda c: F.transform("raw_places", lambda i: F.get(c, i))
-    events = at.select(
-        "sid", "place", "raw_places", "arcs", "bone_arcs", "mentions", F.transform(pick("lemmas"), F.lower).alias("words"), pick("pos_tags").alias("pos_tags"), pick("ners").alias("ners"),
-        F.array_join(F.transform(F.array_sort(F.arrays_zip("m.mapping", "m.labels")), lambda x: x["labels"]), " ").alias("pattern"),
-        F.transform(places_of(F.col("bones")), lambda x: rank_in(F.col("raw_places"), x)).alias("skeleton_indices"),
-        F.transform("arcs", lambda d: F.struct(d["gov"].alias("gov"), d["rel"].alias("rel"), d["dep"].alias("dep"))).alias("dependencies"),
-    )
-    numbers = lambda items, good: F.filter(F.transform(items, lambda x, i: F.when(good(x), i)), lambda i: i.isNotNull())
-    spans = F.transform("mentions", lambda m: F.struct(rank_in(F.col("raw_places"), m["start"]).alias("start"), (rank_in(F.col("raw_places"), m["end"] - 1) + 1).alias("end"), m["ner"].alias("ner")))
-    spans = F.filter(spans, lambda m: (m["start"] >= 0) & (m["end"] > 0))
-    said = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array_join(F.slice("words", m["start"] + 1, F.greatest(m["end"] - m["start"], F.lit(0))), " ").alias("text"), m["ner"].alias("ner")))
-    return events.select(
-        "sid", "place", eid(F.col("words"), F.col("pos_tags"), F.col("dependencies")).alias("eid"), "pattern", "words", "pos_tags", "ners", "dependencies", "skeleton_indices",
-        numbers("arcs", lambda d: F.array_contains(F.col("bone_arcs"), d)).alias("skeleton_dependency_indices"), numbers("pos_tags", lambda t: t.startswith("VB")).alias("verb_indices"),
-        "raw_places", segments(F.size("words"), F.col("dependencies")).alias("segments"), F.coalesce(said.cast(MENTIONS), F.array().cast(MENTIONS)).alias("mentions"), F.lit(1.0).alias("frequency"),
-    )
+    return matches.select("sid", "place", F.inline(event(F.col("m"), transitive)))
 
 
 def without_contained(events: DataFrame) -> DataFrame:
@@ -229,8 +267,7 @@ def extract(sentences: DataFrame, patterns: list[Pattern], skip_words: tuple[str
         start = F.struct(ints().alias("open"), ints().alias("barred"))
         step = lambda a, k: F.when(F.array_contains(a["barred"], k), a).otherwise(F.struct(F.concat(a["open"], F.array(k)).alias("open"), F.concat(a["barred"], below(children, k)).alias("barred")))
         matches = let(F.aggregate(tried, start, step)["open"], lambda o: F.filter("matches", lambda m: F.array_contains(o, m["pattern_id"])))
-    rows = found.select("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies", F.posexplode(matches).alias("place", "m"))
-    return without_contained(constructed(rows, transitive))
+    return without_contained(constructed(with_words(found, matches), transitive))
 
 
 def merge(events: DataFrame) -> DataFrame:
@@ -281,15 +318,15 @@ def batch_match(sentences: DataFrame, patterns: list[Pattern], transitive: bool
     """
     known = ordered(patterns)
     children = descent(sentences, known)
-    found = matched(ready(sentences), known).withColumn("stops", separators(F.col("pos_tags")))
-    good = found.withColumn("valid", F.transform(F.filter("matches", lambda m: within_clause(m["mapping"], F.col("stops"))), lambda m: m["pattern_id"]))
-    tried = good.withColumn("last", F.array_min("valid")).withColumn("matches", F.filter("matches", lambda m: F.col("last").isNull() | (m["pattern_id"] <= F.col("last"))))
-    own = F.struct(F.col("last").alias("pattern_id"), F.size(F.filter("valid", lambda k: k == F.col("last"))).alias("matches"))
+    found = matched(ready(sentences), known)
+    valid = let(separators(F.col("pos_tags")), lambda stops: F.transform(F.filter("matches", lambda m: within_clause(m["mapping"], stops)), lambda m: m["pattern_id"]))
+    good = found.withColumn("valid", valid)
+    tried = good.withColumn("last", F.array_min("valid")).withColumn("matches", let(F.col("last"), lambda last: F.filter("matches", lambda m: last.isNull() | (m["pattern_id"] <= last))))
+    own = F.struct(F.col("last").alias("pattern_id"), let(F.col("last"), lambda last: F.size(F.filter("valid", lambda k: k == last))).alias("matches"))
     rest = F.transform(below(children, F.col("last")), lambda k: F.struct(k.alias("pattern_id"), F.lit(1).alias("matches")))
     kind = "array<struct<pattern_id:int,matches:int>>"
     counts = tried.select("sid", F.when(F.col("last").isNotNull(), F.concat(F.array(own), rest)).otherwise(F.array().cast(kind)).alias("counts"))
-    rows = tried.select("sid", "lemmas", "pos_tags", "ners", "mentions", "dependencies", F.posexplode("matches").alias("place", "m"))
-    made = constructed(rows, transitive)
+    made = constructed(with_words(tried, F.col("matches")), transitive)
     names = [c for c in made.columns if c not in ("sid", "place")]
     once = made.groupBy("sid", "eid").agg(F.min_by(F.struct(*names), "place").alias("e"))
     events = once.groupBy("sid").agg(F.collect_list("e").alias("events"))

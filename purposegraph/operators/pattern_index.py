@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocab import OPTIONAL_POS_TAGS
 from .matching import PREFIXES, WILD, Graph, Pattern, edge_lists, matches
 from .subgraphs import among, ragged, smallest
 
@@ -231,28 +232,67 @@ def find(sentences: DataFrame, patterns: list[Pattern], limit: int | None = None
     return narrowed(sentences, patterns).select(F.col("sid").cast("string").alias("sid"), "pos_tags", "dependencies").mapInArrow(run, FOUND)
 
 
-def matched(sentences: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """The sentences that have a match, with matches: an array of (pattern_id, mapping, labels of the pattern), in order."""
-    kind = "array<struct<pattern_id:int,mapping:array<int>,labels:array<string>>>"
-    empty = sentences.where("false").withColumn("matches", F.array().cast(kind))
+def surroundings(maps: np.ndarray, match: np.ndarray, u: np.ndarray, v: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(match, edge) of the edges u -> v that leave a match's vertices (maps, of which match says whose they are) or words that these lead to where follow says so, and so on."""
+    order = np.argsort(u, kind="stable")
+    start = np.searchsorted(u[order], np.arange(len(follow) + 1))
+    seen = at = match * len(follow) + maps
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    while len(at):
+        m, x = np.divmod(at, len(follow))
+        sizes = start[x + 1] - start[x]
+        m, edge = np.repeat(m, sizes), order[ragged(start[x], sizes)]
+        found.append((m, edge))
+        at = np.setdiff1d((m * len(follow) + v[edge])[follow[v[edge]]], seen)
+        seen = np.union1d(seen, at)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+MATCH = "struct<pattern_id:int,mapping:array<int>,labels:array<string>,places:array<int>,inside:array<int>,near:array<struct<gov:int,rel:string,dep:int>>>"
+
+
+def matched(sentences: DataFrame, patterns: list[Pattern], follow: tuple[str, ...] = OPTIONAL_POS_TAGS) -> DataFrame:
+    """The sentences that have a match, with matches: an array of (pattern_id, mapping, labels of the pattern, places, inside, near), in order.
+
+    near: the edges that leave the match's words, and those that leave words with the tags `follow` that depend on them,
+    directly or not; places: the places of all these words, in order. near and inside, the match itself, count in places,
+    so what is made of a match needs no more of its sentence, however long that is.
+    """
+    empty = sentences.where("false").withColumn("matches", F.array().cast(f"array<{MATCH}>"))
     if not patterns:
         return empty
-    schema = empty.schema
     root, odd = library(patterns)
-    columns = sentences.columns
-    tags, deps = columns.index("pos_tags"), columns.index("dependencies")
+    columns, schema = sentences.columns, empty.schema
+    at = [columns.index(c) for c in ("pos_tags", "dependencies")]
 
     def run(batches):
         for batch in batches:
-            rows, ids, sizes, maps = gathered(batch.column(tags), batch.column(deps), root, odd, patterns, None)
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            tags, deps = (batch.column(i) for i in at)
+            rows, ids, sizes, maps = gathered(tags, deps, root, odd, patterns, None)
+            n, m = (c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (tags, deps))
+            first, arcs, words = np.cumsum(n) - n, deps.flatten(), tags.flatten()
+            shift = np.repeat(first, m)
+            u, v = (arcs.field(x).to_numpy(zero_copy_only=False).astype(np.int64) + shift for x in ("gov", "dep"))
+            match = np.repeat(np.arange(len(rows)), sizes)
+            own = maps + np.repeat(first[rows], sizes)
+            who, edge = surroundings(own, match, u, v, np.isin(words.to_numpy(zero_copy_only=False).astype(str), follow) if len(words) else np.zeros(0, dtype=bool))
+            total = max(1, len(words))
+            order = np.lexsort((edge, who))
+            who, edge = who[order], edge[order]
+            places = np.unique(np.concatenate([match * total + own, who * total + u[edge], who * total + v[edge]]))
+            begin = np.searchsorted(places, np.arange(len(rows) + 1) * total)
+            local = lambda k, x: np.searchsorted(places, k * total + x) - begin[k]
+            ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            ints = lambda x: pa.array(x, pa.int32())
             names = [x for p in patterns for x in p.labels]
-            first = np.cumsum([0] + [len(p.labels) for p in patterns])[ids]
-            labels = pa.ListArray.from_arrays(ends, pa.array(names, pa.string()).take(pa.array(ragged(first, sizes))))
-            each = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(maps, pa.int32())), labels], names=["pattern_id", "mapping", "labels"])
+            label_first = np.cumsum([0] + [len(p.labels) for p in patterns])[ids]
+            labels = pa.array(names, pa.string()).take(pa.array(ragged(label_first, sizes)))
+            near = pa.StructArray.from_arrays([ints(local(who, u[edge])), arcs.field("rel").take(pa.array(edge)), ints(local(who, v[edge]))], names=["gov", "rel", "dep"])
+            raw = ints(places % total - np.repeat(first[rows], np.diff(begin)))
+            lists = [(ends(sizes), ints(maps)), (ends(sizes), labels), (ends(np.diff(begin)), raw), (ends(sizes), ints(local(match, own))), (ends(np.bincount(who, minlength=len(rows))), near)]
+            each = pa.StructArray.from_arrays([ints(ids), *[pa.ListArray.from_arrays(e, x) for e, x in lists]], names=["pattern_id", "mapping", "labels", "places", "inside", "near"])
             some, counts = np.unique(rows, return_counts=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in batch.columns], lists], names=[*columns, "matches"])
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in batch.columns], pa.ListArray.from_arrays(ends(counts), each)], names=[*columns, "matches"])
 
     return narrowed(sentences, patterns).mapInArrow(run, schema)
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import extraction, matching, mining, parsing, subgraphs
+from ..operators import extraction, matching, mining, parsing, pattern_index, subgraphs
 from ..operators.matching import Pattern
 from .tables import CASES, SENTENCES_SQL, sentences, table
 
 PATH = Pattern(("DT", "NN", "VBG"), ((1, "det", 0), (1, "next", 2)))
 FORK = Pattern(("NN", "IN", "NONE"), ((0, "next", 1), (1, "next", 2)))
 TWO = Pattern(("NN", "VBD"), ((0, "next", 1),))
+CHAIN = Pattern(("DT", "NN", "VBG", "NN"), ((1, "det", 0), (1, "next", 2), (2, "next", 3)))
+DET = Pattern(("DT", "NN"), ((1, "det", 0),))
 TEMPLATE = ["the", "of"]
 
 
@@ -180,12 +182,39 @@ def eventualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("eid", "pattern", F.array_join("words", " ").alias("words"), "frequency", "sentences")
 
 
+def pattern_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent sub-graphs of three words as a library, matched in all sentences: in how many each of them lies. They come to the driver, which a library must fit."""
+    rows = sentences(spark, sf_dir)
+    mined = mining.frequent(mining.graphs(rows), 3, 10, 1 << 62).collect()
+    library = [Pattern(tuple(r["labels"]), tuple((e["u"], e["label"], e["v"]) for e in r["edges"])) for r in mined]
+    counts = matching.find(rows, library, limit=1).groupBy("pattern_id").agg(F.count("*").alias("sentences"))
+    names = pattern_index.table(spark, library).drop("freq")
+    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e["u"], e["label"], e["v"])), ",")
+    return names.join(counts, "pattern_id").select(F.array_join("labels", " ").alias("labels"), edges.alias("edges"), "sentences")
+
+
+def optional_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the optional words that depend on them, directly or not."""
+    tagged = F.transform("matches", lambda m: F.struct(m["places"].alias("places"), m["inside"].alias("inside"), m["near"].alias("near"), F.transform(m["places"], lambda i: F.get("pos_tags", i)).alias("tags")))
+    found = pattern_index.matched(sentences(spark, sf_dir), [TWO]).select("sid", F.explode(tagged).alias("m"))
+    inside, place = F.col("m.inside"), lambda i: F.get("m.places", i)
+    words = extraction.optional_closure(extraction.optional_edges(F.col("m.near"), F.col("m.tags"), inside), inside, True)
+    return found.select("sid", place(inside[0]).cast("long").alias("p0"), place(inside[1]).cast("long").alias("p1"), F.array_join(F.transform(F.array_sort(words), place), " ").alias("words"))
+
+
+def event_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a short and a long pattern, without the short ones inside a long one and without repeats."""
+    rows = sentences(spark, sf_dir).withColumn("lemmas", F.col("tokens"))
+    return extraction.extract(rows, [CHAIN, DET]).select("sid", "eid", "pattern", F.array_join("words", " ").alias("words"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         template_suffix, template_rejects, clean_text, clean_turns, sentence_split, length_histogram, length_cumulative, mining_thresholds, meta_pattern_mining, frequent_subgraphs,
         subgraph_match_path, subgraph_match_wildcard, subgraph_match_join, edge_label_multiset, vf2_prefilter, separator_filter, coverage_first_match, canonical_pattern_count, eventualities,
         predicate_counts, degree_filter, pattern_example, pattern_coverage, frequent_edges, frequent_triples, frequent_quads, event_entities, template_prefix,
+        pattern_library, optional_closure, event_containment,
     )
 }
 _MADE = f"""{vocab.relations_sql()},
@@ -223,6 +252,11 @@ _SHOWN = f"""
 _EVENTS = f"raw AS (SELECT sid, 'DT NN VBG' AS pattern, [p0, p1, p2] AS m FROM path UNION ALL SELECT sid, 'NN VBD', [p0, p1] FROM two), {_SHOWN}"
 
 
+def _fits(label: str, wanted: str) -> str:
+    """SQL: a sentence's label fits a pattern's."""
+    return f"({label} = {wanted} OR ({wanted} IN ('NN', 'RB', 'JJ') AND starts_with({label}, {wanted})))"
+
+
 def _walks(edges: int, least: int) -> str:
     """SQL: the frequent connected sub-graphs of so many edges, without circles: all depth-first walks over all sentences, the first of each set of vertices by its steps.
 
@@ -307,6 +341,27 @@ ORACLES = {
         WITH {SENTENCES_SQL}, {_TAGGED}, {_ARCS}, {_TWO}, raw AS (SELECT sid, 'NN VBD' AS pattern, [p0, p1] AS m FROM two), {_SHOWN},
         ids AS (SELECT DISTINCT eid, words FROM ided), places AS (SELECT eid, unnest(string_split(words, ' ')) AS t FROM ids)
         SELECT CASE WHEN t[1] < 'h' THEN 'PERSON' WHEN t[1] < 't' THEN 'CITY' ELSE 'O' END AS ner, count(*) AS n FROM places GROUP BY 1""",
+    "pattern_library": f"""
+        WITH {SENTENCES_SQL}, {_ARCS}, {_walks(2, 10)},
+        library AS (SELECT labels, es, string_split(labels, ' ') AS l, string_split(es[1], ' ') AS x, string_split(es[2], ' ') AS y FROM counted),
+        split AS (SELECT labels, es, x[2] AS xe, y[2] AS ye, l[x[1]::INT + 1] AS xu, l[x[3]::INT + 1] AS xv, l[y[1]::INT + 1] AS yu, l[y[3]::INT + 1] AS yv, x[1] = y[1] AS uu, x[1] = y[3] AS uv, x[3] = y[1] AS vu, x[3] = y[3] AS vv FROM library),
+        incident AS (SELECT *, u AS x FROM arcs UNION ALL SELECT *, v FROM arcs),
+        pairs AS (SELECT a.sid, a.label AS xe, a.lu AS alu, a.lv AS alv, b.label AS ye, b.lu AS blu, b.lv AS blv, a.u = b.u AS uu, a.u = b.v AS uv, a.v = b.u AS vu, a.v = b.v AS vv
+            FROM incident a JOIN incident b ON a.sid = b.sid AND a.x = b.x AND (a.u, a.v) <> (b.u, b.v)),
+        shapes AS (SELECT sid, xe, alu, alv, ye, blu, blv, uu, uv, vu, vv FROM pairs GROUP BY ALL),
+        hits AS (SELECT DISTINCT labels, es, sid FROM split JOIN shapes USING (xe, ye, uu, uv, vu, vv) WHERE {_fits('alu', 'xu')} AND {_fits('alv', 'xv')} AND {_fits('blu', 'yu')} AND {_fits('blv', 'yv')})
+        SELECT labels, array_to_string(es, ',') AS edges, count(*) AS sentences FROM hits GROUP BY labels, es""",
+    "optional_closure": f"""
+        WITH RECURSIVE {SENTENCES_SQL}, {_ARCS}, {_TWO},
+        reach(sid, p0, p1, v) AS (SELECT sid, p0, p1, unnest([p0, p1]) FROM two UNION SELECT r.sid, p0, p1, a.v FROM reach r JOIN arcs a ON a.sid = r.sid AND a.u = r.v AND a.lv IN ({_OPTIONAL}))
+        SELECT sid, p0, p1, coalesce(string_agg(v::VARCHAR, ' ' ORDER BY v) FILTER (v NOT IN (p0, p1)), '') AS words FROM reach GROUP BY sid, p0, p1""",
+    "event_containment": f"""
+        WITH {SENTENCES_SQL}, {_TAGGED}, {_PATH}, chain AS (SELECT p.*, a.v AS p3 FROM path p JOIN arcs a ON a.sid = p.sid AND a.u = p2 AND a.label = 'next' AND a.lv LIKE 'NN%'),
+        raw AS (SELECT sid, 'DT NN VBG NN' AS pattern, [p0, p1, p2, p3] AS m FROM chain UNION ALL SELECT sid, 'DT NN', [v, u] FROM arcs WHERE label = 'det' AND lv = 'DT' AND lu LIKE 'NN%'), {_SHOWN},
+        long AS (SELECT * FROM ided WHERE len(m) = 4 QUALIFY row_number() OVER (PARTITION BY sid, eid ORDER BY m) = 1),
+        inner_ AS (SELECT DISTINCT i.sid, i.m FROM ided i JOIN long l ON l.sid = i.sid AND len(i.m) = 2 AND list_has_all(l.m, i.m)),
+        rest AS (SELECT i.* FROM ided i LEFT JOIN inner_ x ON x.sid = i.sid AND x.m = i.m WHERE len(i.m) = 2 AND x.sid IS NULL)
+        SELECT DISTINCT sid, eid, pattern, words FROM (SELECT * FROM long UNION ALL SELECT r.* FROM rest r WHERE NOT EXISTS (SELECT 1 FROM long l WHERE l.sid = r.sid AND l.eid = r.eid))""",
     "template_prefix": f"""
         WITH {SENTENCES_SQL}, {_TAGGED}
         SELECT sid, array_to_string(list_transform(list_filter(range(3, len(tokens) + 1), lambda i: tokens[i] = 'the'), lambda i: CAST(i - 1 AS VARCHAR)), ' ') AS places,
