@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import as_row, from_row, let, named, others, stash
-from .spans import SPAN, count, digest, found, hidden, joined, none
+from .spans import SPAN, count, digest, found, hidden, joined, meets, none, of_kind, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: What must hold of a text for a kind to occur at all; spares most texts the patterns.
@@ -17,13 +17,15 @@ AT, DIGITS = "@|[(\\[][Aa][Tt][)\\]]", "[0-9][ ().-]{0,3}[0-9]"
 HOST = "A-Za-z0-9-"
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-CARD = r"(?:\G|(?<![0-9\x01]))[0-9][0-9\x01]++"
+CARD = r"(?:\G|(?<![0-9\x01\x02]))[0-9][0-9\x01\x02]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A dot, also as written to hide an address.
 DOT = r"(?:\[\.\]| \. |\.|[(\[][Dd][Oo][Tt][)\]])"
+#: A further part of a host; from the eighth on only plain ones, as a class.
+PART = r"(?: ?(?:\.|[(\[][Dd][Oo][Tt][)\]]) ?[A-Za-z0-9-]++)"
 #: The generators: more than the base patterns accept. Cards are whole runs of digits, as in the base.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[][Aa][Tt][)\]]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[][Dd][Oo][Tt][)\]]) ?[A-Za-z0-9-]++){1,8}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[][Aa][Tt][)\]]) ?[A-Za-z0-9-]++(?:{PART}{{8}}(?:[A-Za-z0-9.-]*[A-Za-z0-9-])?|{PART}{{1,7}})",
     "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?: ?{DOT} ?[0-9]{{1,3}}){{3}}(?![0-9])",
     "card": r"(?<![0-9])(?<![0-9][ .-])(?<![0-9][ .-]{2})[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![ .-]{0,2}[0-9])",
     "phone": r"(?<![0-9])\+?\(?[0-9][ ().0-9-]{5,}[0-9]",
@@ -64,9 +66,9 @@ def plain(m: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """The validated spans, by kind as listed, then start. Matches that fail are dropped without a second try."""
     parts = [
-        found(text, EMAIL, "email", "@", joined(text, HOST, ".")),
+        found(text, EMAIL, "email", "@", ".", joined(text, HOST, ".")),
         F.filter(found(text, IP, "ip", r"[0-9]\.[0-9]"), lambda x: octets(x["m"])),
-        F.filter(found(text, CARD, "card", DIGITS, joined(text, "0-9", " -")), lambda x: card_ok(x["m"])),
+        F.filter(found(text, CARD, "card", DIGITS, " -", joined(text, "0-9", " -")), lambda x: card_ok(x["m"])),
         F.filter(found(text, PHONE, "phone", r"\+[0-9]"), lambda x: phone_ok(x["m"])),
     ]
     return F.concat(*parts)
@@ -89,13 +91,13 @@ def candidates(text: Column) -> Column:
 
     def of(kind: str, hint: str) -> Column:
         def described(x: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(x["s"] - 19, F.lit(1)), F.least(x["s"], F.lit(20))))
+            before = F.lower(x["last"])
             return F.struct(
                 F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.coalesce(valid[kind](x["m"]), F.lit(False)).alias("valid"), (plain(x["m"]) if kind in ("email", "ip") else x["m"]).rlike(shape[kind]).alias("grouped"), x["m"].rlike("[ ().-]").alias("separated"),
-                before.rlike(cues[kind]).alias("cue"), (before.rlike("[A-Za-z0-9]$") | F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")).alias("glued"),
+                before.rlike(cues[kind]).alias("cue"), (before.rlike("[A-Za-z0-9]$") | x["next"].rlike("[A-Za-z0-9]")).alias("glued"),
             )
 
-        return F.transform(found(text, LOOSE[kind], kind, hint), described)
+        return F.transform(pieces(text, LOOSE[kind], hint), described)
 
     return F.concat(of("email", AT), of("ip", rf"[0-9] ?{DOT} ?[0-9]"), of("card", DIGITS), of("phone", DIGITS))
 
@@ -106,10 +108,6 @@ def proposals(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(as_row(keep).alias("row"), base_spans(whole).alias("base"), candidates(whole).alias("candidates"), F.pmod(F.xxhash64(whole), F.lit(2)).alias("fold"))
 
 
-def _meets(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-
-
 def learn(proposed: DataFrame, precision: float = 0.9) -> dict[str, boosting.Model]:
     """A model for each kind: does a candidate coincide with a validated span? Fitted on candidates, counted by pattern.
 
@@ -119,12 +117,16 @@ def learn(proposed: DataFrame, precision: float = 0.9) -> dict[str, boosting.Mod
     the texts and the threshold is calibrated on the other. At most 2 ** (len(FEATURES) + 1) rows for each kind come to
     the driver.
     """
-    touches = lambda x, b: (b["s"] < x["e"]) & (x["s"] < b["e"])
-    taken = lambda x, c: (x["kind"] == "phone") & c["kind"].isin("ip", "card") & c["valid"] & touches(x, c)
-    labelled = F.transform("candidates", lambda x: F.struct(
-        x.alias("x"), F.exists("base", lambda b: (b["kind"] == x["kind"]) & touches(x, b)).alias("hit"),
-        (x["valid"] & x["grouped"] & ~x["glued"] | F.exists("base", lambda b: (b["kind"] != x["kind"]) & touches(x, b)) | F.exists("candidates", lambda c: taken(x, c))).alias("open"),
-    ))
+    valid = F.filter("candidates", lambda x: x["valid"])
+    sorted_ = F.struct(*[of_kind(F.col("base"), k).alias(f"b_{k}") for k in KINDS], *[of_kind(valid, k).alias(f"c_{k}") for k in ("ip", "card")])
+
+    def labels(of: Column) -> Column:
+        hit = lambda x: F.coalesce(*[F.when(x["kind"] == k, meets(x, of[f"b_{k}"])) for k in KINDS])
+        other = lambda x: F.coalesce(*[F.when(x["kind"] == k, meets(x, *[of[f"b_{o}"] for o in KINDS if o != k])) for k in KINDS])
+        taken = lambda x: (x["kind"] == "phone") & meets(x, of["c_ip"], of["c_card"])
+        return F.transform("candidates", lambda x: F.struct(x.alias("x"), hit(x).alias("hit"), (x["valid"] & x["grouped"] & ~x["glued"] | other(x) | taken(x)).alias("open")))
+
+    labelled = let(sorted_, labels)
     each = proposed.where(F.size("candidates") > 0).select("fold", F.explode(labelled).alias("y")).select("fold", "y.*").where("hit or not open")
     counted = each.select(F.col("x.kind").alias("kind"), *[F.col(f"x.{f}").alias(f) for f in FEATURES], "hit", "fold").groupBy("kind", "fold", *FEATURES).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("n"))
     rows: dict[str, tuple[list[boosting.Row], list[boosting.Row]]] = {k: ([], []) for k in KINDS}
@@ -136,19 +138,20 @@ def learn(proposed: DataFrame, precision: float = 0.9) -> dict[str, boosting.Mod
 def chosen(base: Column, candidate: Column, models: dict[str, boosting.Model]) -> Column:
     """All spans, by kind as listed, then start: the base ones, and candidates over their kind's threshold that touch no base span
     and no chosen candidate of a kind listed earlier."""
-    def with_kind(kind: str):
-        def passes(x: Column) -> Column:
-            return (x["kind"] == kind) & (models[kind].column([x[f] for f in FEATURES]) >= models[kind].threshold)
-
-        def more(s: Column) -> Column:
-            return F.transform(F.filter(candidate, lambda x: passes(x) & ~_meets(x, s)), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))
-
-        return lambda s: F.concat(s, more(s))
-
-    spans = base
-    for kind in KINDS:
-        if models[kind].trees and models[kind].threshold < 1:
-            spans = let(spans, with_kind(kind))
+    def added(kind: str, lists: Column, made: list[str]) -> Column:
+        """Chosen candidates of a kind, that touch nothing in the fields `made` of lists."""
+        passes = lambda x: (x["kind"] == kind) & (models[kind].column([x[f] for f in FEATURES]) >= models[kind].threshold)
+        return F.transform(F.filter(candidate, lambda x: passes(x) & ~meets(x, *[lists[m] for m in made])), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))
+
+    def widened(lists: Column, made: list[str], kinds: list[str]) -> Column:
+        """base and what is added, kind after kind; lists has the spans of each kind so far, in order."""
+        if not kinds:
+            return F.concat(base, *[lists[m] for m in made if m.startswith("more_")])
+        more = let(added(kinds[0], lists, made), lambda x: F.struct(*[lists[m].alias(m) for m in made], x.alias(f"more_{kinds[0]}")))
+        return let(more, lambda x: widened(x, [*made, f"more_{kinds[0]}"], kinds[1:]))
+
+    first = F.struct(*[of_kind(base, k).alias(k) for k in KINDS])
+    spans = let(first, lambda x: widened(x, list(KINDS), [k for k in KINDS if models[k].trees and models[k].threshold < 1]))
     order = F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m")))
     sorted_ = F.transform(F.array_sort(order), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))).cast(SPAN)
     return F.when(F.size(candidate) == 0, base).otherwise(sorted_)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_row, from_row, let, named, others, stash
-from .spans import SPAN, count, digest, found, none
+from .spans import SPAN, count, digest, found, meets, none, of_kind
 
 KINDS = ("assign", "access", "hex")
 #: The added kinds: an identifier, a bare secret, and an endpoint, reported only beside their complements.
@@ -34,16 +34,24 @@ def ordered(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))).cast(SPAN))
 
 
-def weak_spans(text: Column, base: Column) -> Column:
-    """Candidates that alone say little and touch neither a base span nor one of an earlier kind: values of names for users
-    and clients; 20 and more characters of base 64 with upper and lower case and digits; endpoints."""
+def weak_candidates(text: Column) -> Column:
+    """By kind: values of names for users and clients; 20 and more characters of base 64 with upper and lower case and digits; endpoints."""
     mixed = lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]") & x["m"].rlike("[0-9]")
-    free = lambda spans, taken: F.filter(spans, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    more = lambda spans: lambda taken: F.concat(taken, free(spans, taken))
-    found_ = base
-    for spans in (found(text, IDENT, "ident", IDENT_NAME), F.filter(found(text, SECRET, "secret", "[A-Za-z0-9+/_-]{20}"), mixed), found(text, ENDPOINT, "endpoint", "://|amazonaws")):
-        found_ = let(found_, more(spans))
-    return F.filter(found_, lambda x: x["kind"].isin(*WEAK))
+    secrets = F.filter(found(text, SECRET, "secret", "[A-Za-z0-9+/_-]{20}"), mixed)
+    return F.struct(found(text, IDENT, "ident", IDENT_NAME).alias("ident"), secrets.alias("secret"), found(text, ENDPOINT, "endpoint", "://|amazonaws").alias("endpoint"))
+
+
+def weak_spans(base: Column, candidates: Column) -> Column:
+    """The candidates, which alone say little, that touch neither a base span nor one of an earlier kind."""
+
+    def widened(lists: Column, made: list[str], kinds: list[str]) -> Column:
+        if not kinds:
+            return F.concat(*[lists[k] for k in WEAK])
+        free = F.filter(candidates[kinds[0]], lambda x: ~meets(x, *[lists[k] for k in made]))
+        more = let(free, lambda x: F.struct(*[lists[k].alias(k) for k in made], x.alias(kinds[0])))
+        return let(more, lambda x: widened(x, [*made, kinds[0]], kinds[1:]))
+
+    return let(F.struct(*[of_kind(base, k).alias(k) for k in KINDS]), lambda x: widened(x, list(KINDS), list(WEAK)))
 
 
 #: What role a span has in a credential, and the roles one of which each weak kind needs beside it.
@@ -93,9 +101,9 @@ def detect(docs: DataFrame, text: str = "text", reach: int = 400) -> DataFrame:
     keep = others(docs, text, "base", "spans")
     whole = F.coalesce(named(text).cast("string"), F.lit(""))
     key = F.concat_ws("-", F.xxhash64(whole), F.xxhash64(F.lit(1), whole), F.length(whole))
-    both = let(base_spans(whole), lambda b: F.struct(b.alias("base"), weak_spans(whole, b).alias("weak")))
-    seen = stash(docs.select(as_row(keep).alias("row"), key.alias("key"), both.alias("x")).select("row", "key", "x.*"))
-    some = seen.where(F.size("weak") > 0).groupBy("key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
+    seen = stash(docs.select(as_row(keep).alias("row"), key.alias("key"), base_spans(whole).alias("base"), weak_candidates(whole).alias("candidates")))
+    some = seen.where(F.greatest(*[F.size(f"candidates.{k}") for k in WEAK]) > 0).groupBy("key").agg(F.first("base").alias("base"), F.first("candidates").alias("candidates"))
+    some = some.select("key", "base", weak_spans(F.col("base"), F.col("candidates")).alias("weak")).where(F.size("weak") > 0)
     parts = stash(some.select(F.col("key").alias("row"), F.explode(F.concat("base", "weak")).alias("x")).select("row", "x.kind", "x.s", "x.e"))
     added = stash(linked(parts, reach).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("kind", "s", "e", F.lit("").alias("m"))).alias("added")))
     return seen.join(added, seen["key"] == added["of"], "left").select(*from_row(keep), "base", ordered(F.concat("base", F.coalesce("added", none()).cast(SPAN))).alias("spans"))

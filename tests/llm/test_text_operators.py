@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from purposegraph.llm import blocks, boosting, bpe, bpe_codec, line_dedup, minhash, packing, pii, pitman_yor, quality, secret_scan, token_count
+from purposegraph.llm import blocks, boosting, bpe, bpe_codec, line_dedup, minhash, packing, pii, pitman_yor, quality, secret_scan, spans, token_count
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [
@@ -274,3 +275,38 @@ def test_clashing_columns_are_carried_or_replaced(spark):
     assert {r["row"] for r in made["packing"].collect()} == {"z"}
     for op in (minhash.near_duplicates, pitman_yor.score, lambda d: bpe_codec.encode(d, BYTE, public_tokenizers.PATTERN)):
         assert op(docs).count() == 3
+
+
+def test_a_text_with_very_many_matches_takes_time_in_proportion(spark):
+    """100,000 matches in one text; positions, redaction and spans of overlapping kinds stay exact."""
+    n = 100_000
+    text = " ".join(f"a{i}@b.com" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    found = pii.report(docs).first()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert found["n_email"] == n and found["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert pii.redact(docs).first()["text"] == " ".join(["[EMAIL]"] * n)
+    text = " ".join(f"token=abcdefg{i}" for i in range(n))
+    found = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert found["n_assign"] == n and found["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert time.time() - start < 150
+
+
+def test_spans_by_bisection_and_running_sums(spark):
+    draw = random.Random(8)
+    lists = []
+    for _ in range(60):
+        cuts = sorted(draw.sample(range(400), 2 * draw.randint(0, 40)))
+        lists.append(([("k", a, b, "") for a, b in zip(cuts[::2], cuts[1::2], strict=True)], [draw.randint(0, 9) for _ in range(draw.randint(0, 90))], draw.randint(0, 380), "".join(draw.choices("abé😀\n", k=draw.randint(400, 1500)))))
+    df = spark.createDataFrame([(s, x, at, at + draw.randint(1, 20), t) for s, x, at, t in lists], f"s {spans.SPAN}, x array<int>, a int, e int, t string")
+    got = df.select("*", spans.before(F.col("x")).alias("sums"), spans.meets(F.struct(F.col("a").alias("s"), F.col("e").alias("e")), F.col("s")).alias("meets"), spans.hidden(F.col("t"), F.col("s")).alias("hidden")).collect()
+    for r in got:
+        assert r["sums"] == [sum(r["x"][:i]) for i in range(len(r["x"]))]
+        assert r["meets"] == any(x["s"] < r["e"] and r["a"] < x["e"] for x in r["s"])
+        out, at = [], 0
+        for x in r["s"]:
+            out += [r["t"][at : x["s"]], "[K]"]
+            at = x["e"]
+        assert r["hidden"] == "".join(out) + r["t"][at:]
