@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import MAX_LEN
+from .vocab import GENERIC_DOMAINS, MAX_LEN
 
-# A URL is a scheme with what follows up to white space or a bracket, but for closing punctuation; or a bare host under a generic
-# domain or any of two letters (those of countries), with its path. Hosts beside an at sign belong to addresses and stay.
-GENERIC_DOMAINS = "com|net|org|edu|gov|mil|int|info|biz|name|pro|museum|aero|asia|cat|coop|jobs|mobi|post|tel|travel|xxx"
-_IN_URL = r"[^\s()<>{}\[\]]"
-_REST = _IN_URL + r"*[^\s`!()\[\]{};:'\",.<>?]"
+# A URL is a scheme with what follows, up to white space or a bracket and from there back to a letter, a digit or a sign that URLs end
+# with; or a bare host under a generic domain or any of two letters (those of countries), with its path. Hosts beside an at sign belong to addresses and stay.
+_REST = r"[^\s()<>{}\[\]]*[A-Za-z0-9/_=&#%~+-]"
 SCHEME_URL = rf"https?:/{{1,3}}{_REST}"
-HOST_URL = rf"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{GENERIC_DOMAINS}|[a-z]{{2}})\b(?:/(?:{_REST})?)?"
+HOST_URL = rf"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{'|'.join(GENERIC_DOMAINS)}|[a-z]{{2}})\b(?:/(?:{_REST})?)?"
 URL = rf"(?i)(?<![@a-z0-9.-])(?:{SCHEME_URL}|{HOST_URL}(?!@))"
 
 

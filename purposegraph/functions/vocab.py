@@ -63,3 +63,8 @@ def relations_sql(alias: str = "relations") -> str:
     """The same as a common table expression."""
     rows = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in RELATIONS)
     return f"{alias}(relation, template, pos_prefix, pair_prompt, single_prompt) AS (VALUES {rows})"
+
+#: The generic domains that a bare host may be under.
+GENERIC_DOMAINS = (
+    "com", "net", "org", "edu", "gov", "mil", "aero", "asia", "biz", "cat", "coop", "info", "int", "jobs", "mobi", "museum", "name", "post", "pro", "tel", "travel", "xxx",
+)
