@@ -20,6 +20,8 @@ from .common import new_path, parts_for
 BLOCK_CHARS = 6 << 20
 #: Input bytes for each part of the vocabulary, and for each bucket of blocks.
 PART_BYTES = 8 << 20
+#: Buckets of a stored table at most, far below what Spark allows (spark.sql.sources.bucketing.maxBuckets); beyond, a bucket holds more blocks.
+MOST_BUCKETS = 4096
 
 
 def squeezed(values) -> bytes:
@@ -102,7 +104,7 @@ def stored(blocks: DataFrame, buckets: int) -> DataFrame:
     spark = blocks.sparkSession
     path = new_path(spark)
     name = f"purposegraph_{path.rpartition('/')[2]}"
-    blocks.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    blocks.write.option("compression", "uncompressed").option("path", path).bucketBy(min(buckets, MOST_BUCKETS), "block").sortBy("block").saveAsTable(name)
     common._made.insert(len(common._made) - 1, ("table", name))
     return spark.table(name)
 
@@ -129,6 +131,6 @@ def answered(table: DataFrame, buckets: int, *answers: DataFrame, first: int = 0
     """
     out = table
     for i, a in enumerate(answers, first):
-        per_block = a.repartition(buckets, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias("x"))
+        per_block = a.repartition(min(buckets, MOST_BUCKETS), "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias("x"))
         out = out.join(per_block.select("block", F.col("x.blob").alias(f"a{i}")), "block", "left")
     return out

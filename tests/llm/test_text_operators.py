@@ -310,3 +310,20 @@ def test_spans_by_bisection_and_running_sums(spark):
             out += [r["t"][at : x["s"]], "[K]"]
             at = x["e"]
         assert r["hidden"] == "".join(out) + r["t"][at:]
+
+
+def test_more_parts_than_buckets(spark, docs, rows, monkeypatch):
+    """What is stored in few buckets comes out the same, as it does where Spark's own limit would be met."""
+    monkeypatch.setattr(blocks, "PART_BYTES", 50_000)
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(blocks, "MOST_BUCKETS", 8)
+    limit = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", 8)
+    try:
+        got = bpe_codec.encode(docs, BYTE, public_tokenizers.PATTERN, digest=True).collect()
+        scored = pitman_yor.score(docs.select("doc_id", "text")).count()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+    tokenizer = Tokenizer.from_file(BYTE)
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(e.ids) for e in tokenizer.encode_batch([t for _, t in rows], add_special_tokens=False))
+    assert scored == len(rows)
