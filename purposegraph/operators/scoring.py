@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import numbered
+
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -14,12 +16,13 @@ def relabel(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("prediction", F.when(F.col("score") >= threshold, "v").otherwise("i"))
 
 
-def with_label(assertions: DataFrame) -> DataFrame:
-    """label from majority_answer, else from quality; without either dummy ones, v and i in turn."""
+def with_label(assertions: DataFrame, order: list | None = None) -> DataFrame:
+    """label from majority_answer, else from quality; without either dummy ones, v and i in turn by the given order (by default all columns)."""
     for name in ("majority_answer", "quality"):
         if name in assertions.columns:
             return assertions.withColumnRenamed(name, "label")
-    return assertions.withColumn("label", F.when(F.monotonically_increasing_id() % 2 == 0, "v").otherwise("i"))
+    rows = numbered(assertions, order or [F.col(f"`{c}`") for c in assertions.columns], "__number")
+    return rows.withColumn("label", F.when(F.col("__number") % 2 == 0, "v").otherwise("i")).drop("__number")
 
 
 def _ratios(df: DataFrame) -> DataFrame:
@@ -40,20 +43,33 @@ def metrics(scored: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     return _ratios(one.select(F.explode(rows).alias("x")).select("x.*"))
 
 
-def pr_curve(scored: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, precision, recall) for each distinct score, counted from above.
+def score_range(scored: DataFrame, ranges: int):
+    """A function that adds cell, the range that a score falls into, counted from below: cuts are quantiles from a sketch, so ranges hold about as many rows each whatever
+    the scale of the scores; a score that many rows share is in one range."""
+    from pyspark.ml.feature import Bucketizer
+
+    found = scored.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    cuts = sorted({x for x in found if abs(x) < float("inf")})
+    return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="cell").transform if cuts else lambda df: df.withColumn("cell", F.lit(0.0))
+
+
+def pr_curve(scored: DataFrame, ranges: int = 1024) -> DataFrame:
+    """(threshold, tp, fp, precision, recall) for each distinct score, counted from above. Scores may be any doubles, infinite ones too.
 
     Scores are pre-aggregated to counts; running sums are taken within ranges of the score and added to the totals of
-    the ranges above, so no single task holds all scores.
+    the ranges above, so no single task holds all scores. Rows whose score is null or NaN are never retrieved: they
+    make no point, but their v count in the total that recall is of.
     """
     v = (F.col("label") == "v").cast("long")
-    counts = scored.groupBy("score").agg(F.sum(v).alias("pos"), F.sum(1 - v).alias("neg")).withColumn("cell", F.floor(F.col("score") * 1024))
+    rows = scored.withColumn("score", F.col("score").cast("double"))
+    known = rows.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    counts = score_range(known, ranges)(known.groupBy("score").agg(F.sum(v).alias("pos"), F.sum(1 - v).alias("neg")))
     cells = counts.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most 1,025 cells for scores in [0, 1]
-    total = Window.partitionBy()
-    cells = cells.select("cell", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.sum("p").over(total).alias("all_p"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    cells = cells.select("cell", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
+    total = rows.agg(F.coalesce(F.sum(v), F.lit(0)).alias("all_p"))
     own = Window.partitionBy("cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("tp", F.sum("pos").over(own)).withColumn("fp", F.sum("neg").over(own)).join(cells, "cell")
+    run = counts.withColumn("tp", F.sum("pos").over(own)).withColumn("fp", F.sum("neg").over(own)).join(cells, "cell").join(F.broadcast(total))  # one row
     tp, fp = F.col("tp") + F.col("p0"), F.col("fp") + F.col("n0")
     return run.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), (tp / (tp + fp)).alias("precision"), (tp / F.greatest(F.col("all_p"), F.lit(1))).alias("recall"))
 

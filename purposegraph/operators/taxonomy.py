@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
+from ..sources.shared import Scratch
+
 METHODS = ("likelihood", "pmi")
 
 
@@ -67,6 +70,32 @@ def chains(taxonomy: DataFrame, starts: DataFrame, length: int = 5) -> DataFrame
     return rows.select("instance", F.explode(F.concat(start, links)).alias("x")).select("instance", "x.depth", "x.concept")
 
 
+def long_chains(taxonomy: DataFrame, starts: DataFrame, length: int, cycles: bool = True) -> DataFrame:
+    """chains for any length: as many joins as the logarithm of the length.
+
+    Paths of 2 ** j likeliest concepts above every instance are made of two of 2 ** (j - 1), joined where the first ends, and
+    stored, so the plan doesn't double; it stops when no path is full any more. cycles=False ends a chain before the
+    first concept that it has already held.
+    """
+    scratch = Scratch(taxonomy.sparkSession)
+    paths, full = scratch.table(best_concept(taxonomy).select("instance", F.array("concept").alias("path"))), 1
+    while full < length and (full == 1 or paths.where(F.size("path") == full).limit(1).count()):
+        upper = paths.select(F.col("instance").alias("__end"), F.col("path").alias("__on"))
+        end = F.when(F.size("path") == full, F.element_at("path", -1))  # null where a path has ended: no partner
+        joined = paths.withColumn("__at", end).join(upper, F.col("__at") == F.col("__end"), "left")
+        paths, full = scratch.table(joined.select("instance", F.concat("path", F.coalesce("__on", F.array().cast("array<string>"))).alias("path"))), 2 * full
+    scratch.close(keep=1)
+    concepts = taxonomy.select(F.col("concept").alias("c0")).distinct()
+    rows = starts.select("instance").distinct().join(concepts, F.col("instance") == F.col("c0"), "left").join(paths, "instance", "left").where("c0 IS NOT NULL OR path IS NOT NULL")
+    above = F.slice(F.coalesce("path", F.array().cast("array<string>")), 1, F.when(F.col("c0").isNotNull(), length - 1).otherwise(length))
+    chain = F.concat(F.array("instance"), above)
+    if not cycles:
+        again = lambda c: F.exists(F.transform(c, lambda x, i: F.array_position(c, x) <= i), lambda x: x)
+        first = lambda c: F.array_position(F.transform(c, lambda x, i: F.array_position(c, x) <= i), F.lit(True))
+        chain = tx.let(chain, lambda c: F.when(again(c), F.slice(c, 1, F.greatest(first(c).cast("int") - 1, F.lit(0)))).otherwise(c))
+    return rows.select("instance", F.posexplode(chain).alias("depth", "concept"))
+
+
 def sizes(taxonomy: DataFrame) -> DataFrame:
     """(concepts, instances): numbers of distinct ones."""
     return taxonomy.agg(F.countDistinct("concept").alias("concepts"), F.countDistinct("instance").alias("instances"))

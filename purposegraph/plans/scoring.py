@@ -31,6 +31,20 @@ def precision_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scoring.precision_at_recall(scoring.pr_curve(scored(spark, sf_dir)), scoring.THRESHOLDS), "precision", "recall")
 
 
+def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores without bounds, as margins or logits are."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select("doc_id", F.when(F.col("quality") == 1, "v").otherwise("i").alias("label"), ((F.col("n_chars") - 700) / 8.0).alias("score"))
+
+
+def pr_curve_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.pr_curve(_margins(spark, sf_dir), 64), "precision", "recall")
+
+
+def precision_at_recall_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.precision_at_recall(scoring.pr_curve(_margins(spark, sf_dir), 64), scoring.THRESHOLDS), "precision", "recall")
+
+
 def score_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("y", (F.col("label") == "v").cast("double"))
     return _rounded(scoring.mean_squared_error(rows, "score", "y"), "mse")
@@ -139,6 +153,22 @@ def conceptualized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(concepts.conceptualize(events, lower, 2), "score")
 
 
+def concept_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' parts of three following lines as events of three nouns, whose nine best replacements are shown as one text."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    named = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy("l_orderkey", "l_linenumber").agg(F.min(F.lower("p_name")).alias("w"))
+    at = lambda k: named.select("l_orderkey", (F.col("l_linenumber") - k).alias("l_linenumber"), F.col("w").alias(f"w{k}"))
+    rows = at(0).join(at(1), ["l_orderkey", "l_linenumber"]).join(at(2), ["l_orderkey", "l_linenumber"])
+    words, o = F.array(F.lit("buy"), "w0", "w1", "w2"), F.array(*[F.lit("O")] * 4)
+    tags = F.array(F.lit("VB"), *[F.lit("NN")] * 3)
+    eid = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    events = rows.select(eid.alias("eid"), words.alias("words"), o.alias("ners"), tags.alias("pos_tags"), words.alias("phrases"), o.alias("phrase_ners"), tags.alias("phrase_tags"))
+    lower = part_taxonomy(spark, sf_dir).withColumn("instance", F.lower("instance"))
+    best = concepts.conceptualize(events, lower, 2, limit=9)
+    ranked = F.sort_array(F.collect_list(F.struct(F.col("score").alias("s"), F.col("concept").alias("c"))), asc=False)
+    return best.groupBy("eid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.md5(F.array_join(F.transform(ranked, lambda x: x["c"]), "|")).alias("concepts"))
+
+
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = features.text_vectors(table(spark, sf_dir, "part"), "p_name", 16)
     return vec.select("key", F.posexplode("features").alias("place", "value")).select("key", "place", F.round("value", 6).alias("value"))
@@ -165,20 +195,27 @@ def rating_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        conceptualized, text_features, trained_translation, rating_network, threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
+        conceptualized, concept_combinations, pr_curve_margins, precision_at_recall_margins, text_features, trained_translation, rating_network, threshold_relabel, threshold_metrics, pr_curve, precision_at_recall, score_mse, concept_scores, concept_mode_pattern, concept_pair_ids, word_concepts, seed_rule_index, item_text_mean,
         softmax_scores, transe_margin, rating_vocab, rating_encoded, rating_features_default, rmse_nonzero, best_test_at_min_valid, mean_std, kg_threshold_filter, kg_triples,
     )
 }
-_CURVE = f"""{SCORED_SQL},
+_RUNNING = """,
     counts AS (SELECT score, sum((label = 'v')::INT) AS pos, sum((label = 'i')::INT) AS neg FROM scored GROUP BY score),
     curve AS (SELECT score AS threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, sum(pos) OVER w / (sum(pos) OVER w + sum(neg) OVER w) AS p,
         sum(pos) OVER w / (SELECT greatest(sum(pos), 1) FROM counts) AS r FROM counts WINDOW w AS (ORDER BY score DESC))"""
+_CURVE = SCORED_SQL + _RUNNING
+_MARGINS = "scored AS (SELECT CASE WHEN quality = 1 THEN 'v' ELSE 'i' END AS label, (n_chars - 700) / 8.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))" + _RUNNING
 _PAIRS = "pairs AS (SELECT sha1(p_type) AS cid, p_type AS concept, sha1(p_name) AS eid, p_brand AS pattern, p_size / 50.0::DOUBLE AS score FROM part)"
 _VOCAB = "vocab AS (SELECT item, row_number() OVER (ORDER BY substr(md5(CAST(item AS VARCHAR)), 1, 3), item) AS idx FROM (SELECT DISTINCT item FROM {0}))"
 _HISTORY = """history AS (SELECT CAST(l_orderkey % 5 AS INT) AS run, l_orderkey * 10 + l_linenumber AS step, l_quantity AS valid, l_discount AS test FROM lineitem),
     best AS (SELECT run, step, valid, test FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY valid, step, test) AS k FROM history) WHERE k = 1)"""
 _E = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 _DIST = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: abs({0}[i] + {1}[i] - {2}[i])))"
+_POINTS = "WITH {curve} SELECT threshold, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall FROM curve"
+_AT_RECALL = """
+        WITH {curve}, t(target) AS (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)),
+        k AS (SELECT target, threshold, p, r, row_number() OVER (PARTITION BY target ORDER BY threshold) AS n FROM curve JOIN t ON r <= target)
+        SELECT target, threshold, round(p, 6) AS precision, round(r, 6) AS recall FROM k WHERE n = 1"""
 ORACLES = {
     "text_features": """
         WITH keys AS (SELECT DISTINCT p_name AS key FROM part), w AS (SELECT key, unnest(string_split(lower(key), ' ')) AS w FROM keys),
@@ -192,11 +229,24 @@ ORACLES = {
             count(*) FILTER (label = 'v' AND score < threshold) AS fn, count(*) FILTER (label = 'i' AND score < threshold) AS tn FROM scored CROSS JOIN t GROUP BY threshold),
         r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM c)
         SELECT threshold, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM r""",
-    "pr_curve": f"WITH {_CURVE} SELECT threshold, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall FROM curve",
-    "precision_at_recall": f"""
-        WITH {_CURVE}, t(target) AS (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)),
-        k AS (SELECT target, threshold, p, r, row_number() OVER (PARTITION BY target ORDER BY threshold) AS n FROM curve JOIN t ON r <= target)
-        SELECT target, threshold, round(p, 6) AS precision, round(r, 6) AS recall FROM k WHERE n = 1""",
+    "pr_curve": _POINTS.format(curve=_CURVE),
+    "pr_curve_margins": _POINTS.format(curve=_MARGINS),
+    "precision_at_recall": _AT_RECALL.format(curve=_CURVE),
+    "precision_at_recall_margins": _AT_RECALL.format(curve=_MARGINS),
+    "concept_combinations": """
+        WITH t AS (SELECT p_type AS concept, lower(p_name) AS instance, count(*) AS freq FROM part GROUP BY 1, 2),
+        s AS (SELECT instance, replace(concept, ' ', '-') AS concept, freq / sum(freq) OVER (PARTITION BY instance) AS score FROM t),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY score DESC, concept) AS r FROM s) WHERE r <= 2),
+        o AS (SELECT instance, concept, score, false AS kept FROM b UNION ALL SELECT DISTINCT instance, instance, 1.0, true FROM b),
+        named AS (SELECT l_orderkey AS k, l_linenumber AS n, min(lower(p_name)) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+        e AS (SELECT x.k || '-' || x.n AS eid, x.w AS x, y.w AS y, z.w AS z FROM named x JOIN named y ON y.k = x.k AND y.n = x.n + 1 JOIN named z ON z.k = x.k AND z.n = x.n + 2),
+        ways AS (
+            SELECT eid, a.score * CASE WHEN y = x THEN 1 ELSE b.score END * CASE WHEN z IN (x, y) THEN 1 ELSE c.score END AS s, ['buy', a.concept, b.concept, c.concept] AS w
+            FROM e JOIN o a ON a.instance = x JOIN o b ON b.instance = y AND (y <> x OR b.concept = a.concept AND b.kept = a.kept)
+            JOIN o c ON c.instance = z AND (z <> x OR c.concept = a.concept AND c.kept = a.kept) AND (z <> y OR c.concept = b.concept AND c.kept = b.kept)
+            WHERE NOT (a.kept AND b.kept AND c.kept)),
+        best AS (SELECT eid, s, array_to_string(w, ' ') AS c FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY s DESC, w DESC) AS r FROM ways) WHERE r <= 9)
+        SELECT eid, count(*) AS n, round(sum(s), 6) AS score, md5(string_agg(c, '|' ORDER BY s DESC, c DESC)) AS concepts FROM best GROUP BY eid""",
     "score_mse": f"WITH {SCORED_SQL} SELECT round(avg(pow(score - (label = 'v')::INT, 2)), 6) AS mse FROM scored",
     "concept_scores": f"WITH {_PAIRS} SELECT cid, concept, round(sum(score * 2.0), 6) AS score, count(*) AS instances FROM (SELECT DISTINCT * FROM pairs) GROUP BY cid, concept",
     "conceptualized": """

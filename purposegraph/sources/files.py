@@ -153,3 +153,33 @@ def pattern_text(patterns: list[Pattern]) -> str:
 
 def write_patterns(spark: SparkSession, patterns: list[Pattern], path: str) -> None:
     spark.createDataFrame([(pattern_text(patterns).rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+
+
+PATTERN_ROWS = "labels array<string>, edges array<struct<u:int,label:string,v:int>>, freq long"
+
+
+def pattern_table(spark: SparkSession, path: str, fuzzy: bool = False) -> DataFrame:
+    """(labels, edges, freq) of pattern files as rows, for libraries that the driver should not hold: files are split at record marks,
+    large ones among many tasks, and records are read by column functions. The rules are those of parse_patterns; empty files and
+    records without a vertex give no row."""
+    records = spark.read.option("lineSep", "\nt #").text(path)
+    lines = F.transform(F.split(F.regexp_replace("value", r"^t #", ""), "\n"), lambda x: F.split(F.trim(x), " "))
+    rows = records.select(lines.alias("lines")).select(F.expr("TRY_CAST(lines[0][0] AS LONG)").alias("freq"), "lines")
+    of_kind = lambda kind: F.filter("lines", lambda x: (F.get(x, F.lit(0)) == kind) & (F.size(x) > 2))
+    short = lambda x: F.when(x.startswith("NN"), "NN").when(x.startswith("RB"), "RB").when(x.startswith("JJ"), "JJ").otherwise(x)
+    vertices = F.array_sort(F.transform(of_kind("v"), lambda x: F.struct(x[1].cast("int").alias("i"), x[2].alias("label"))))
+    arcs = F.transform(of_kind("e"), lambda x: F.struct(x[1].cast("int").alias("u"), F.substring_index(x[3], ":", 1).alias("label"), x[2].cast("int").alias("v")))
+    stay = F.filter(vertices, lambda x: ~x["label"].isin(*PUNCTUATION))
+    rows = rows.select("freq", F.transform(stay, lambda x: x["i"]).alias("ids"), F.transform(stay, lambda x: short(x["label"]) if fuzzy else x["label"]).alias("labels"), arcs.alias("arcs"))
+    at = lambda x: (F.array_position("ids", x) - 1).cast("int")
+    kept = F.filter("arcs", lambda e: F.array_contains("ids", e["u"]) & F.array_contains("ids", e["v"]))
+    edges = F.transform(kept, lambda e: F.struct(at(e["u"]).alias("u"), e["label"].alias("label"), at(e["v"]).alias("v")))
+    return rows.where(F.size("labels") > 0).select("labels", edges.cast("array<struct<u:int,label:string,v:int>>").alias("edges"), "freq")
+
+
+def write_pattern_table(patterns: DataFrame, path: str) -> None:
+    """The text form of (labels, edges, freq), sorted by falling frequency over all files in the order of their names."""
+    vertices = F.transform("labels", lambda x, i: F.concat_ws(" ", F.lit("v"), i, x))
+    arcs = F.transform("edges", lambda e: F.concat_ws(" ", F.lit("e"), e["u"], e["v"], e["label"]))
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("t # "), F.col("freq").cast("string"))), vertices, arcs), "\n")
+    patterns.orderBy(F.desc("freq"), "labels", "edges").select(text.alias("value")).write.text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import concepts, parsing
+from ..sources.key_cache import KeyCache
 
 
 def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,3 +29,16 @@ def seeded(events: DataFrame) -> DataFrame:
 def conceptualized(events: DataFrame, write, taxonomy: DataFrame, k: int = 3):
     """A query that conceptualizes each micro-batch against the static taxonomy and hands the result to write(df, batch id)."""
     return events.writeStream.foreachBatch(lambda batch, i: write(concepts.conceptualize(batch, taxonomy, k), i))
+
+
+def once_ever(prompts: DataFrame, cache: KeyCache, write):
+    """A stream of prompts of which each key is answered once for all time, across restarts: write(df, batch id) gets each micro-batch's first
+    rows of keys that no earlier batch has cached, and their keys are cached after it. A batch that is repeated gives the same rows; write
+    should be idempotent by batch id. Unlike once_per_key, nothing is kept in state."""
+
+    def step(batch: DataFrame, i: int) -> None:
+        new = cache.missing(batch.dropDuplicates(["key"]), i)
+        write(new, i)
+        cache.add(new, i)
+
+    return prompts.writeStream.foreachBatch(step)
