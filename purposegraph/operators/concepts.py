@@ -99,7 +99,7 @@ def conceptualize(events: DataFrame, taxonomy: DataFrame, k: int = 3, start: int
     rows = events.select("eid", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in texts])
     asked = rows.select("eid", F.explode(F.array_distinct(F.concat("words", "phrases"))).alias("instance"))
     known = asked.join(lists, "instance").groupBy("eid").agg(F.map_from_entries(F.collect_list(F.struct("instance", "cs"))).alias("known"))
-    most = (1 << 31) - 1
+    most = 1 << 30
 
     def named(words: str, ners: str) -> Column:
         tail = seeded(F.slice(words, start + 1, most), F.slice(ners, start + 1, most))

@@ -48,7 +48,7 @@ def score_range(scored: DataFrame, ranges: int):
     the scale of the scores; a score that many rows share is in one range."""
     from pyspark.ml.feature import Bucketizer
 
-    found = scored.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    found = scored.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     cuts = sorted({x for x in found if abs(x) < float("inf")})
     return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="cell").transform if cuts else lambda df: df.withColumn("cell", F.lit(0.0))
 
