@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import parts_for as parts_for
+
 #: Lower-cases A-Z only, on UTF-8 bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words as the contracts define them, for Java's regular expressions.
@@ -65,17 +67,6 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
     del _made[since:]
 
 
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """How many parts of about bytes_each the input makes, by Catalyst's size estimate (for file scans the files' bytes).
-
-    Where Spark has no estimate, the session's number of shuffle partitions. Sizes tasks only.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 50:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-size // bytes_each))
-
-
 def spare(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -456,3 +456,36 @@ def test_metrics_and_concepts_go_to_files(spark, tmp_path):
     files.conceptualize_file(spark, f"{tmp_path}/events", f"{tmp_path}/concepts", taxonomy)
     straight = concepts.conceptualize(events, taxonomy)
     assert sorted(map(tuple, spark.read.schema(straight.schema).json(f"{tmp_path}/concepts").collect())) == sorted(map(tuple, straight.collect())) != []
+
+
+def test_prompts_meet_the_cache_as_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2, "x", "y"), (1, 3, "x", "z"), (2, 3, "y", "z")], "item_a long, item_b long, title_a string, title_b string")
+    rel = vocab.relations(spark)
+    prompts = generation.pair_prompts(pairs, rel)
+    cache = prompts.where("rel = 'isA' OR asin_b = '3' AND asin_a = '2' OR rel = 'can' AND asin_a = '1' AND asin_b = '3'")
+    got = generation.missing_prompts(pairs, rel, cache)
+    assert sorted(got.collect()) == sorted(generation.not_cached(prompts, cache).select(got.columns).collect())
+    assert got.count() == 20 + 19
+
+
+def test_cached_prompts_are_not_shuffled(spark, sf):
+    from purposegraph.plans import generation as plans
+
+    assert "hashpartitioning(key" not in plans.prompt_anti_cache(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_in_tasks_that_follow_the_input(spark, sf, monkeypatch):
+    from purposegraph.plans import tables
+
+    want = tables.pairs(spark, sf).collect()
+    monkeypatch.setattr(generation, "PART_BYTES", 4 << 10)
+    got = tables.pairs(spark, sf)
+    assert got.rdd.getNumPartitions() > 8  # the session has 4 shuffle partitions
+    assert sorted(got.collect()) == sorted(want)
+
+
+def test_pairs_of_wanted_items(spark):
+    lines = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 9), (3, 1), (None, 1), (None, 2), (4, None), (4, 1)], "basket int, item int")
+    wanted = spark.createDataFrame([(1, True), (2, False), (3, None), (3, False), (4, False), (4, True)], "asin int, wanted boolean")  # 9 is unknown, 4 has two rows
+    assert sorted(map(tuple, generation.pairs(lines, wanted).collect())) == [(1, 2), (1, 3), (3, 4)]
+    assert sorted(map(tuple, generation.pairs(lines).collect())) == [(1, 2), (1, 3), (1, 9), (2, 3), (3, 4)]
