@@ -489,3 +489,22 @@ def test_pairs_of_wanted_items(spark):
     wanted = spark.createDataFrame([(1, True), (2, False), (3, None), (3, False), (4, False), (4, True)], "asin int, wanted boolean")  # 9 is unknown, 4 has two rows
     assert sorted(map(tuple, generation.pairs(lines, wanted).collect())) == [(1, 2), (1, 3), (3, 4)]
     assert sorted(map(tuple, generation.pairs(lines).collect())) == [(1, 2), (1, 3), (1, 9), (2, 3), (3, 4)]
+
+
+def test_models_carry_what_batches_touched():
+    shape = networks.Shape(10_000, 10_000, 8, 0, (4,), True)
+    net, draw = networks.Network(shape, seed=3), np.random.default_rng(0)
+    whole = {k: (v.copy(), np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    for step in range(1, 4):
+        users, items, ratings = draw.integers(0, 50, 16), draw.integers(9_000, 9_040, 16), draw.standard_normal(16)
+        g = net.gradients(users, items, ratings)[1]
+        net.step(users, items, ratings)
+        for k, (v, m, s) in whole.items():  # Adam over all rows
+            m += 0.1 * (g[k] - m)
+            s += 0.001 * (g[k] * g[k] - s)
+            v -= net.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    assert all(np.array_equal(net.p[k], whole[k][0]) for k in whole)
+    data = net.packed()
+    assert len(data) < 20_000
+    again = networks.Network(shape, seed=3).load(data)
+    assert all(np.array_equal(again.p[k], net.p[k]) for k in net.p)
