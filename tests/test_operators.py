@@ -508,3 +508,13 @@ def test_models_carry_what_batches_touched():
     assert len(data) < 20_000
     again = networks.Network(shape, seed=3).load(data)
     assert all(np.array_equal(again.p[k], net.p[k]) for k in net.p)
+
+
+def test_translation_normalises_what_has_changed():
+    model, sizes = features.Translation(5_000, 2, 4), []
+    whole = model.renormalise
+    model.renormalise = lambda rows=slice(None): sizes.append(len(model.e[rows])) or whole(rows)
+    draw = np.random.default_rng(0)
+    for _ in range(3):
+        model.step(draw.integers(0, 5_000, 8), draw.integers(0, 2, 8), draw.integers(0, 5_000, 8))
+    assert sizes[0] == 5_000 and max(sizes[1:]) <= 32
