@@ -518,3 +518,25 @@ def test_translation_normalises_what_has_changed():
     for _ in range(3):
         model.step(draw.integers(0, 5_000, 8), draw.integers(0, 2, 8), draw.integers(0, 5_000, 8))
     assert sizes[0] == 5_000 and max(sizes[1:]) <= 32
+
+
+def test_sentences_take_calls_by_batch_not_by_word(spark, sf, monkeypatch):
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    held = []
+    monkeypatch.setattr(Classic, "mapInArrow", lambda self, f, schema: held.append(f))
+    sentences(spark, sf)
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+    def calls(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([" ".join(map(word, range(n)))])], names=["sid", "s"])
+        with cProfile.Profile() as p:
+            out = list(held[0](iter([batch])))
+        assert out[0].column(1).to_pylist() == [[word(i) for i in range(n)]]
+        return pstats.Stats(p).total_calls
+
+    assert calls(4_000) < calls(1_000) + 100
