@@ -73,21 +73,29 @@ def chains(taxonomy: DataFrame, starts: DataFrame, length: int = 5) -> DataFrame
 def long_chains(taxonomy: DataFrame, starts: DataFrame, length: int, cycles: bool = True) -> DataFrame:
     """chains for any length: as many joins as the logarithm of the length.
 
-    Paths of 2 ** j likeliest concepts above every instance are made of two of 2 ** (j - 1), joined where the first ends, and
-    stored, so the plan doesn't double; it stops when no path is full any more. cycles=False ends a chain before the
-    first concept that it has already held.
+    Paths of 2 ** j likeliest concepts are made of two of 2 ** (j - 1), joined where the first ends, and stored, so the plan
+    doesn't double; it stops when no path is full any more. Only what is some instance's likeliest concept has a stored path;
+    an instance's chain is that of its concept, one longer. cycles=False ends a chain before the first concept that it has
+    already held.
     """
     scratch = Scratch(taxonomy.sparkSession)
-    paths, full = scratch.table(best_concept(taxonomy).select("instance", F.array("concept").alias("path"))), 1
-    while full < length and (full == 1 or paths.where(F.size("path") == full).limit(1).count()):
+    best = scratch.table(best_concept(taxonomy))
+    inner = best.select(F.col("concept").alias("instance")).distinct()
+    # joins of stored paths are merges: repeated strings make small files, whose size would have Spark send them to the driver
+    paths, full = scratch.table(best.join(inner.hint("merge"), "instance").select("instance", F.array("concept").alias("path"))), 1
+    while full < length - 1 and (full == 1 or paths.where(F.size("path") == full).limit(1).count()):
         upper = paths.select(F.col("instance").alias("__end"), F.col("path").alias("__on"))
         end = F.when(F.size("path") == full, F.element_at("path", -1))  # null where a path has ended: no partner
-        joined = paths.withColumn("__at", end).join(upper, F.col("__at") == F.col("__end"), "left")
+        joined = paths.withColumn("__at", end).join(upper.hint("merge"), F.col("__at") == F.col("__end"), "left")
         paths, full = scratch.table(joined.select("instance", F.concat("path", F.coalesce("__on", F.array().cast("array<string>"))).alias("path"))), 2 * full
-    scratch.close(keep=1)
+    scratch.drop(*scratch.paths[1:-1])
     concepts = taxonomy.select(F.col("concept").alias("c0")).distinct()
-    rows = starts.select("instance").distinct().join(concepts, F.col("instance") == F.col("c0"), "left").join(paths, "instance", "left").where("c0 IS NOT NULL OR path IS NOT NULL")
-    above = F.slice(F.coalesce("path", F.array().cast("array<string>")), 1, F.when(F.col("c0").isNotNull(), length - 1).otherwise(length))
+    above_ = paths.select(F.col("instance").alias("__first"), F.col("path").alias("__on"))
+    rows = starts.select("instance").distinct().join(concepts, F.col("instance") == F.col("c0"), "left").join(best.hint("merge"), "instance", "left").where("c0 IS NOT NULL OR concept IS NOT NULL")
+    rows = rows.join(above_.hint("merge"), F.col("concept") == F.col("__first"), "left")
+    none = F.array().cast("array<string>")
+    whole = F.when(F.col("concept").isNotNull(), F.concat(F.array("concept"), F.coalesce("__on", none))).otherwise(none)
+    above = F.slice(whole, 1, F.when(F.col("c0").isNotNull(), length - 1).otherwise(length))
     chain = F.concat(F.array("instance"), above)
     if not cycles:
         again = lambda c: F.exists(F.transform(c, lambda x, i: F.array_position(c, x) <= i), lambda x: x)

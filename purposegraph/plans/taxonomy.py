@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy as ops
+from ..sources.shared import Scratch
 from .tables import TAXONOMY_SQL, TWO_LEVEL_SQL, part_taxonomy, table, two_level_taxonomy
 
 
@@ -34,7 +35,7 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as concepts of the parts they deliver and parts as concepts of their suppliers, by quantity: chains in it go on until they turn in a circle."""
     line = table(spark, sf_dir, "lineitem")
     part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    sums = line.groupBy(part.alias("p"), supplier.alias("s")).agg(F.sum("l_quantity").cast("long").alias("freq"))
+    sums = Scratch(spark).table(line.groupBy(part.alias("p"), supplier.alias("s")).agg(F.sum("l_quantity").cast("long").alias("freq")))  # read six times
     return sums.select(F.col("s").alias("concept"), F.col("p").alias("instance"), "freq").unionByName(sums.select(F.col("p").alias("concept"), F.col("s").alias("instance"), "freq"))
 
 

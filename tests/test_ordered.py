@@ -243,3 +243,26 @@ def test_pattern_tables_follow_the_text_form(spark, tmp_path):
     again = files.pattern_table(spark, str(tmp_path / "out"))
     assert sorted(map(str, again.collect())) == sorted(map(str, table.collect()))
     assert files.read_patterns(spark, str(tmp_path / "out"))[0] == Pattern(("NNS", "VB"), ((1, "nsubj", 0),), 12)
+
+
+def test_stored_paths_are_few_and_never_broadcast(spark, monkeypatch):
+    from purposegraph.sources.shared import Scratch
+
+    made = []
+    monkeypatch.setattr(Scratch, "table", lambda self, df, f=Scratch.table: made.append((f(self, df), df)) or made[-1][0])
+    edges = [(f"s{i % 3}", f"p{i}", 5) for i in range(60)] + [(f"p{i}", f"s{i}", 5) for i in range(3)]
+    t = spark.createDataFrame(edges, "concept string, instance string, freq int")
+    starts = t.select("instance").distinct()
+    got = taxonomy.long_chains(t, starts, 20)
+    stored = [df for df, _ in made if "path" in df.columns]
+    assert stored and stored[-1].count() == 6  # three concepts of parts, three parts of concepts; 63 instances
+    plans = [df._jdf.queryExecution().executedPlan().toString() for _, df in made if "path" in df.columns]
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    next_ = {i: c for c, i, _ in edges}
+    want = []
+    for x in next_:
+        at = x
+        for depth in range(20 if x in next_.values() else 21):
+            want.append((x, depth, at))
+            at = next_[at]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
