@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import let
 from ..functions.vocab import OPTIONAL_POS_TAGS
 from .matching import Pattern, ordered, separators, within_clause
+from .parsing import Annotated
 from .pattern_index import containment, matched
 
 DEPS = "array<struct<gov:int,rel:string,dep:int>>"
@@ -129,10 +130,13 @@ def segments(n: Column, deps: Column) -> Column:
 
 
 def with_words(found: DataFrame, matches: Column) -> DataFrame:
-    """A row (sid, place, m) for each match; m has the tags, lemmas, entity types and mentions of its places."""
+    """A row (sid, place, m) for each match; m has the tags, lemmas, entity types and mentions of its places. Matches that come with their tokens have these as lemmas, and neither entities nor mentions."""
     at = lambda m, c: F.transform(m["places"], lambda i: F.get(F.col(c), i))
     said = lambda m: F.filter("mentions", lambda x: F.array_contains(m["places"], x["start"]) & F.array_contains(m["places"], x["end"] - 1))
     kept = ("pattern_id", "mapping", "labels", "places", "inside", "near")
+    if "pos_tags" not in found.columns:
+        bare = F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in kept], m["tags"].alias("tags"), m["tokens"].alias("lemmas"), F.transform(m["tags"], lambda t: F.lit("O")).alias("ners"), F.array().cast(MENTIONS).alias("mentions")))
+        return found.select("sid", F.posexplode(bare).alias("place", "m"))
     full = F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in kept], at(m, "pos_tags").alias("tags"), at(m, "lemmas").alias("lemmas"), at(m, "ners").alias("ners"), said(m).alias("mentions")))
     return found.select("sid", F.posexplode(full).alias("place", "m"))
 
@@ -252,14 +256,17 @@ def below(children: dict[int, list[int]], pattern: Column) -> Column:
     return F.coalesce(F.get(F.array(F.element_at(lookup, pattern)), 0), ints())
 
 
-def extract(sentences: DataFrame, patterns: list[Pattern], skip_words: tuple[str, ...] = (), transitive: bool = False) -> DataFrame:
+def extract(sentences: DataFrame | Annotated, patterns: list[Pattern], skip_words: tuple[str, ...] = (), transitive: bool = False) -> DataFrame:
     """sid and a row for each event of every sentence; sentences with a skip word, or without dependencies, have none.
 
     Patterns are taken in order, the largest first; one that matches rules out its children. Matching is one map, all
-    that follows are columns, and one shuffle by sentence drops the events that lie in others.
+    that follows are columns, and one shuffle by sentence drops the events that lie in others. Annotated texts are matched as
+    they are parsed; their tokens are the lemmas.
     """
     known = ordered(patterns)
-    found = matched(ready(sentences, skip_words), known)
+    if isinstance(sentences, Annotated) and skip_words:
+        sentences = sentences.rows().withColumn("lemmas", F.col("tokens"))
+    found = matched(sentences if isinstance(sentences, Annotated) else ready(sentences, skip_words), known)
     children = descent(sentences, known)
     matches = F.col("matches")
     if children:
