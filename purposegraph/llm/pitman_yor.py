@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class Settings:
     """strength of all restaurants; rounds of sampling (children given the parent, then the parent given the children), the first `burn` of which aren't averaged."""
 
     strength: float = 1.0
-    rounds: int = 2
+    rounds: int = 3
     burn: int = 0
 
 
@@ -164,16 +165,24 @@ class Block:
         self.sizes = expanded(self.sizes)
         self.words = expanded(number).astype(np.int32)[expanded(flat)]
         self.hashes = unrising(expanded(hashes))
-        end = int(np.flatnonzero(self.hashes == np.uint64(xxhash.xxh3_64_intdigest(END)))[0])
-        keys = np.full(len(self.words), end, dtype=np.int64)
-        keys[1:] = self.words[:-1]
-        keys, pair = np.unique(keys * len(self.hashes) + self.words, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.first, self.second = (x.astype(np.int32) for x in np.divmod(keys, max(1, len(self.hashes))))
-        del keys, pair
+        self.end = int(np.flatnonzero(self.hashes == np.uint64(xxhash.xxh3_64_intdigest(END)))[0])
+        self.pairs = np.sort(self.neighbours())
+        self.pairs = self.pairs[np.diff(self.pairs, prepend=-1) > 0]
+        self.first, self.second = (x.astype(np.int32) for x in np.divmod(self.pairs, max(1, len(self.hashes))))
         self.keys = mixed(self.hashes[self.first] * MULTIPLIERS[0] + mixed(self.hashes[self.second]))
         self.order = np.argsort(self.keys).astype(np.int32)  # of requests and of answers
 
+    def neighbours(self) -> np.ndarray:
+        """Each word with the one before it as one number."""
+        keys = np.full(len(self.words), self.end, dtype=np.int64)
+        keys[1:] = self.words[:-1]
+        return keys * len(self.hashes) + self.words
+
+    @cached_property
+    def pair(self) -> np.ndarray:
+        """The place of each word's pair. Rounds need pairs alone, so this is looked up only where texts are counted or scored."""
+        return np.searchsorted(self.pairs, self.neighbours()).astype(np.int32)
+
     def trained(self) -> np.ndarray:
         """Training occurrences of each pair in the block."""
         return np.bincount(self.pair[~np.repeat(self.held, self.sizes)], minlength=len(self.first))
