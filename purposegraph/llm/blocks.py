@@ -29,14 +29,20 @@ def squeezed(values) -> bytes:
     a = np.ascontiguousarray(values)
     top = int(a.max()) if len(a) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    numbers = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    planes = np.empty((width, len(a)), dtype=np.uint8)
+    for i in range(width):  # some times faster than a transposed copy
+        planes[i] = numbers[:, i]
     return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def expanded(data: bytes) -> np.ndarray:
     width = data[0]
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.uint64 if width == 8 else np.int64)
+    numbers = np.empty((planes.shape[1], width), dtype=np.uint8)
+    for i in range(width):
+        numbers[:, i] = planes[i]
+    return numbers.reshape(-1).view(f"<u{width}").astype(np.uint64 if width == 8 else np.int64, copy=False)
 
 
 def packed(items: list[bytes]) -> bytes:
@@ -74,6 +80,17 @@ def ranked(flat: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[flat]
 
 
+def sorting(keys: np.ndarray) -> np.ndarray:
+    """np.argsort(keys, kind="stable") of 64-bit numbers from 0 on: a sort of numbers that have as much of a key as there is room for, and below it its place.
+    Sorts take a third of the time of argsorts; where keys are told apart by their lowest bits alone, it is an argsort."""
+    keys = keys.astype(np.uint64, copy=False)
+    room = np.uint64(64 - int(keys.max()).bit_length() if len(keys) else 0)
+    below = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort(((keys << room) & ~below) | np.arange(len(keys), dtype=np.uint64)) & below).view(np.int64)
+    got = keys[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(keys, kind="stable")
+
+
 def grouped(parts: np.ndarray):
     """(part, places of its items) for each part, in order of parts; with np.argsort(parts, kind="stable") as the joint order."""
     order = np.argsort(parts, kind="stable")

@@ -13,6 +13,7 @@ words, contexts come with their exact sums, so no score depends on how documents
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 from functools import cached_property
@@ -24,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, collected, exchanged, expanded, fields, grouped, parts_of, ranked, squeezed, stored, unfields
-from .bpe import coded, sums
+from .blocks import answered, collected, exchanged, expanded, fields, grouped, parts_of, ranked, sorting, squeezed, stored, unfields
+from .bpe import sums
 from .common import LOWER, named, stash, trim
 from .minhash import MULTIPLIERS, mixed
 
@@ -67,7 +68,7 @@ def window(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def drawn(c: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Numbers of tables for c > 1, by inversion at u. Summed row by row, so that a draw depends on its own dish alone."""
+    """Numbers of tables for c > 1, by inversion at u. A dish is a column, summed on its own, so that a draw depends on its own dish alone."""
     first, last = np.ones(len(c)), c.copy()
     wide = np.flatnonzero(c > 32)
     if len(wide):
@@ -78,20 +79,20 @@ def drawn(c: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndar
     order = np.argsort(n, kind="stable")
     for mine in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
         k = int(n[mine[0]])
-        for rows in np.array_split(mine, -(-len(mine) * k // (1 << 18))):
-            t = first[rows, None] + np.arange(k - 1)
+        for rows in np.array_split(mine, -(-len(mine) * k // (1 << 15))):
+            t = first[rows] + np.arange(k - 1)[:, None]
             with np.errstate(divide="ignore", invalid="ignore"):
-                more = odds(t, c[rows, None], a[rows, None], b[rows, None])
-                more[t >= last[rows, None]] = 0
-                weight = np.ones((len(rows), k))
+                more = odds(t, c[rows], a[rows], b[rows])
+                more[t >= last[rows]] = 0
+                weight = np.ones((k, len(rows)))
                 if k <= 16:
-                    np.cumprod(more, axis=1, out=weight[:, 1:])
+                    np.cumprod(more, axis=0, out=weight[1:])
                 else:
-                    weight[:, 0] = 0
-                    np.cumsum(np.log(more), axis=1, out=weight[:, 1:])
-                    weight = np.exp(weight - weight.max(axis=1, keepdims=True))
-            weight = np.cumsum(weight, axis=1)
-            out[rows] = first[rows] + (weight <= u[rows, None] * weight[:, -1:]).sum(axis=1)
+                    weight[0] = 0
+                    np.cumsum(np.log(more), axis=0, out=weight[1:])
+                    weight = np.exp(weight - weight.max(axis=0))
+            weight = np.cumsum(weight, axis=0)
+            out[rows] = first[rows] + (weight <= u[rows] * weight[-1]).sum(axis=0)
     return out
 
 
@@ -118,15 +119,35 @@ def rows_of(block: int, parts: list[tuple[int, bytes]], payload: bytes | None =
     return pa.RecordBatch.from_arrays(columns, names=names) if whole else pa.RecordBatch.from_arrays([columns[i] for i in (0, 2, 3)], names=[names[i] for i in (0, 2, 3)])
 
 
+#: A-Z in lower case and white space as spaces, on UTF-8 bytes; and a byte that no UTF-8 has, for END.
+PLAIN = bytes(32 if c in b" \t\n\v\f\r" else l for c, l in enumerate(LOWER))
+STOP = b"\xff"
+
+
+def tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct tokens, the number of each token of all texts in order, tokens of each text). Found on the texts' bytes and numbered by Arrow, without an object for each token."""
+    text = np.frombuffer(b"".join(t.encode() + b" " + STOP + b" " for t in texts).translate(PLAIN), dtype=np.uint8)
+    letter = text != 32
+    at = np.flatnonzero(np.diff(letter, prepend=False)).reshape(-1, 2)  # a text ends in a space
+    offsets = np.append(0, np.cumsum(at[:, 1] - at[:, 0]))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text[letter])]).dictionary_encode()
+    _, ends, body = coded.dictionary.buffers()
+    ends, body = np.frombuffer(ends, dtype=np.int64)[: len(coded.dictionary) + 1].tolist(), body.to_pybytes()
+    words, flat = [body[a:b] for a, b in itertools.pairwise(ends)], coded.indices.to_numpy().astype(np.int64)
+    stop = words.index(STOP)
+    words[stop] = END
+    return words, flat, np.diff(np.flatnonzero(flat == stop), prepend=-1)
+
+
 def token_blocks(docs: DataFrame, parts: int, text: str, held) -> DataFrame:
     """(block, payload, part, blob): texts as word numbers, and for each part the block's distinct words with training counts."""
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for ids, texts in collected(batches):
-            words, flat, sizes = coded([[*t.encode().translate(LOWER).split(), END] for t in texts])
+            words, flat, sizes = tokens(texts)
             order, flat = ranked(flat, len(words))
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in order), dtype=np.uint64, count=len(words))
+            hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(np.uint64)[order]
             # numbered by hash, and so by part: answers of all parts, in order, are in order of numbers; frequent words cost a rank table
             joint = np.argsort(hashes)
             number = np.empty(len(words), dtype=np.int64)
@@ -170,7 +191,7 @@ class Block:
         self.pairs = self.pairs[np.diff(self.pairs, prepend=-1) > 0]
         self.first, self.second = (x.astype(np.int32) for x in np.divmod(self.pairs, max(1, len(self.hashes))))
         self.keys = mixed(self.hashes[self.first] * MULTIPLIERS[0] + mixed(self.hashes[self.second]))
-        self.order = np.argsort(self.keys).astype(np.int32)  # of requests and of answers
+        self.order = sorting(self.keys).astype(np.int32)  # of requests and of answers
 
     def neighbours(self) -> np.ndarray:
         """Each word with the one before it as one number."""
@@ -180,12 +201,17 @@ class Block:
 
     @cached_property
     def pair(self) -> np.ndarray:
-        """The place of each word's pair. Rounds need pairs alone, so this is looked up only where texts are counted or scored."""
-        return np.searchsorted(self.pairs, self.neighbours()).astype(np.int32)
+        """The place of each word's pair. Rounds need pairs alone, so this is found only where texts are scored, by a sort: look-ups all over the pairs take several times as long."""
+        met_ = self.neighbours()
+        order = sorting(met_)
+        out = np.empty(len(order), dtype=np.int32)
+        out[order] = np.cumsum(np.diff(met_[order], prepend=-1) > 0) - 1
+        return out
 
     def trained(self) -> np.ndarray:
         """Training occurrences of each pair in the block."""
-        return np.bincount(self.pair[~np.repeat(self.held, self.sizes)], minlength=len(self.first))
+        met_ = np.sort(2 * self.neighbours() + np.repeat(self.held, self.sizes))
+        return np.add.reduceat(1 - (met_ & 1), np.flatnonzero(np.diff(met_ >> 1, prepend=-1)))
 
     def of_pairs(self, answers: list[bytes], field: int) -> np.ndarray:
         """A field of the answers to pair requests, in the block's own order of pairs."""
@@ -215,12 +241,13 @@ def count_pairs(blobs: list[bytes]) -> list[bytes]:
 
 def met(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """(places in order of hash, whether first asked for here) for each list of hashes, and the sum of the counts at each place."""
-    keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
-    first = np.zeros(len(at), dtype=np.int64)
-    seen = np.full(len(keys), len(at))
-    seen[at[::-1]] = np.arange(len(at))[::-1]
-    first[seen] = 1
+    keys = np.concatenate(hashes)
+    order = sorting(keys)
+    new = np.append(True, np.diff(keys[order]) > 0)[: len(keys)]
+    at, first = np.empty(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    first[order[new]] = 1
+    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
     ends = np.cumsum([len(h) for h in hashes])[:-1]
     return np.split(at, ends), np.split(first, ends), total
 
