@@ -5,6 +5,12 @@ Sentences come with their matches as an array (pattern_index.matched); a match i
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +19,9 @@ from pyspark.sql.window import Window
 from ..functions.text import let
 from ..functions.vocab import OPTIONAL_POS_TAGS
 from .matching import Pattern, ordered, separators, within_clause
-from .parsing import Annotated
+from .parsing import Annotated, decoded
 from .pattern_index import containment, matched
+from .subgraphs import ragged
 
 DEPS = "array<struct<gov:int,rel:string,dep:int>>"
 MENTIONS = "array<struct<start:int,end:int,text:string,ner:string>>"
@@ -206,24 +213,164 @@ def constructed(matches: DataFrame, transitive: bool) -> DataFrame:
     return matches.select("sid", "place", F.inline(event(F.col("m"), transitive)))
 
 
-def without_contained(events: DataFrame) -> DataFrame:
-    """The events of each sentence whose skeletons lie in no other's and whose eid no other one has.
+def chained(edges: list[tuple[int, int]], n: int) -> list[list[int]]:
+    """segments() of n words for compound edges (gov, dep)."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for g, d in edges:
+        up[max(top(g), top(d))] = min(top(g), top(d))
+    touched, runs = {x for e in edges for x in e}, []
+    for i in range(n):
+        if i in touched and i - 1 in touched and top(i) == top(i - 1):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    out = []
+    for run in runs:
+        inner = [(g, d) for g, d in edges if g in run and d in run]
+        governs, depends = {g for g, _ in inner}, {d for _, d in inner}
+        head = next((x for x in run if x in governs and x not in depends), run[0])
+        out.append([head, *(x for x in run if x != head)])
+    return sorted(out)
+
+
+def rendered(words: list, tags: list, arcs: list) -> str:
+    """eid() of words, tags and arcs (gov, rel, dep). As there, what is null is left out."""
+    some = lambda *items: [x for x in items if x is not None]
+    shown = [some([g, *some(words[g], tags[g])], r, [d, *some(words[d], tags[d])]) for g, r, d in arcs]
+    return hashlib.sha1(json.dumps([shown, some(*words), some(*tags)]).encode()).hexdigest()
+
+
+def open_matches(rows: np.ndarray, ids: np.ndarray, children: dict[int, list[int]]) -> np.ndarray:
+    """Places of the matches whose pattern no earlier pattern of their sentence rules out; ids are in order within a sentence."""
+    keep, row, barred = np.ones(len(rows), dtype=bool), -1, set()
+    last = None
+    for i, (r, k) in enumerate(zip(rows.tolist(), ids.tolist(), strict=True)):
+        if r != row:
+            row, barred, last = r, set(), None
+        if k in barred and k != last:
+            keep[i] = False
+        elif k != last:
+            barred.update(children.get(k, ()))
+            last = k
+    return np.flatnonzero(keep)
+
+
+def written(batches, children: dict[int, list[int]], transitive: bool, shown: list[str]):
+    """constructed() of batches (sid, matches) whose matches come with their tags and tokens: all matches of a batch together, on their flat lists.
+
+    An edge is told by the places of its ends in the batch. Of a match's edges those within it are its bones; those that lead on to optional words are taken besides.
+    """
+    for batch in batches:
+        rows = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        m = batch.column(1).flatten()
+        if children:
+            at = open_matches(rows, m.field("pattern_id").to_numpy(zero_copy_only=False), children)
+            rows, m = rows[at], m.take(pa.array(at))
+        total = len(m)
+        sizes = lambda c: m.field(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ints = lambda x: pa.array(x, pa.int32())
+        lists = lambda counts, x: pa.ListArray.from_arrays(ints(np.concatenate([[0], np.cumsum(counts)])), x)
+        n = sizes("places")
+        begin, whose = np.cumsum(n) - n, np.repeat(np.arange(total), n)
+        raw = m.field("places").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        tags, tokens = (m.field(c).flatten() for c in ("tags", "tokens"))
+        kinds = tags.dictionary_encode()
+        kind = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)
+        is_ = lambda good: np.array([x is not None and good(x) for x in kinds.dictionary.to_pylist()] + [False])[kind]
+        optional, leads, verb = is_(lambda t: t in OPTIONAL_POS_TAGS), is_(lambda t: t == "IN"), is_(lambda t: t.startswith("VB"))
+        inside = np.zeros(len(raw), dtype=bool)
+        inside[m.field("inside").flatten().to_numpy(zero_copy_only=False) + np.repeat(begin, sizes("inside"))] = True
+        near = m.field("near").flatten()
+        who = np.repeat(np.arange(total), sizes("near"))
+        gov, dep = (near.field(c).to_numpy(zero_copy_only=False).astype(np.int64) + begin[who] for c in ("gov", "dep"))
+        rels = near.field("rel").dictionary_encode()
+        names = sorted(x for x in rels.dictionary.to_pylist() if x is not None)
+        number = np.array([names.index(x) if x is not None else -1 for x in rels.dictionary.to_pylist()] + [-1], dtype=np.int64)
+        rel = number[pc.fill_null(rels.indices, -1).to_numpy(zero_copy_only=False)]
+        bone = inside[gov] & inside[dep]
+        chosen = bone | (optional[dep] & ~inside[dep] & (transitive | inside[gov]))
+        first = np.full(total, len(raw))
+        np.minimum.at(first, who[chosen], np.minimum(gov, dep)[chosen])
+        gone = np.where(np.append(leads, False)[first], first, -1)[who]
+        chosen &= (gov != gone) & (dep != gone)
+        edges = np.stack([rel, dep, gov, who])[:, chosen]
+        edges = edges[:, np.lexsort(edges)]
+        edges = edges[:, np.append(True, (np.diff(edges, axis=1) != 0).any(axis=0))[: edges.shape[1]]]
+        rel, dep, gov, who = edges
+        bone = inside[gov] & inside[dep]
+        used, skeleton = np.zeros(len(raw), dtype=bool), np.zeros(len(raw), dtype=bool)
+        used[gov] = used[dep] = True
+        skeleton[gov[bone]] = skeleton[dep[bone]] = True
+        own = np.flatnonzero(used)
+        count, arcs = np.bincount(whose[own], minlength=total), np.bincount(who, minlength=total)
+        start, arc_start = np.cumsum(count) - count, np.cumsum(arcs) - arcs
+        rank = np.cumsum(used) - 1  # among own
+        rank_in_own = rank - start[whose] if len(raw) else rank
+        some = np.flatnonzero(arcs)
+        words = [x if x is None else x.lower() for x in tokens.take(pa.array(own)).to_pylist()]
+        said = tags.take(pa.array(own))
+        g, d = rank_in_own[gov], rank_in_own[dep]
+        relations = pa.array(names, pa.string()).take(pa.array(rel, mask=rel < 0))
+        triples, tag_list = list(zip(g.tolist(), relations.to_pylist(), d.tolist(), strict=True)), said.to_pylist()
+        eids, groups = [], []
+        for s, k, a, c in zip(start[some].tolist(), count[some].tolist(), arc_start[some].tolist(), arcs[some].tolist(), strict=True):
+            own_arcs = triples[a : a + c]
+            eids.append(rendered(words[s : s + k], tag_list[s : s + k], own_arcs))
+            if "segments" in shown:
+                compound = [(x, y) for x, r, y in own_arcs if r is not None and r.startswith("compound")]
+                groups.append(chained(compound, k) if compound else [[i] for i in range(k)])
+        mapping, shape = m.field("mapping").flatten().to_numpy(zero_copy_only=False), sizes("mapping")
+        labels = m.field("labels").flatten().take(pa.array(np.lexsort((mapping, np.repeat(np.arange(total), shape)))))
+        of = lambda flags: lists(np.bincount(whose[flags], minlength=total)[some], ints(rank_in_own[flags]))
+        bones = np.flatnonzero(bone)
+        empty = pa.array([], pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("ner", pa.string())]))
+        columns = {
+            "eid": lambda: pa.array(eids, pa.string()), "pattern": lambda: pc.binary_join(lists(shape, labels), " ").take(pa.array(some)), "words": lambda: lists(count[some], pa.array(words, pa.string())), "pos_tags": lambda: lists(count[some], decoded(said)),
+            "ners": lambda: lists(count[some], pa.array(["O"] * len(own), pa.string())), "dependencies": lambda: lists(arcs[some], pa.StructArray.from_arrays([ints(g), relations, ints(d)], names=["gov", "rel", "dep"])),
+            "skeleton_indices": lambda: of(np.flatnonzero(skeleton)), "skeleton_dependency_indices": lambda: lists(np.bincount(who[bones], minlength=total)[some], ints(bones - arc_start[who[bones]])), "verb_indices": lambda: of(np.flatnonzero(used & verb)),
+            "raw_places": lambda: lists(count[some], ints(raw[own])), "segments": lambda: pa.array(groups, pa.list_(pa.list_(pa.int32()))), "mentions": lambda: lists(np.zeros(len(some)), empty), "frequency": lambda: pa.array(np.ones(len(some))),
+        }
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[some])), ints(some), *[columns[c]() for c in shown]], names=["sid", "place", *shown])
+
+
+def without_contained(events: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """The events of each sentence whose skeletons lie in no other's and whose eid no other one has; with kept, only these columns.
 
     From the largest skeleton down, the earlier event first among equally large ones, an event stays unless its places
-    are all in one that stays, or its eid is; a fold over the sentence's events, of which the groups are.
+    are all in one that stays, or its eid is. Events are sorted by sentence and pass one by one; an event is compared with those that stay and
+    have the place of its own that the fewest of them have, so that a sentence of many events is no square of them.
     """
-    shown = [c for c in events.columns if c not in ("sid", "place")]
+    shown = [c for c in kept or events.columns if c not in ("sid", "place")]
     bones = F.transform("skeleton_indices", lambda k: F.get("raw_places", k))
-    rows = events.select("sid", F.struct((-F.size("skeleton_indices")).alias("n"), "place", F.struct(bones.alias("bones"), *shown).alias("e")).alias("x"))
-
-    def step(kept: Column, x: Column) -> Column:
-        lies = lambda k: (F.size(F.array_except(x["e"]["bones"], k["bones"])) == 0) | (k["eid"] == x["e"]["eid"])
-        return F.when(F.exists(kept, lies), kept).otherwise(F.concat(kept, F.array(x["e"])))
-
-    kind = rows.schema["x"].dataType["e"].dataType.simpleString()
-    groups = rows.groupBy("sid").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    kept = F.when(F.size("xs") == 1, F.transform("xs", lambda x: x["e"])).otherwise(F.aggregate("xs", F.array().cast(f"array<{kind}>"), step))
-    return groups.select("sid", F.explode(kept).alias("e")).select("sid", *[F.col("e")[c].alias(c) for c in shown])
+    rows = events.select("sid", "place", bones.alias("__bones"), F.col("eid").alias("__eid"), *shown)
+    rows = rows.repartition("sid").sortWithinPartitions("sid", -F.size("__bones"), "place", "__bones", "__eid")
+
+    def run(batches):
+        sentence, eids, at, some = object(), set(), {}, False  # at: by place, the skeletons that stay
+        for batch in batches:
+            stays = []
+            for sid, own, eid_ in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if sid != sentence:
+                    sentence, eids, at, some = sid, set(), {}, False
+                own = frozenset(own)
+                near = min((at.get(x, ()) for x in own), key=len, default=())
+                good = not (eid_ in eids or (some and not own) or any(own <= k for k in near))
+                if good:
+                    some = True
+                    if eid_ is not None:
+                        eids.add(eid_)
+                    for x in own:
+                        at.setdefault(x, []).append(own)
+                stays.append(good)
+            yield batch.filter(pa.array(stays, pa.bool_())).select([0, *range(4, batch.num_columns)])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["sid"], *rows.schema.fields[4:]]))
 
 
 def ready(sentences: DataFrame, skip_words: tuple[str, ...] = ()) -> DataFrame:
@@ -256,25 +403,30 @@ def below(children: dict[int, list[int]], pattern: Column) -> Column:
     return F.coalesce(F.get(F.array(F.element_at(lookup, pattern)), 0), ints())
 
 
-def extract(sentences: DataFrame | Annotated, patterns: list[Pattern], skip_words: tuple[str, ...] = (), transitive: bool = False) -> DataFrame:
-    """sid and a row for each event of every sentence; sentences with a skip word, or without dependencies, have none.
+def extract(sentences: DataFrame | Annotated, patterns: list[Pattern], skip_words: tuple[str, ...] = (), transitive: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """sid and a row for each event of every sentence; sentences with a skip word, or without dependencies, have none. kept: which columns of SCHEMA, all by default.
 
     Patterns are taken in order, the largest first; one that matches rules out its children. Matching is one map, all
-    that follows are columns, and one shuffle by sentence drops the events that lie in others. Annotated texts are matched as
-    they are parsed; their tokens are the lemmas.
+    that follows are columns, and one shuffle by sentence drops the events that lie in others. Annotated texts are matched and their events
+    written as they are parsed; their tokens are the lemmas.
     """
     known = ordered(patterns)
     if isinstance(sentences, Annotated) and skip_words:
         sentences = sentences.rows().withColumn("lemmas", F.col("tokens"))
     found = matched(sentences if isinstance(sentences, Annotated) else ready(sentences, skip_words), known)
     children = descent(sentences, known)
+    if isinstance(sentences, Annotated):
+        kind = T._parse_datatype_string(f"sid string, place int, {SCHEMA}")
+        wanted = [f for f in kind.fields if not kept or f.name in ("sid", "place", "skeleton_indices", "raw_places", "eid", *kept)]
+        names = [f.name for f in wanted[2:]]
+        return without_contained(found.mapInArrow(lambda batches: written(batches, children, transitive, names), T.StructType(wanted)), [*kept] or None)
     matches = F.col("matches")
     if children:
         tried = F.array_distinct(F.transform("matches", lambda m: m["pattern_id"]))
         start = F.struct(ints().alias("open"), ints().alias("barred"))
         step = lambda a, k: F.when(F.array_contains(a["barred"], k), a).otherwise(F.struct(F.concat(a["open"], F.array(k)).alias("open"), F.concat(a["barred"], below(children, k)).alias("barred")))
         matches = let(F.aggregate(tried, start, step)["open"], lambda o: F.filter("matches", lambda m: F.array_contains(o, m["pattern_id"])))
-    return without_contained(constructed(with_words(found, matches), transitive))
+    return without_contained(constructed(with_words(found, matches), transitive), [*kept] or None)
 
 
 def merge(events: DataFrame) -> DataFrame:
